@@ -19,8 +19,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import coerce
-from ..functions.columns import finite, is_boolean, is_integral, is_numeric, is_temporal, is_text, quoted, ref
-from ..functions.quantiles import column_percentiles
+from ..functions.columns import finite, is_boolean, is_integral, is_numeric, is_temporal, quoted
+from ..functions.quantiles import IN_TASK_DISTINCT, column_percentiles
 from ..functions.stats import sample_skewness
 from ..specs import ColumnProfile, HIGH_CARDINALITY_RATIO, MAX_CARDINALITY, TableProfile
 from ..vocabulary import COMPACT_DATE, DATE_NAME_HINTS
@@ -38,9 +38,10 @@ MONTH_FIRST = tuple(sorted(coerce.LAYOUT_NAMES, key=lambda n: (n != coerce.ISO_L
 # --- text evidence -----------------------------------------------------------
 
 
-def cells(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def cells(df: DataFrame, columns: dict[str, Column], *extra: Column) -> DataFrame:
     """``position, value``: one row per non-null cell of same-typed columns."""
     tags = [F.struct(F.lit(i).alias("position"), c.alias("value")) for i, c in enumerate(columns.values())]
+    tags.extend(extra)
     return df.select(F.inline(F.array(*tags))).where(F.col("value").isNotNull())
 
 
@@ -49,16 +50,18 @@ def text_frequencies(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     A long text is keyed by its digest and its facts are taken before the
     shuffle, so document-sized cells never travel. ``changed`` counts rows that
-    white-space normalisation would alter.
+    white-space normalisation would alter. Position -1 counts the rows.
     """
-    trimmed = cells(df, columns).select("position", "value", coerce.trimmed(F.col("value")).alias("v"))
+    every_row = F.struct(F.lit(-1).alias("position"), F.lit("").alias("value"))
+    trimmed = cells(df, columns, every_row).select("position", "value", coerce.trimmed(F.col("value")).alias("v"))
     v = F.col("v")
     is_long = F.length(v) > LONG_TEXT
     counted = trimmed.select(
         "position",
         F.when(is_long, F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v).alias("key"),
         (F.col("value") != coerce.squeezed(F.col("value"))).cast("bigint").alias("changed"),
-        F.when(is_long, coerce.fact_mask(v)).alias("mask"),
+        # No date layout is that long, so only the other facts apply.
+        F.when(is_long, coerce.fact_bits(v)).alias("mask"),
         F.when(is_long, F.length(v)).alias("length"),
         F.when(is_long, word_count(v)).alias("words"),
     ).groupBy("position", "key").agg(
@@ -67,7 +70,7 @@ def text_frequencies(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     key = F.col("key")
     return counted.select(
         "position", "key", "n", "changed",
-        F.coalesce("mask", coerce.fact_mask(key)).alias("mask"),
+        F.coalesce("mask", coerce.layout_bits("key").bitwiseOR(coerce.fact_bits(key))).alias("mask"),
         F.coalesce("length", F.length(key)).alias("length"),
         F.coalesce("words", word_count(key)).alias("words"))
 
@@ -114,8 +117,8 @@ class Evidence:
         named = any(part in name.lower() for part in DATE_NAME_HINTS)
         return named and (hint >= 0.3 or compact >= 0.5)
 
-    def layouts(self, real_only: bool = False) -> tuple[list[str], int]:
-        """Date layouts to try in order, and the rows they parse.
+    def layouts(self, real_only: bool = False) -> tuple[list[str], int, int]:
+        """Date layouts to try in order, the rows they parse, and those of a sane year.
 
         One layout must explain 80 % of the rows; the rest are then covered
         greedily, each time by the layout parsing most of what is left. Without
@@ -124,7 +127,11 @@ class Evidence:
         groups = [g for g in self.groups if not (real_only and self._has(g, "placeholder"))]
         total = sum(g["n"] for g in groups)
         if not total:
-            return [], 0
+            return [], 0, 0
+        any_layout = (1 << len(coerce.LAYOUT_NAMES)) - 1
+        dated = [g for g in groups if g["mask"] & any_layout]
+        every = sum(g["n"] for g in dated)
+        sane = sum(g["n"] for g in dated if self._has(g, "sane_year"))
 
         def parsed(layout, among):
             bit = coerce.LAYOUT_NAMES.index(layout)
@@ -132,8 +139,7 @@ class Evidence:
 
         main = max(coerce.LAYOUT_NAMES[:-1], key=lambda n: min(parsed(n, groups) / total, 0.99))
         if parsed(main, groups) / total < PARSE_SHARE:
-            every = sum(g["n"] for g in groups if g["mask"] & ((1 << len(coerce.LAYOUT_NAMES)) - 1))
-            return list(MONTH_FIRST), every
+            return list(MONTH_FIRST), every, sane
         chosen, left, done = [], groups, 0
         layout = main
         while layout and parsed(layout, left):
@@ -143,12 +149,17 @@ class Evidence:
             left = [g for g in left if not g["mask"] >> bit & 1]
             open_ = [n for n in coerce.LAYOUT_NAMES if n not in chosen]
             layout = max(open_, key=lambda n: parsed(n, left)) if open_ and left else None
-        return chosen, done
+        return chosen, done, sane
 
 
 def text_evidence(df: DataFrame, columns: dict[str, Column]) -> dict[str, Evidence]:
+    """Evidence of every text column from one scan and one shuffle of distinct values."""
+    return count_and_evidence(df, columns)[1]
+
+
+def count_and_evidence(df: DataFrame, columns: dict[str, Column]) -> tuple[int | None, dict[str, Evidence]]:
     if not columns:
-        return {}
+        return None, {}
     blank = F.col("key") == ""
     rows = (
         text_frequencies(df, columns).groupBy("position", "mask", blank.alias("blank")).agg(
@@ -156,8 +167,9 @@ def text_evidence(df: DataFrame, columns: dict[str, Column]) -> dict[str, Eviden
             F.sum(F.col("n") * F.col("length")).alias("length"), F.sum(F.col("n") * F.col("words")).alias("words"))
         .collect()
     )
-    names = list(columns)
-    return {name: Evidence([r.asDict() for r in rows if r["position"] == i]) for i, name in enumerate(names)}
+    groups = [r.asDict() for r in rows]
+    n_rows = sum(g["n"] for g in groups if g["position"] == -1)
+    return n_rows, {name: Evidence([g for g in groups if g["position"] == i]) for i, name in enumerate(columns)}
 
 
 def evidence_frame(spark, evidence: dict[str, Evidence], facts: Sequence[str]) -> DataFrame:
@@ -181,24 +193,27 @@ def parsed_column(source: Column, inferred: str, parse: dict) -> Column:
     return coerce.to_boolean(source)
 
 
-def distinct_counts(df: DataFrame, columns: dict[str, tuple[str, Column]]) -> dict[str, int]:
-    """Exact distinct counts. ``columns`` maps a name to (type class, column).
+def distinct_counts(df: DataFrame, columns: dict[str, tuple[str, Column]]) -> dict[str, tuple]:
+    """Exact (distinct count, minimum, maximum); ``columns`` maps a name to (type class, column).
 
     Columns of one class share a scan; values are de-duplicated across tasks by
-    (column, value) before one small count per column.
+    (column, value) before one small count per column. The ends are doubles and
+    given for numbers only.
     """
     plans = []
     for kind in sorted({k for k, _ in columns.values()}):
         chosen = {n: c for n, (k, c) in columns.items() if k == kind}
         tagged = [F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in chosen.items()]
         values = df.select(F.inline(F.array(*tagged))).where(F.col("value").isNotNull())
-        plans.append(values.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")))
-    counts = dict.fromkeys(columns, 0)
+        number = F.col("value").cast("double") if kind in ("bigint", "double") else F.lit(None).cast("double")
+        plans.append(values.distinct().groupBy("name").agg(
+            F.count(F.lit(1)).alias("n"), F.min(number).alias("lo"), F.max(number).alias("hi")))
+    counts = dict.fromkeys(columns, (0, None, None))
     if plans:
         union = plans[0]
         for plan in plans[1:]:
             union = union.unionByName(plan)
-        counts.update({r["name"]: r["n"] for r in union.collect()})
+        counts.update({r["name"]: (r["n"], r["lo"], r["hi"]) for r in union.collect()})
     return counts
 
 
@@ -245,16 +260,15 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column],
     names = list(columns)
     row = df.agg(*[a for i, n in enumerate(names) for a in numeric_aggs(columns[n], i)]).first()
     out = {n: row[f"num{i}"].asDict() for i, n in enumerate(names)}
-    return _with_percentiles(df, columns, out, distinct)
+    _add_percentiles(df, columns, out, column_percentiles(df, columns, list(PERCENTS), distinct))
+    return out
 
 
-def _with_percentiles(df, columns, out, distinct):
-    q = column_percentiles(df, columns, list(PERCENTS), distinct)
+def _add_percentiles(df, columns, out, q):
     far = outlier_counts(df, columns, {n: (v[1], v[3]) if v else None for n, v in q.items()})
     for n in columns:
         p = q[n] or [None] * len(PERCENTS)
         out[n].update(p05=p[0], p25=p[1], median=p[2], p75=p[3], p95=p[4], outlier_count=far.get(n, 0))
-    return out
 
 
 # --- duplicates --------------------------------------------------------------
@@ -303,104 +317,75 @@ def top_values(df: DataFrame, columns: dict[str, Column], k: int = 12) -> DataFr
 # --- the profile -------------------------------------------------------------
 
 
-def profile_table(df: DataFrame, duplicates: bool = True) -> TableProfile:
-    """Profile every column of a raw or typed table."""
-    names = df.columns
-    text = {n: quoted(n) for n in names if is_text(df, n)}
-    other = [n for n in names if not (is_text(df, n) or is_numeric(df, n) or is_temporal(df, n) or is_boolean(df, n))]
-    text.update({n: quoted(n).cast("string") for n in other})
-    # Whole numbers shaped like yyyymmdd are judged as the text they spell.
-    integral = [n for n in names if is_integral(df, n)]
-    text.update(_compact_dates(df, integral))
+def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -> TableProfile:
+    """Profile every column of a raw or typed table.
 
-    evidence = text_evidence(df, text)
-    kinds: dict[str, str] = {}
+    Without ``detail`` only what cleaning needs is computed (types, roles,
+    distinct counts, ends); statistics, top values and samples stay empty.
+    """
+    names = df.columns
+    direct = [n for n in names if is_numeric(df, n) or is_temporal(df, n) or is_boolean(df, n)]
+    source = {n: quoted(n).cast("string") for n in names if n not in direct}
+    n_rows, evidence = count_and_evidence(df, source)
+    kinds = {n: "datetime" if is_temporal(df, n) else "boolean" if is_boolean(df, n) else "numeric" for n in direct}
     parse: dict[str, dict] = {}
     for n, e in evidence.items():
-        kinds[n], parse[n] = _text_type(df, n, text[n], e)
-    _reject_odd_years(df, text, evidence, kinds, parse)
-    for n in names:
-        if n not in kinds:
-            kinds[n] = "datetime" if is_temporal(df, n) else "boolean" if is_boolean(df, n) else "numeric"
+        kinds[n], parse[n] = _text_type(df, n, source[n], e)
 
-    source = {n: text.get(n, quoted(n)) for n in names}
-    typed = {n: parsed_column(source[n], kinds[n], parse[n]) if n in text and kinds[n] in ("numeric", "datetime", "boolean")
+    typed = {n: parsed_column(source[n], kinds[n], parse[n])
+             if n in source and kinds[n] in ("numeric", "datetime", "boolean")
              else finite(df, n) if is_numeric(df, n) else quoted(n) for n in names}
-    frame = df.select(*[typed[n].alias(f"t{i}") for i, n in enumerate(names)],
-                      *[source[n].cast("string").alias(f"s{i}") for i, n in enumerate(names)])
-    t = {n: F.col(f"t{i}") for i, n in enumerate(names)}
-    s = {n: F.col(f"s{i}") for i, n in enumerate(names)}
+    distinct = distinct_counts(df, _distinct_classes(df, names, kinds, typed, source, detail))
 
-    # One pass: row count, per-column presence, ends and numeric moments.
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        aggs.append(F.count(t[n]).alias(f"n{i}"))
-        if kinds[n] in ("categorical", "text"):
-            trimmed = coerce.trimmed(s[n])
-            shown = F.when(trimmed != "", trimmed)
-            aggs.append(F.struct(F.min(shown).alias("lo"), F.max(shown).alias("hi")).alias(f"end{i}"))
-        elif kinds[n] in ("numeric", "datetime"):
-            aggs.append(F.struct(F.min(t[n]).alias("lo"), F.max(t[n]).alias("hi")).alias(f"end{i}"))
-        if kinds[n] == "numeric":
-            aggs.extend(numeric_aggs(t[n], i))
+    # Whole numbers shaped like yyyymmdd are judged as the text they spell.
+    near = [n for n in direct if is_integral(df, n) and distinct[n][0]
+            and distinct[n][2] >= 19000000 and distinct[n][1] < 21000000]
+    for n, text in _compact_dates(df, near).items():
+        source[n] = text
+        evidence.update(text_evidence(df, {n: text}))
+        kinds[n], parse[n] = _text_type(df, n, text, evidence[n])
         if kinds[n] == "datetime":
-            aggs.append(F.timestamp_diff("DAY", F.min(t[n]), F.max(t[n])).alias(f"span{i}"))
-        if kinds[n] == "boolean":
-            aggs.append((F.max(t[n].cast("int")) - F.min(t[n].cast("int")) + 1).alias(f"bool{i}"))
-    row = frame.agg(*aggs).first().asDict()
-    n_rows = row["rows"]
-
-    classes: dict[str, tuple[str, Column]] = {}
-    for n in names:
-        if kinds[n] == "numeric":
-            classes[n] = ("bigint", t[n].cast("bigint")) if n in integral and n not in text else ("double", t[n].cast("double"))
-        elif kinds[n] == "datetime":
-            stamp = t[n].cast("timestamp_ntz")
-            classes[n + "\0days"] = ("bigint", F.unix_date(stamp.cast("date")).cast("bigint"))
-            if n not in text:
-                classes[n] = ("timestamp_ntz", stamp)
-    distinct = distinct_counts(frame, classes)
-
-    # A numeric column holding only 0 and 1 is a flag even when already typed.
-    for i, n in enumerate(names):
-        if n in integral and n not in text and row[f"n{i}"] and row[f"num{i}"]["min"] >= 0 and row[f"num{i}"]["max"] <= 1:
+            typed[n] = parsed_column(text, "datetime", parse[n])
+            distinct.update(distinct_counts(df, _distinct_classes(df, [n], kinds, typed, source, detail)))
+        else:
+            del source[n], evidence[n]
+            kinds[n] = "numeric"
+    # An integer column holding only 0 and 1 is a flag although typed.
+    for n in direct:
+        if kinds[n] == "numeric" and is_integral(df, n) and distinct[n][0] and 0 <= distinct[n][1] and distinct[n][2] <= 1:
             kinds[n] = "boolean"
-            row[f"bool{i}"] = distinct[n]
-    numeric = {n: t[n] for n in names if kinds[n] == "numeric" and row[f"n{names.index(n)}"]}
-    stats = {n: row[f"num{names.index(n)}"].asDict() for n in numeric}
-    if numeric:
-        _with_percentiles(frame, numeric, stats, {n: distinct[n] for n in numeric})
 
-    listed = {n: s[n] for n in names if kinds[n] in ("categorical", "boolean")
-              or (kinds[n] == "text" and evidence[n].unique <= MAX_CARDINALITY)}
-    tops: dict[str, list] = {n: [] for n in names}
-    if listed:
-        for r in top_values(frame, listed).orderBy("name", "rank").collect():
-            if kinds[r["name"]] != "text" or r["rank"] <= 8:
-                tops[r["name"]].append((r["value"], r["n"], r["pct"]))
+    row, stats, tops = {}, {}, {n: [] for n in names}
+    bare = [n for n in names if n not in evidence]
+    if detail or bare or n_rows is None:
+        row = _describe(df, names, kinds, typed, source, distinct, detail)
+        n_rows = row["rows"]
+    if detail:
+        stats = {n: row["stats"][n] for n in names if kinds[n] == "numeric" and row["stats"].get(n)}
+        tops = _tops(df, names, kinds, evidence, source)
 
     columns = []
-    for i, n in enumerate(names):
+    for n in names:
         e = evidence.get(n)
-        count = e.count if e else row[f"n{i}"]
-        unique = (distinct[n] if kinds[n] == "numeric" else e.unique if e
-                  else (row[f"bool{i}"] or 0) if kinds[n] == "boolean" else distinct[n])
+        count = e.count if e else row["present"][n]
+        unique = e.unique if e and kinds[n] != "numeric" else distinct[n][0]
         missing = n_rows - count
-        columns.append(ColumnProfile(
+        if kinds[n] == "numeric" and n not in stats:
+            stats[n] = {"min": distinct[n][1], "max": distinct[n][2]}
+        c = ColumnProfile(
             name=n, physical_type=df.schema[n].dataType.simpleString(), inferred_type=kinds[n],
             count=count, missing=missing, missing_pct=round(missing / n_rows * 100, 2) if n_rows else 0.0,
             unique=unique, cardinality_ratio=round(unique / count, 4) if count else 0.0,
             is_constant=unique <= 1 and count > 0,
             is_unique_key=unique == n_rows and n_rows > 1 and missing == 0,
-            numeric=stats.get(n, {"min": None, "max": None} if kinds[n] == "numeric" else None),
-            datetime=_datetime_stats(row, i, distinct.get(n + "\0days", 0)) if kinds[n] == "datetime" else None,
-            top_values=tops[n],
-            sample_values=_samples(row, i, tops[n]),
+            numeric=stats.get(n),
+            datetime=_datetime_stats(row, n, distinct) if detail and kinds[n] == "datetime" else None,
+            top_values=tops[n], sample_values=_samples(row, n, tops[n]) if detail else [],
             parse={**parse.get(n, {}), "evidence": e},
-        ))
-        c = columns[-1]
+        )
         facts = {f: e.share(f) for f in ("uuid", "email", "percent", "currency")} if e else {}
         c.role, c.role_confidence, c.role_evidence = roles.infer_role(c, facts)
+        columns.append(c)
 
     repeated = duplicate_count(df).first()["n_duplicates"] if duplicates else None
     domain, signals = roles.guess_domain(names)
@@ -409,6 +394,76 @@ def profile_table(df: DataFrame, duplicates: bool = True) -> TableProfile:
     return profile
 
 
+DAYS = "\0days"  # suffix of the entry counting the days of a date column
+
+
+def _distinct_classes(df, names, kinds, typed, source, detail) -> dict[str, tuple[str, Column]]:
+    classes: dict[str, tuple[str, Column]] = {}
+    for n in names:
+        if kinds[n] == "numeric":
+            whole = n not in source and is_integral(df, n)
+            classes[n] = ("bigint", typed[n].cast("bigint")) if whole else ("double", typed[n].cast("double"))
+        elif kinds[n] == "boolean" and n not in source:
+            classes[n] = ("boolean", typed[n])
+        elif kinds[n] == "datetime":
+            stamp = typed[n].cast("timestamp_ntz")
+            if detail:
+                classes[n + DAYS] = ("bigint", F.unix_date(stamp.cast("date")).cast("bigint"))
+            if n not in source:
+                classes[n] = ("timestamp_ntz", stamp)
+    return classes
+
+
+def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
+    """Row count and presence and, in detail, ends, moments and percentiles: one aggregate."""
+    frame = df.select(*[typed[n].alias(f"t{i}") for i, n in enumerate(names)],
+                      *[source[n].alias(f"s{i}") for i, n in enumerate(names) if n in source])
+    grid = F.array(*[F.lit(p) for p in PERCENTS])
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(names):
+        t = F.col(f"t{i}")
+        aggs.append(F.count(t).alias(f"n{i}"))
+        if not detail or kinds[n] in ("boolean", "empty"):
+            continue
+        shown = t
+        if kinds[n] in ("categorical", "text"):
+            trimmed = coerce.trimmed(F.col(f"s{i}"))
+            shown = F.when(trimmed != "", trimmed)
+        aggs.append(F.struct(F.min(shown).alias("lo"), F.max(shown).alias("hi")).alias(f"end{i}"))
+        if kinds[n] == "datetime":
+            aggs.append(F.timestamp_diff("DAY", F.min(t), F.max(t)).alias(f"span{i}"))
+        if kinds[n] == "numeric":
+            aggs.extend(numeric_aggs(t, i))
+            if distinct[n][0] <= IN_TASK_DISTINCT:
+                aggs.append(F.percentile(t.cast("double"), grid).alias(f"p{i}"))
+    got = frame.agg(*aggs).first().asDict()
+    out = {"rows": got["rows"], "present": {}, "ends": {}, "span": {}, "stats": {}}
+    numeric, quartiles = {}, {}
+    for i, n in enumerate(names):
+        out["present"][n] = got[f"n{i}"]
+        out["ends"][n] = got.get(f"end{i}")
+        out["span"][n] = got.get(f"span{i}")
+        if detail and kinds[n] == "numeric" and got[f"n{i}"]:
+            numeric[n] = F.col(f"t{i}").cast("double")
+            out["stats"][n] = got[f"num{i}"].asDict()
+            quartiles[n] = got.get(f"p{i}")
+    wide = {n: c for n, c in numeric.items() if quartiles[n] is None}
+    quartiles.update(column_percentiles(frame, wide, list(PERCENTS), {n: distinct[n][0] for n in wide}))
+    _add_percentiles(frame, numeric, out["stats"], quartiles)
+    return out
+
+
+def _tops(df, names, kinds, evidence, source) -> dict[str, list]:
+    listed = {n: source.get(n, quoted(n).cast("string")) for n in names if kinds[n] in ("categorical", "boolean")
+              or (kinds[n] == "text" and evidence[n].unique <= MAX_CARDINALITY)}
+    tops: dict[str, list] = {n: [] for n in names}
+    if listed:
+        for r in top_values(df, listed).orderBy("name", "rank").collect():
+            if kinds[r["name"]] != "text" or r["rank"] <= 8:
+                tops[r["name"]].append((r["value"], r["n"], r["pct"]))
+    return tops
+
+
 def _compact_dates(df: DataFrame, integral: list[str]) -> dict[str, Column]:
     if not integral:
         return {}
@@ -425,18 +480,14 @@ def _text_type(df: DataFrame, name: str, source: Column, e: Evidence) -> tuple[s
     if e.tokens_only() and (e.unique <= 4 or _spellings(df, source) <= 4):
         return "boolean", {}
     if e.looks_like_dates(name):
-        layouts, rows = e.layouts()
-        if rows / e.count >= PARSE_SHARE:
+        layouts, rows, sane = e.layouts()
+        if rows / e.count >= PARSE_SHARE and sane / rows >= PARSE_SHARE:
             return "datetime", {"layouts": layouts}
-    return _plain_type(e), {}
-
-
-def _plain_type(e: Evidence) -> str:
     if e.share("number") >= PARSE_SHARE:
-        return "numeric"
+        return "numeric", {}
     varied = e.unique > MAX_CARDINALITY and e.unique / e.count > HIGH_CARDINALITY_RATIO
     wordy = e.mean_length > TEXT_LENGTH or e.mean_words > TEXT_WORDS
-    return "text" if varied or wordy else "categorical"
+    return "text" if varied or wordy else "categorical", {}
 
 
 def _spellings(df: DataFrame, source: Column) -> int:
@@ -445,32 +496,18 @@ def _spellings(df: DataFrame, source: Column) -> int:
     return df.select(F.when(token != "", token).alias("t")).distinct().agg(F.count("t")).first()[0]
 
 
-def _reject_odd_years(df, text, evidence, kinds, parse) -> None:
-    dated = [n for n in text if kinds[n] == "datetime"]
-    if not dated:
-        return
-    aggs = []
-    for i, n in enumerate(dated):
-        year = F.year(coerce.to_datetime(text[n], parse[n]["layouts"]))
-        aggs.append(F.try_divide(F.count_if(year.between(1900, 2100)).cast("double"), F.count(year)).alias(f"y{i}"))
-    row = df.agg(*aggs).first()
-    for i, n in enumerate(dated):
-        if (row[f"y{i}"] or 0.0) < PARSE_SHARE:
-            kinds[n], parse[n] = _plain_type(evidence[n]), {}
-
-
-def _datetime_stats(row: dict, i: int, days: int) -> dict:
-    ends, span = row[f"end{i}"], row[f"span{i}"]
+def _datetime_stats(row: dict, name: str, distinct: dict) -> dict:
+    ends, span, days = row["ends"][name], row["span"][name], distinct[name + DAYS][0]
     if ends["lo"] is None:
         return {}
     return {"min": ends["lo"], "max": ends["hi"], "range_days": span, "distinct_days": days,
             "suggested_grain": suggested_grain(span, days)}
 
 
-def _samples(row: dict, i: int, tops: list) -> list[str]:
+def _samples(row: dict, name: str, tops: list) -> list[str]:
     if tops:
         return [v for v, _, _ in tops[:5]]
-    ends = row.get(f"end{i}")
+    ends = row["ends"][name]
     found = [ends["lo"], ends["hi"]] if ends else []
     return list(dict.fromkeys(str(v) for v in found if v is not None))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import coerce
 from ..operators import clean as C, profile as P
+from ..plans import prepare
 from ..vocabulary import UNKNOWN_LABEL
 from .messy import SOURCE_SQL, messy_orders, rendered, source
 from .registry import query, table
@@ -52,7 +53,7 @@ def parse_boolean(spark, sf):
 @query("parse_dates_mixed", oracle("o_orderdate::TIMESTAMP"))
 def parse_dates_mixed(spark, sf):
     df = messy_orders(spark, sf)
-    layouts, _ = P.text_evidence(df, {"order_date": F.col("order_date")})["order_date"].layouts()
+    layouts, *_ = P.text_evidence(df, {"order_date": F.col("order_date")})["order_date"].layouts()
     return df.select("order_id", coerce.to_datetime(F.col("order_date"), layouts).alias("value"))
 
 
@@ -261,9 +262,7 @@ def top_values(spark, sf):
 
 
 def cleaned(spark, sf):
-    df = messy_orders(spark, sf)
-    profile = P.profile_table(df, duplicates=False)
-    return (*C.clean_table(df, profile), profile)
+    return prepare.cleaned(messy_orders(spark, sf))
 
 
 @query("clean_table", FROM_MESSY + """

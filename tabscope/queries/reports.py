@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import format_value, signed_percent
 from ..operators import catalogue as G, insights as I, kpi as K, profile as P, views as V
 from ..plans import bundle as B, questions as Q
+from ..plans.prepare import prepare
 from ..session import new_path
 from ..sources import delimited, sinks
 from ..specs import Filter, KpiSpec, QuestionSpec, ViewSpec
-from .cleaning import cleaned
-from .messy import SOURCE_SQL
+from .messy import SOURCE_SQL, messy_orders
 from .registry import query, table
 from .shapes import PERIODS, money
 
@@ -176,20 +176,21 @@ def kpi_comparison(spark, sf):
     SELECT 'total_revenue' AS kpi_id, 'Total Revenue' AS name, 'currency' AS format,
            round(sum(CASE WHEN k <> 7 THEN round(o_totalprice, 2) END), 2) AS value FROM base
     UNION ALL SELECT 'return_rate', 'Return Rate', 'percent', round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 2) FROM base
-    UNION ALL SELECT 'record_count', 'Total Records', 'count', CAST(count(*) AS DOUBLE) FROM base
+    UNION ALL SELECT 'average_order_value', 'Average Order Value', 'currency',
+           round(sum(CASE WHEN k <> 7 THEN round(o_totalprice, 2) END) / count(*), 2) FROM base
+    UNION ALL SELECT 'record_count', 'Total Orders', 'count', CAST(count(*) AS DOUBLE) FROM base
     UNION ALL SELECT 'total_balance', 'Total Balance', 'currency', round(sum(round(c_acctbal, 2)), 2) FROM base
-    UNION ALL SELECT 'total_weight', 'Total Weight', 'number', CAST(sum(key % 50) AS DOUBLE) FROM base
-    UNION ALL SELECT 'avg_discount_pct', 'Average Discount Pct', 'percent', round(avg((key % 4) * 5), 2) FROM base""")
+    UNION ALL SELECT 'total_weight', 'Total Weight', 'number', CAST(sum(key % 50) AS DOUBLE) FROM base""")
 def kpi_table(spark, sf):
-    df, _, _ = cleaned(spark, sf)
-    profile = P.profile_table(df, duplicates=False)
-    return money(K.kpi_table(df, K.discover_kpis(profile)).select("kpi_id", "name", "format", "value"), "value")
+    ready = prepare(messy_orders(spark, sf))
+    return money(K.kpi_table(ready.df, K.discover_kpis(ready.profile)).select("kpi_id", "name", "format", "value"), "value")
 
 
 @query("kpi_distinct_entities", """
-    SELECT 'distinct_conv_id' AS kpi_id, 'Unique Conv' AS name, CAST(count(DISTINCT conv_id) AS DOUBLE) AS value FROM conversations""")
+    SELECT 'distinct_order_key' AS kpi_id, 'Unique Order Key' AS name, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS value FROM lineitem""")
 def kpi_distinct_entities(spark, sf):
-    df = table(spark, sf, "conversations").select("conv_id", "role", "turn")
+    df = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_key"), "l_returnflag").agg(
+        F.sum("l_quantity").alias("quantity"))
     profile = P.profile_table(df, duplicates=False)
     specs = [s for s in K.discover_kpis(profile) if s.aggregation == "count_distinct"]
     return K.kpi_table(df, specs).select("kpi_id", "name", "value")
@@ -321,11 +322,11 @@ def plan_aggregate(spark, sf):
 
 
 def full_analysis(spark, sf):
-    df, report, _ = cleaned(spark, sf)
-    profile = P.profile_table(df, duplicates=False)
+    ready = prepare(messy_orders(spark, sf))
+    df, profile = ready.df, ready.profile
     analysis = B.analyze(df, profile)
     kpis = B.frozen(K.kpi_table(df, K.discover_kpis(profile), compare=(profile.primary_date, profile.grain())))
-    return profile, analysis, kpis, report
+    return profile, analysis, kpis, ready.report
 
 
 @query("analysis_bundle")
