@@ -16,11 +16,19 @@ _BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u200
 _BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 _SYMBOLS = f"[{CURRENCY_SYMBOLS}]"
 _COMMA_GROUP = r"(?<=\d),(?=\d{3}(?:\D|$))"
-_SPACE_GROUP = r"(?U)(?<=\d)\s(?=\d{3}(?:\D|$))"
+_SPACE_GROUP = r"(?<=\d)[\s\p{IsWhite_Space}](?=\d{3}(?:\D|$))"
 _PARENTHESISED = r"^\((.*)\)$"
 _UNIT = rf"(?i)\s*(?:{UNIT_WORDS})\.?$"
 _PLAIN_NUMBER = r"^-?\d+(?:\.\d+)?$"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+# The usual decorated number: sign, symbol, comma groups, parentheses, percent.
+_AMOUNT = r"\d{1,3}(?:,\d{3})*(?:\.\d+)?"
+_TIDY_NUMBER = rf"^(?:(?:[-+]?{_SYMBOLS}?|{_SYMBOLS}[-+]){_AMOUNT}|\({_SYMBOLS}?{_AMOUNT}\))%?$"
+# What any other decorated number looks like; the rest skips the clean-up chain.
+# Inside it a minus only follows an exponent, which keeps dates out.
+_MARKS = rf"\s\p{{IsWhite_Space}}.,()%eE{CURRENCY_SYMBOLS}"
+_NUMBER_LIKE = (rf"^[{_MARKS}+\-−]*\d[\d{_MARKS}]*(?:[eE][-+−]\d+)?"
+                rf"(?i:{UNIT_WORDS})?[{_MARKS}]*$")
 
 
 def trimmed(c: Column) -> Column:
@@ -77,11 +85,11 @@ def number_text(c: Column) -> Column:
 
 
 def has_comma_groups(c: Column) -> Column:
-    return number_text_step(c, 2).rlike(_COMMA_GROUP)
+    return c.contains(",") & c.rlike(_NUMBER_LIKE) & number_text_step(c, 2).rlike(_COMMA_GROUP)
 
 
 def has_parentheses(c: Column) -> Column:
-    return number_text_step(c, 4).rlike(_PARENTHESISED)
+    return c.contains("(") & c.rlike(_NUMBER_LIKE) & number_text_step(c, 4).rlike(_PARENTHESISED)
 
 
 def number_text_step(c: Column, step: int) -> Column:
@@ -93,11 +101,17 @@ def number_text_step(c: Column, step: int) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Double or null. Plain numbers skip the clean-up chain altogether."""
-    cleaned = number_text(c)
+    """Double or null. Only unusual notations go through the clean-up chain.
+
+    A tidy number gives the same value by dropping its decoration in one step.
+    The pattern on the chain guards the cast, which also takes ``12d`` or ``NaN``.
+    """
+    bare = F.concat(F.when(c.startswith("("), "-").otherwise(""), F.translate(c, CURRENCY_SYMBOLS + ",()%+", ""))
+    exact = F.regexp_extract(number_text(c), _NUMBER, 0)
     return (
         F.when(c.rlike(_PLAIN_NUMBER), c.try_cast("double"))
-        .when(cleaned.rlike(_NUMBER), cleaned.try_cast("double"))
+        .when(c.rlike(_TIDY_NUMBER), bare.try_cast("double"))
+        .when(c.rlike(_NUMBER_LIKE), exact.try_cast("double"))
     )
 
 
@@ -170,7 +184,7 @@ FACTS = {
     "sane_year": lambda c: c.rlike(_SANE_YEAR),
     "uuid": lambda c: c.rlike(UUID_PATTERN),
     "email": lambda c: c.rlike(EMAIL_PATTERN),
-    "placeholder": lambda c: is_placeholder(squeezed(c)),
+    "placeholder": is_placeholder,  # none holds a blank, so squeezing cannot make one
 }
 FACT_BIT = {name: len(LAYOUT_NAMES) + i for i, name in enumerate(FACTS)}
 

@@ -112,16 +112,22 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], limit: int | None = 6,
     return (ordered.limit(limit) if limit else ordered).drop("position")
 
 
+def _varied(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns with four distinct values: two different ones lie between the ends."""
+    value = {c: finite(df, c).cast("double") for c in columns}
+    ends = df.agg(*[F.array(F.min(v), F.max(v)).alias(c) for c, v in value.items()]).first()
+    between = {c: F.when((v > F.lit(ends[c][0])) & (v < F.lit(ends[c][1])), v) for c, v in value.items()}
+    inner = df.agg(*[(F.min(v) < F.max(v)).alias(c) for c, v in between.items()]).first()
+    return [c for c in columns if inner[c]]
+
+
 def distribution_shape(df: DataFrame, columns: Sequence[str], distinct: dict[str, int] | None = None) -> DataFrame:
     """``column, shape, skew, kurtosis`` for columns with 20 rows and 4 distinct values."""
     spark = df.sparkSession
     schema = "column string, shape string, skew double, kurtosis double"
     if not columns:
         return spark.createDataFrame([], schema)
-    if distinct is None:
-        # Only "at least four" is asked; the sketch counts so few exactly.
-        distinct = df.agg(*[F.approx_count_distinct(finite(df, c), 0.01).alias(c) for c in columns]).first().asDict()
-    varied = [c for c in columns if distinct[c] >= 4]
+    varied = [c for c in columns if distinct[c] >= 4] if distinct else _varied(df, columns)
     if not varied:
         return spark.createDataFrame([], schema)
     aggs = []

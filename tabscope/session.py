@@ -16,6 +16,8 @@ def local_session(cores: str = "*", name: str = "tabscope", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Small local inputs: keep all cores busy instead of merging to one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
