@@ -170,29 +170,37 @@ def layout_bits(name: str) -> Column:
 _SANE_YEAR = r"(?:^|\D)(?:19\d{2}|20\d{2}|2100)(?:\D|$)|^(?:19\d{2}|20\d{2}|2100)\d{4}$|/\d{2}$"
 
 # Every yes/no fact gathered about a text value, in bit order above the layouts.
-FACTS = {
+# Those of the first group can only hold for a value with a digit.
+DIGIT_FACTS = {
     "number": lambda c: to_number(c).isNotNull(),
-    "percent": has_percent,
-    "currency": has_currency,
     "comma_groups": has_comma_groups,
     "parentheses": has_parentheses,
+    "year_hint": lambda c: c.rlike(YEAR_HINT),
+    "compact_date": lambda c: (F.length(c) == 8) & c.rlike(COMPACT_DATE),
+    "sane_year": lambda c: c.rlike(_SANE_YEAR),
+    "uuid": lambda c: (F.length(c) == 36) & c.rlike(UUID_PATTERN),
+}
+OTHER_FACTS = {
+    "percent": has_percent,
+    "currency": has_currency,
     "true": lambda c: F.lower(c).isin(*TRUE_TOKENS),
     "false": lambda c: F.lower(c).isin(*FALSE_TOKENS),
     "date_hint": lambda c: c.rlike(DATE_HINT),
-    "year_hint": lambda c: c.rlike(YEAR_HINT),
-    "compact_date": lambda c: c.rlike(COMPACT_DATE),
-    "sane_year": lambda c: c.rlike(_SANE_YEAR),
-    "uuid": lambda c: c.rlike(UUID_PATTERN),
-    "email": lambda c: c.rlike(EMAIL_PATTERN),
+    "email": lambda c: c.contains("@") & c.rlike(EMAIL_PATTERN),
+    "inner_blanks": lambda c: c.contains("  ") | (F.translate(c, _BLANKS.replace(" ", ""), "") != c),
     "placeholder": is_placeholder,  # none holds a blank, so squeezing cannot make one
 }
-FACT_BIT = {name: len(LAYOUT_NAMES) + i for i, name in enumerate(FACTS)}
+FACT_BIT = {name: len(LAYOUT_NAMES) + i for i, name in enumerate([*DIGIT_FACTS, *OTHER_FACTS])}
 
 
 def fact_bits(c: Column) -> Column:
     """All facts of a trimmed value as one bigint."""
-    mask = None
-    for name, test in FACTS.items():
-        bit = F.when(test(c), 1 << FACT_BIT[name]).otherwise(0).cast("bigint")
-        mask = bit if mask is None else mask.bitwiseOR(bit)
-    return mask
+    def union(facts) -> Column:
+        mask = None
+        for name, test in facts.items():
+            bit = F.when(test(c), 1 << FACT_BIT[name]).otherwise(0).cast("bigint")
+            mask = bit if mask is None else mask.bitwiseOR(bit)
+        return mask
+
+    digits = F.when(c.rlike("[0-9]"), union(DIGIT_FACTS)).otherwise(F.lit(0).cast("bigint"))
+    return union(OTHER_FACTS).bitwiseOR(digits)

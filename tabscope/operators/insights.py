@@ -34,11 +34,11 @@ def title_case(c: Column, names: list[str]) -> Column:
 
 
 def whole(c: Column) -> Column:
-    return F.format_string("%,.0f", c.cast("double"))
+    return F.when(c.isNotNull(), F.format_string("%,.0f", c.cast("double"))).otherwise("n/a")
 
 
 def tenth(c: Column) -> Column:
-    return F.format_string("%.1f", c.cast("double"))
+    return F.when(c.isNotNull(), F.format_string("%.1f", c.cast("double"))).otherwise("n/a")
 
 
 def _finding(source: DataFrame, order: int, insight_id: Column, category: str, severity: Column, confidence: float,

@@ -59,7 +59,7 @@ def text_frequencies(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     counted = trimmed.select(
         "position",
         F.when(is_long, F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v).alias("key"),
-        (F.col("value") != coerce.squeezed(F.col("value"))).cast("bigint").alias("changed"),
+        (F.col("value") != v).cast("bigint").alias("changed"),
         # No date layout is that long, so only the other facts apply.
         F.when(is_long, coerce.fact_bits(v)).alias("mask"),
         F.when(is_long, F.length(v)).alias("length"),
@@ -68,11 +68,13 @@ def text_frequencies(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("changed").alias("changed"),
         F.max("mask").alias("mask"), F.max("length").alias("length"), F.max("words").alias("words"))
     key = F.col("key")
-    return counted.select(
+    known = counted.select(
         "position", "key", "n", "changed",
         F.coalesce("mask", coerce.layout_bits("key").bitwiseOR(coerce.fact_bits(key))).alias("mask"),
         F.coalesce("length", F.length(key)).alias("length"),
         F.coalesce("words", word_count(key)).alias("words"))
+    inner = F.col("mask").bitwiseAND(1 << coerce.FACT_BIT["inner_blanks"]) != 0
+    return known.withColumn("changed", F.when(inner, F.col("n")).otherwise(F.col("changed")))
 
 
 def word_count(c: Column) -> Column:
@@ -185,9 +187,9 @@ def evidence_frame(spark, evidence: dict[str, Evidence], facts: Sequence[str]) -
 
 
 def parsed_column(source: Column, inferred: str, parse: dict) -> Column:
-    """A text column as its inferred type."""
+    """A trimmed text column as its inferred type."""
     if inferred == "numeric":
-        return coerce.to_number(coerce.trimmed(source))
+        return coerce.to_number(source)
     if inferred == "datetime":
         return coerce.to_datetime(source, parse["layouts"])
     return coerce.to_boolean(source)
@@ -323,7 +325,7 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
     Without ``detail`` only what cleaning needs is computed (types, roles,
     distinct counts, ends); statistics, top values and samples stay empty.
     """
-    names = df.columns
+    raw, names = df, df.columns
     direct = [n for n in names if is_numeric(df, n) or is_temporal(df, n) or is_boolean(df, n)]
     source = {n: quoted(n).cast("string") for n in names if n not in direct}
     n_rows, evidence = count_and_evidence(df, source)
@@ -332,6 +334,9 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
     for n, e in evidence.items():
         kinds[n], parse[n] = _text_type(df, n, source[n], e)
 
+    # Trimmed once in a projection of its own, as parsing refers to the text often.
+    df = df.select(*[(coerce.trimmed(source[n]) if n in source else quoted(n)).alias(n) for n in names])
+    source = {n: quoted(n) for n in source}
     typed = {n: parsed_column(source[n], kinds[n], parse[n])
              if n in source and kinds[n] in ("numeric", "datetime", "boolean")
              else finite(df, n) if is_numeric(df, n) else quoted(n) for n in names}
@@ -373,7 +378,7 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
         if kinds[n] == "numeric" and n not in stats:
             stats[n] = {"min": distinct[n][1], "max": distinct[n][2]}
         c = ColumnProfile(
-            name=n, physical_type=df.schema[n].dataType.simpleString(), inferred_type=kinds[n],
+            name=n, physical_type=raw.schema[n].dataType.simpleString(), inferred_type=kinds[n],
             count=count, missing=missing, missing_pct=round(missing / n_rows * 100, 2) if n_rows else 0.0,
             unique=unique, cardinality_ratio=round(unique / count, 4) if count else 0.0,
             is_constant=unique <= 1 and count > 0,
@@ -387,7 +392,7 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
         c.role, c.role_confidence, c.role_evidence = roles.infer_role(c, facts)
         columns.append(c)
 
-    repeated = duplicate_count(df).first()["n_duplicates"] if duplicates else None
+    repeated = duplicate_count(raw).first()["n_duplicates"] if duplicates else None
     domain, signals = roles.guess_domain(names)
     profile = TableProfile(n_rows, repeated, columns, domain=domain, domain_signals=signals)
     roles.pick_primaries(profile)
@@ -427,8 +432,7 @@ def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
             continue
         shown = t
         if kinds[n] in ("categorical", "text"):
-            trimmed = coerce.trimmed(F.col(f"s{i}"))
-            shown = F.when(trimmed != "", trimmed)
+            shown = F.when(F.col(f"s{i}") != "", F.col(f"s{i}"))
         aggs.append(F.struct(F.min(shown).alias("lo"), F.max(shown).alias("hi")).alias(f"end{i}"))
         if kinds[n] == "datetime":
             aggs.append(F.timestamp_diff("DAY", F.min(t), F.max(t)).alias(f"span{i}"))

@@ -31,8 +31,9 @@ def prepare(df: DataFrame, path: str | None = None) -> Prepared:
     parses text again, and a lost executor costs a re-read, not a re-clean.
     """
     spark = df.sparkSession
-    typed, report = cleaned(df)
     path = path or new_path(spark, "clean")
+    raw = profile_table(df, duplicates=False, detail=False)
+    typed, report = clean_table(df, raw, stage=new_path(spark, "typed"))
     typed.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
     return Prepared(stored, profile_table(stored, duplicates=False), report)
