@@ -1,10 +1,11 @@
 """Exact percentiles that hold up when one group is a third of the table.
 
-``percentile`` keeps a value-to-count map per group in one task. That is fine
-while the number of distinct values is bounded, so it is measured first. Beyond
-the bound the values are cut into buckets at sketch-based split points, ranks
-are located by bucket totals, and only the buckets holding a wanted rank are
-sorted.
+Values are first counted by (group, value), which combines map-side and spreads a
+hot group over all tasks. ``percentile`` then keeps one map of distinct values
+per group; that is fine while their number is bounded, so it is measured first.
+Beyond the bound the values are cut into buckets at sketch-based split points,
+ranks are located by bucket totals, and only the buckets holding a wanted rank
+are sorted.
 """
 
 from __future__ import annotations
@@ -20,20 +21,24 @@ SPLIT_POINTS = 1024
 
 def percentiles(df: DataFrame, value: Column, probs: list[float], by: dict[str, Column] | None = None,
                 distinct: int | None = None, in_task: int = IN_TASK_DISTINCT) -> DataFrame:
-    """One row per group with ``p``, the exact percentiles as an array.
+    """One row per group with ``p``, the exact percentiles as an array, and ``n``, its rows.
 
-    Groups must be non-null. ``distinct`` is the largest number of distinct
-    values in any group when the caller already knows it.
+    Groups must be non-null; null values count as rows only. ``distinct`` is the
+    largest number of distinct values in any group when already known.
     """
     by = by or {}
     keys = list(by)
     rows = df.select(*[c.alias(k) for k, c in by.items()], value.cast("double").alias("_v"))
-    rows = rows.where(F.col("_v").isNotNull())
     if distinct is None:
         distinct = largest_distinct(rows, keys)
+    # Counting by value first spreads a hot group over all tasks.
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     if distinct <= in_task:
-        return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("p"))
-    return _spread(rows, keys, probs)
+        grid = F.array(*[F.lit(p) for p in probs])
+        return counted.groupBy(*keys).agg(F.percentile("_v", grid, F.col("_n")).alias("p"), F.sum("_n").alias("n"))
+    exact = _spread(rows.where(F.col("_v").isNotNull()), keys, probs)
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    return sizes.join(exact, keys, "left") if keys else exact.select("p", sizes.scalar().alias("n"))
 
 
 def largest_distinct(rows: DataFrame, keys: list[str]) -> int:
@@ -45,7 +50,6 @@ def _spread(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     grid = [i / SPLIT_POINTS for i in range(1, SPLIT_POINTS)]
     inner = sorted(set(rows.agg(F.percentile_approx("_v", grid, 10 * SPLIT_POINTS)).first()[0]))
     splits = [float("-inf"), *inner, float("inf")]
-    # Counting by value first spreads a hot group over all tasks.
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counted)
 
@@ -94,14 +98,15 @@ def column_percentiles(df: DataFrame, columns: dict[str, Column], probs: list[fl
         row = df.agg(*[F.approx_count_distinct(c).alias(n) for n, c in columns.items()]).first()
         distinct = row.asDict()
     small = [n for n in columns if distinct[n] <= in_task]
-    found: dict[str, list[float] | None] = {}
+    found: dict[str, list[float] | None] = dict.fromkeys(columns)
     if small:
-        grid = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(*[F.percentile(columns[n].cast("double"), grid).alias(n) for n in small]).first()
-        found.update(row.asDict())
+        tagged = [F.struct(F.lit(n).alias("name"), columns[n].cast("double").alias("value")) for n in small]
+        cells = df.select(F.inline(F.array(*tagged)))
+        p = percentiles(cells, F.col("value"), probs, {"name": F.col("name")}, distinct=0)
+        found.update({r["name"]: r["p"] for r in p.collect()})
     for name in columns:
-        if name not in found:
-            # One narrow scan per very wide column keeps its own split points.
+        if name not in small:
+            # One narrow scan per very varied column keeps its own split points.
             row = percentiles(df, columns[name], probs, distinct=distinct[name], in_task=in_task).first()
             found[name] = row["p"] if row else None
     return found

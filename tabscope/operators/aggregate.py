@@ -8,13 +8,16 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import finite, is_boolean, is_numeric, label, ref
-from ..functions.quantiles import IN_TASK_DISTINCT, largest_distinct, percentiles
+from ..functions.quantiles import IN_TASK_DISTINCT, percentiles
 from ..functions.stats import correlation
 from ..specs import Filter, MAX_POINTS, MAX_RESULT_ROWS, SpecError
 from .filters import apply_filters
 
 def aggregate_column(df: DataFrame, measure: str | None, aggregation: str) -> Column:
-    """The aggregate as a column; a measure is optional only for counting rows."""
+    """The aggregate as a column; a measure is optional only for counting rows.
+
+    A median is not among them: :func:`group_values` and :func:`scalar` compute it.
+    """
     if measure is None:
         if aggregation == "count":
             return F.count(F.lit(1))
@@ -22,7 +25,7 @@ def aggregate_column(df: DataFrame, measure: str | None, aggregation: str) -> Co
     col = ref(df, measure)
     made = {
         "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
-        "count_distinct": F.count_distinct, "median": F.median,
+        "count_distinct": F.count_distinct,
     }.get(aggregation)
     if made is None:
         raise SpecError(f"unsupported aggregation {aggregation!r}")
@@ -33,9 +36,8 @@ def group_values(df: DataFrame, keys: dict[str, Column], measure: str | None, ag
                  count: bool = True, in_task: int = IN_TASK_DISTINCT) -> DataFrame:
     """``keys..., value[, row_count]`` for non-null keys.
 
-    Every aggregate combines map-side. A distinct count is shuffled by value
-    first; a median falls back to bucketed percentiles when a group holds too
-    many distinct values for one task.
+    Every aggregate combines map-side. A distinct count and a median are
+    shuffled by value first, so a hot group never meets in one task.
     """
     present = df
     for col in keys.values():
@@ -43,14 +45,8 @@ def group_values(df: DataFrame, keys: dict[str, Column], measure: str | None, ag
     rows = [F.count(F.lit(1)).alias("row_count")] if count else []
     named = [c.alias(k) for k, c in keys.items()]
     if aggregation == "median" and measure is not None:
-        value = ref(df, measure)
-        narrow = present.select(*named, value.cast("double").alias("_v"))
-        if largest_distinct(narrow, list(keys)) > in_task:
-            exact = percentiles(present, value, [0.5], keys, distinct=in_task + 1, in_task=in_task)
-            medians = exact.select(*keys, F.col("p")[0].alias("value"))
-            counts = present.groupBy(*named).agg(F.count(F.lit(1)).alias("row_count"))
-            joined = counts.join(medians, list(keys), "left") if keys else medians
-            return joined.select(*keys, "value", *(["row_count"] if count else []))
+        exact = percentiles(present, ref(df, measure), [0.5], keys, in_task=in_task)
+        return exact.select(*keys, F.col("p")[0].alias("value"), *([F.col("n").alias("row_count")] if count else []))
     return present.groupBy(*named).agg(aggregate_column(df, measure, aggregation).alias("value"), *rows)
 
 

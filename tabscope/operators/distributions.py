@@ -12,6 +12,7 @@ from ..functions.quantiles import IN_TASK_DISTINCT, column_percentiles
 from ..functions.stats import correlation, pearson_p_value, sample_kurtosis, sample_skewness
 
 MIN_ROWS = 20
+PAIRS_PER_SCAN = 300  # keeps the aggregate of a very wide table plannable
 MODERATE = 0.4
 STRONG = 0.7
 
@@ -32,10 +33,12 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int = 12) ->
         return spark.createDataFrame([], PAIRS_SCHEMA)
     col = {c: finite(df, c).cast("double") for c in columns}
     joint = [col[a].isNotNull() & col[b].isNotNull() for a, b in pairs]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        aggs += [correlation(col[a], col[b]).alias(f"r{i}"), F.count_if(joint[i]).alias(f"n{i}")]
-    got = df.agg(*aggs).first()
+    got: dict = {}
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        aggs = []
+        for i, (a, b) in enumerate(pairs[start:start + PAIRS_PER_SCAN], start):
+            aggs += [correlation(col[a], col[b]).alias(f"r{i}"), F.count_if(joint[i]).alias(f"n{i}")]
+        got.update(df.agg(*aggs).first().asDict())
     strong = [i for i in range(len(pairs))
               if got[f"n{i}"] >= MIN_ROWS and got[f"r{i}"] is not None and abs(got[f"r{i}"]) >= MODERATE]
     if not strong:

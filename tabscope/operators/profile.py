@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import coerce
 from ..functions.columns import finite, is_boolean, is_integral, is_numeric, is_temporal, quoted
-from ..functions.quantiles import IN_TASK_DISTINCT, column_percentiles
+from ..functions.quantiles import column_percentiles
 from ..functions.stats import sample_skewness
 from ..specs import ColumnProfile, HIGH_CARDINALITY_RATIO, MAX_CARDINALITY, TableProfile
 from ..vocabulary import COMPACT_DATE, DATE_NAME_HINTS
@@ -420,10 +420,9 @@ def _distinct_classes(df, names, kinds, typed, source, detail) -> dict[str, tupl
 
 
 def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
-    """Row count and presence and, in detail, ends, moments and percentiles: one aggregate."""
+    """Row count and presence and, in detail, ends, moments and percentiles."""
     frame = df.select(*[typed[n].alias(f"t{i}") for i, n in enumerate(names)],
                       *[source[n].alias(f"s{i}") for i, n in enumerate(names) if n in source])
-    grid = F.array(*[F.lit(p) for p in PERCENTS])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(names):
         t = F.col(f"t{i}")
@@ -438,11 +437,9 @@ def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
             aggs.append(F.timestamp_diff("DAY", F.min(t), F.max(t)).alias(f"span{i}"))
         if kinds[n] == "numeric":
             aggs.extend(numeric_aggs(t, i))
-            if distinct[n][0] <= IN_TASK_DISTINCT:
-                aggs.append(F.percentile(t.cast("double"), grid).alias(f"p{i}"))
     got = frame.agg(*aggs).first().asDict()
     out = {"rows": got["rows"], "present": {}, "ends": {}, "span": {}, "stats": {}}
-    numeric, quartiles = {}, {}
+    numeric = {}
     for i, n in enumerate(names):
         out["present"][n] = got[f"n{i}"]
         out["ends"][n] = got.get(f"end{i}")
@@ -450,10 +447,8 @@ def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
         if detail and kinds[n] == "numeric" and got[f"n{i}"]:
             numeric[n] = F.col(f"t{i}").cast("double")
             out["stats"][n] = got[f"num{i}"].asDict()
-            quartiles[n] = got.get(f"p{i}")
-    wide = {n: c for n, c in numeric.items() if quartiles[n] is None}
-    quartiles.update(column_percentiles(frame, wide, list(PERCENTS), {n: distinct[n][0] for n in wide}))
-    _add_percentiles(frame, numeric, out["stats"], quartiles)
+    found = column_percentiles(frame, numeric, list(PERCENTS), {n: distinct[n][0] for n in numeric})
+    _add_percentiles(frame, numeric, out["stats"], found)
     return out
 
 
