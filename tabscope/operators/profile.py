@@ -78,7 +78,7 @@ def text_frequencies(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def word_count(c: Column) -> Column:
-    return F.when(c == "", 0).otherwise(F.size(F.split(c, r"(?U)\s+")))
+    return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
 class Evidence:
@@ -299,10 +299,12 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 # --- top values --------------------------------------------------------------
 
 
-def top_values(df: DataFrame, columns: dict[str, Column], k: int = 12) -> DataFrame:
+def top_values(df: DataFrame, columns: dict[str, Column], k: int = 12,
+               counts: dict[str, int] | None = None) -> DataFrame:
     """``name, rank, value, n, pct``: the k most frequent values of each column.
 
     Ranking is cut to k rows per column inside each task before the shuffle.
+    ``counts`` are the non-blank values per column, counted here if not known.
     """
     tagged = [F.struct(F.lit(n).alias("name"), coerce.trimmed(c.cast("string")).alias("value"))
               for n, c in columns.items()]
@@ -310,8 +312,12 @@ def top_values(df: DataFrame, columns: dict[str, Column], k: int = 12) -> DataFr
     counted = values.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("name").orderBy(F.desc("n"), "value")
     best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    totals = df.agg(*[F.count_if(coerce.trimmed(c.cast("string")) != "").alias(n) for n, c in columns.items()])
-    whole = F.coalesce(*[F.when(F.col("name") == n, totals.select(quoted(n)).scalar()) for n in columns])
+    if counts is None:
+        totals = df.agg(*[F.count_if(coerce.trimmed(c.cast("string")) != "").alias(n) for n, c in columns.items()])
+        total = {n: totals.select(quoted(n)).scalar() for n in columns}
+    else:
+        total = {n: F.lit(counts[n]) for n in columns}
+    whole = F.coalesce(*[F.when(F.col("name") == n, total[n]) for n in columns])
     return best.select("name", "rank", "value", "n",
                        F.round(F.try_divide(F.col("n") * 100.0, whole), 2).alias("pct"))
 
@@ -367,7 +373,8 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
         n_rows = row["rows"]
     if detail:
         stats = {n: row["stats"][n] for n in names if kinds[n] == "numeric" and row["stats"].get(n)}
-        tops = _tops(df, names, kinds, evidence, source)
+        counts = {n: evidence[n].count if n in evidence else row["present"][n] for n in names}
+        tops = _tops(df, names, kinds, evidence, source, counts)
 
     columns = []
     for n in names:
@@ -452,12 +459,12 @@ def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
     return out
 
 
-def _tops(df, names, kinds, evidence, source) -> dict[str, list]:
+def _tops(df, names, kinds, evidence, source, counts) -> dict[str, list]:
     listed = {n: source.get(n, quoted(n).cast("string")) for n in names if kinds[n] in ("categorical", "boolean")
               or (kinds[n] == "text" and evidence[n].unique <= MAX_CARDINALITY)}
     tops: dict[str, list] = {n: [] for n in names}
     if listed:
-        for r in top_values(df, listed).orderBy("name", "rank").collect():
+        for r in sorted(top_values(df, listed, counts=counts).collect(), key=lambda r: r["rank"]):
             if kinds[r["name"]] != "text" or r["rank"] <= 8:
                 tops[r["name"]].append((r["value"], r["n"], r["pct"]))
     return tops

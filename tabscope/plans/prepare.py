@@ -19,9 +19,14 @@ class Prepared:
     report: CleaningReport
 
 
-def cleaned(df: DataFrame) -> tuple[DataFrame, CleaningReport]:
-    """The cleaned table as a lazy plan, with its report."""
-    return clean_table(df, profile_table(df, duplicates=False, detail=False))
+def cleaned(df: DataFrame, staged: bool = True) -> tuple[DataFrame, CleaningReport]:
+    """The cleaned table and its report.
+
+    ``staged`` writes the converted columns once below the shared folder, so
+    that merging, de-duplication and reading do not parse the text again.
+    """
+    raw = profile_table(df, duplicates=False, detail=False)
+    return clean_table(df, raw, stage=new_path(df.sparkSession, "typed") if staged else None)
 
 
 def prepare(df: DataFrame, path: str | None = None) -> Prepared:
@@ -31,9 +36,8 @@ def prepare(df: DataFrame, path: str | None = None) -> Prepared:
     parses text again, and a lost executor costs a re-read, not a re-clean.
     """
     spark = df.sparkSession
+    typed, report = cleaned(df)
     path = path or new_path(spark, "clean")
-    raw = profile_table(df, duplicates=False, detail=False)
-    typed, report = clean_table(df, raw, stage=new_path(spark, "typed"))
     typed.write.mode("overwrite").parquet(path)
     stored = spark.read.parquet(path)
     return Prepared(stored, profile_table(stored, duplicates=False), report)
