@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +76,7 @@ def training_labels(labels: DataFrame, name: str, per_class: int) -> DataFrame:
     return first[0].unionByName(first[1])
 
 
-def map_frames(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInPandas(function, schema)
+def schema_of(df: DataFrame, **more: str) -> T.StructType:
+    """The table's schema with further columns (Spark type names)."""
+    kept = [f for f in df.schema.fields if f.name not in more]
+    return T.StructType(kept + [T.StructType.fromDDL(f"{n} {t}").fields[0] for n, t in more.items()])

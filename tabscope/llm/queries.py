@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tabscope.llm.bpe import op5_bpe
+from tabscope.llm.digest import op10_digest
+from tabscope.llm.quality import op2_quality
 
-QUERIES = {"op5_bpe": op5_bpe}
+QUERIES = {"op2_quality": op2_quality, "op5_bpe": op5_bpe, "op10_digest": op10_digest}
 SQL: dict[str, str] = {}
