@@ -5,6 +5,8 @@ from __future__ import annotations
 from tabscope.llm.bpe import op5_bpe
 from tabscope.llm.digest import op10_digest
 from tabscope.llm.quality import op2_quality
+from tabscope.llm.rules import op7_rules
+from tabscope.llm.toxicity import op4_toxicity
 
-QUERIES = {"op2_quality": op2_quality, "op5_bpe": op5_bpe, "op10_digest": op10_digest}
+QUERIES = {"op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op7_rules": op7_rules, "op10_digest": op10_digest}
 SQL: dict[str, str] = {}
