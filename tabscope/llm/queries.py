@@ -5,9 +5,11 @@ from __future__ import annotations
 from tabscope.llm.bpe import op5_bpe
 from tabscope.llm.chat import OP9_SQL, op9_chat
 from tabscope.llm.digest import op10_digest
+from tabscope.llm.mixing import OP6_SQL, op6_mixing
+from tabscope.llm.pii import op8_pii
 from tabscope.llm.quality import op2_quality
 from tabscope.llm.rules import op7_rules
 from tabscope.llm.toxicity import op4_toxicity
 
-QUERIES = {"op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op7_rules": op7_rules, "op9_chat": op9_chat, "op10_digest": op10_digest}
-SQL: dict[str, str] = {"op9_chat": OP9_SQL}
+QUERIES = {"op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_rules": op7_rules, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_digest": op10_digest}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
