@@ -9,7 +9,8 @@ from tabscope.llm.mixing import OP6_SQL, op6_mixing
 from tabscope.llm.pii import op8_pii
 from tabscope.llm.quality import op2_quality
 from tabscope.llm.rules import op7_rules
+from tabscope.llm.suffixes import op1_suffixes
 from tabscope.llm.toxicity import op4_toxicity
 
-QUERIES = {"op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_rules": op7_rules, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_digest": op10_digest}
+QUERIES = {"op1_suffixes": op1_suffixes, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_rules": op7_rules, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_digest": op10_digest}
 SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
