@@ -54,8 +54,8 @@ def label(df: DataFrame, name: str) -> Column:
 
 
 def finite(df: DataFrame, name: str) -> Column:
-    """A numeric column with NaN treated as missing."""
+    """A numeric column with NaN and infinities treated as missing."""
     col = ref(df, name)
     if isinstance(dtype(df, name), (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(col), col)
+        return F.when(~F.isnan(col) & (F.abs(col) < float("inf")), col)
     return col

@@ -23,12 +23,14 @@ def percentiles(df: DataFrame, value: Column, probs: list[float], by: dict[str,
                 distinct: int | None = None, in_task: int = IN_TASK_DISTINCT) -> DataFrame:
     """One row per group with ``p``, the exact percentiles as an array, and ``n``, its rows.
 
-    Groups must be non-null; null values count as rows only. ``distinct`` is the
+    Groups must be non-null; null, NaN and infinite values count as rows only. ``distinct`` is the
     largest number of distinct values in any group when already known.
     """
     by = by or {}
     keys = list(by)
-    rows = df.select(*[c.alias(k) for k, c in by.items()], value.cast("double").alias("_v"))
+    number = value.cast("double")
+    number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    rows = df.select(*[c.alias(k) for k, c in by.items()], number.alias("_v"))
     if distinct is None:
         distinct = largest_distinct(rows, keys)
     # Counting by value first spreads a hot group over all tasks.

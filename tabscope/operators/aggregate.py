@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import finite, is_boolean, is_numeric, label, ref
 from ..functions.quantiles import IN_TASK_DISTINCT, percentiles
 from ..functions.stats import correlation
-from ..specs import Filter, MAX_POINTS, MAX_RESULT_ROWS, SpecError
+from ..specs import Filter, MAX_POINTS, SpecError
 from .filters import apply_filters
 
 def aggregate_column(df: DataFrame, measure: str | None, aggregation: str) -> Column:
@@ -53,6 +53,11 @@ def group_values(df: DataFrame, keys: dict[str, Column], measure: str | None, ag
 # --- one number --------------------------------------------------------------
 
 
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows where the caller names a limit, else all."""
+    return df if limit is None else df.limit(int(limit))
+
+
 def row_count(df: DataFrame, filters: Iterable[Filter] = ()) -> DataFrame:
     return apply_filters(df, filters).agg(F.count(F.lit(1)).alias("n"))
 
@@ -109,13 +114,13 @@ SORTS = {
 
 
 def by_dimension(df: DataFrame, dimension: str, measure: str | None = None, aggregation: str = "count",
-                 filters: Iterable[Filter] = (), limit: int = 20, sort: str = "value_desc",
+                 filters: Iterable[Filter] = (), limit: int | None = 20, sort: str = "value_desc",
                  include_count: bool = True) -> DataFrame:
-    """``label, value[, row_count]``; equal values are ordered by label."""
+    """``label, value[, row_count]``; equal values are ordered by label. No limit: all labels."""
     kept = apply_filters(df, filters)
     grouped = group_values(kept, {"label": label(df, dimension)}, measure, aggregation, include_count)
     order = SORTS.get(sort, SORTS["value_desc"])()
-    return grouped.orderBy(*order).limit(min(int(limit), MAX_RESULT_ROWS))
+    return first_rows(grouped.orderBy(*order), limit)
 
 
 def top_labels(df: DataFrame, column: str, measure: str | None, aggregation: str, limit: int) -> DataFrame:
@@ -137,7 +142,7 @@ def split_groups(df: DataFrame, key: Column, series: str, measure: str | None, a
 
 
 def by_dimension_and_series(df: DataFrame, dimension: str, series: str, measure: str | None = None,
-                            aggregation: str = "count", filters: Iterable[Filter] = (), limit: int = 20,
+                            aggregation: str = "count", filters: Iterable[Filter] = (), limit: int | None = 20,
                             series_limit: int = 6) -> DataFrame:
     """``label, series, value`` for the labels with the largest total over kept series."""
     kept = apply_filters(df, filters)
@@ -145,13 +150,13 @@ def by_dimension_and_series(df: DataFrame, dimension: str, series: str, measure:
     # At most series_limit cells per label, so a label and its cells are one row.
     packed = cells.groupBy(F.col("key").alias("label")).agg(
         F.sum("value").alias("total"), F.array_sort(F.collect_list(F.struct("series", "value"))).alias("cells"))
-    shown = packed.orderBy(F.desc_nulls_last("total"), "label").limit(min(int(limit), MAX_RESULT_ROWS))
+    shown = first_rows(packed.orderBy(F.desc_nulls_last("total"), "label"), limit)
     return shown.select("label", F.inline("cells"))
 
 
-def pivot_series(cells: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
-    """Series values as columns. The few series names are read to fix the schema."""
-    names = [r[0] for r in cells.select("series").distinct().orderBy("series").limit(MAX_RESULT_ROWS).collect()]
+def pivot_series(cells: DataFrame, key: str, order: Sequence[Column] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Series values as columns. Without ``names``, the few names in the cells are read."""
+    names = sorted(names) if names is not None else [r[0] for r in cells.select("series").distinct().orderBy("series").collect()]
     wide = cells.groupBy(key).pivot("series", names).agg(F.sum("value"))
     if order:
         return wide.orderBy(*order)
@@ -175,7 +180,7 @@ def distinct_values(df: DataFrame, column: str, limit: int = 100) -> DataFrame:
 # --- rows --------------------------------------------------------------------
 
 
-def detail(df: DataFrame, columns: Sequence[str], filters: Iterable[Filter] = (), limit: int = 200,
+def detail(df: DataFrame, columns: Sequence[str], filters: Iterable[Filter] = (), limit: int | None = 200,
            order_by: str | None = None, descending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
     """Row-level table; top rows come from a bounded heap per task, not a full sort."""
     if not columns:
@@ -184,18 +189,21 @@ def detail(df: DataFrame, columns: Sequence[str], filters: Iterable[Filter] = ()
     if order_by:
         first = F.desc_nulls_last if descending else F.asc_nulls_last
         kept = kept.orderBy(first(ref(df, order_by)), *[ref(df, t) for t in ties])
-    return kept.limit(min(int(limit), MAX_RESULT_ROWS)).select(*[ref(df, c) for c in columns])
+    return first_rows(kept, limit).select(*[ref(df, c) for c in columns])
 
 
 def scatter(df: DataFrame, x: str, y: str, filters: Iterable[Filter] = (), series: str | None = None,
-            limit: int = MAX_POINTS, seed: int = 7) -> DataFrame:
-    """A seeded uniform sample of the filtered points."""
+            limit: int | None = MAX_POINTS, seed: int = 7, keys: Sequence[str] = ()) -> DataFrame:
+    """A seeded uniform sample of the filtered points: the first in the order of a hash of
+    the key columns (or all columns shown), so the partitioning has no say in it."""
     kept = apply_filters(df, filters).where(ref(df, x).isNotNull() & ref(df, y).isNotNull())
     cols = [ref(df, x).alias("x"), ref(df, y).alias("y")]
     if series:
         cols.append(label(df, series).alias("series"))
-    points = kept.select(*cols, F.rand(seed).alias("_pick"))
-    return points.orderBy("_pick").limit(min(int(limit), MAX_RESULT_ROWS)).drop("_pick")
+    named = [ref(df, k) for k in keys or [c for c in (x, y, series) if c]]
+    pick = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in named]))
+    points = kept.select(*cols, pick.alias("_pick"))
+    return first_rows(points.orderBy("_pick", "x", "y"), limit).drop("_pick")
 
 
 # --- numeric shape -----------------------------------------------------------

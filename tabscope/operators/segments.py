@@ -11,16 +11,13 @@ from ..specs import Filter
 from .aggregate import aggregate_column, by_dimension
 from .filters import apply_filters
 
-MAX_SEGMENTS = 1000
-
 
 def dimension_values(df: DataFrame, dimensions: Sequence[str], measure: str | None, aggregation: str,
                      filters: Iterable[Filter] = ()) -> DataFrame:
     """``position, dimension, label, value, row_count`` for several dimensions in one scan.
 
     Each row is tagged once per dimension and combined map-side, so the shuffle
-    carries one row per task and category. At most ``MAX_SEGMENTS`` categories
-    per dimension are kept, the largest first.
+    carries one row per task and category.
     """
     kept = apply_filters(df, filters)
     tags = F.array(*[
@@ -32,14 +29,12 @@ def dimension_values(df: DataFrame, dimensions: Sequence[str], measure: str | No
     grouped = tagged.groupBy("position", "dimension", "label").agg(
         aggregate_column(tagged, measure, aggregation).cast("double").alias("value"),
         F.count(F.lit(1)).alias("row_count"))
-    best = Window.partitionBy("position", "dimension").orderBy(F.desc_nulls_last("value"), "label")
-    ranked = grouped.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= MAX_SEGMENTS)
-    return ranked.drop("_r").where(F.col("value").isNotNull())
+    return grouped.where(F.col("value").isNotNull())
 
 
 def single_dimension(df: DataFrame, dimension: str, measure: str | None, aggregation: str,
                      filters: Iterable[Filter] = ()) -> DataFrame:
-    rows = by_dimension(df, dimension, measure, aggregation, filters, limit=MAX_SEGMENTS)
+    rows = by_dimension(df, dimension, measure, aggregation, filters, limit=None)
     return rows.where(F.col("value").isNotNull()).select(
         F.lit(0).alias("position"), F.lit(dimension).alias("dimension"), "label",
         F.col("value").cast("double").alias("value"), "row_count")

@@ -1,7 +1,7 @@
 """Time buckets, trends, period comparison and anomalies.
 
 Raw rows are only ever grouped; every window below runs over period tables,
-which hold at most ``MAX_RESULT_ROWS`` rows per measure.
+which hold one row per period and measure.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import is_temporal, ref
 from ..functions.text import period_label
-from ..specs import GRAINS, Filter, MAX_RESULT_ROWS, SpecError
+from ..specs import GRAINS, Filter, SpecError
 from .aggregate import aggregate_column, group_values, split_groups
 from .filters import apply_filters
 
@@ -25,7 +25,9 @@ def bucket(df: DataFrame, date: str, grain: str) -> Column:
     if not is_temporal(df, date):
         raise SpecError(f"{date!r} is not a date column")
     grain = grain if grain in GRAINS else "month"
-    return F.date_trunc(grain, ref(df, date)).cast("timestamp_ntz")
+    # By dates, which know no time zone: a local midnight may not exist.
+    day = ref(df, date).cast("date")
+    return (day if grain == "day" else F.trunc(day, grain)).cast("timestamp_ntz")
 
 
 def time_series(df: DataFrame, date: str, measure: str | None = None, aggregation: str = "count",
@@ -33,7 +35,7 @@ def time_series(df: DataFrame, date: str, measure: str | None = None, aggregatio
     """``period, value, row_count`` for the periods present, in order."""
     kept = apply_filters(df, filters)
     grouped = group_values(kept, {"period": bucket(df, date, grain)}, measure, aggregation)
-    return grouped.orderBy("period").limit(MAX_RESULT_ROWS)
+    return grouped.orderBy("period")
 
 
 def time_series_by(df: DataFrame, date: str, series: str, measure: str | None = None,
@@ -42,7 +44,7 @@ def time_series_by(df: DataFrame, date: str, series: str, measure: str | None =
     """``period, series, value`` for the leading series values."""
     kept = apply_filters(df, filters)
     cells = split_groups(kept, bucket(df, date, grain), series, measure, aggregation, series_limit)
-    return cells.withColumnRenamed("key", "period").orderBy("period", "series").limit(MAX_RESULT_ROWS)
+    return cells.withColumnRenamed("key", "period").orderBy("period", "series")
 
 
 def measure_periods(df: DataFrame, date: str, measures: Sequence[tuple[str | None, str]], grain: str) -> DataFrame:
@@ -54,7 +56,7 @@ def measure_periods(df: DataFrame, date: str, measures: Sequence[tuple[str | Non
     aggs = [aggregate_column(df, m, a).cast("double").alias(f"v{i}") for i, (m, a) in enumerate(measures)]
     wide = (
         df.where(ref(df, date).isNotNull()).groupBy(period.alias("period"))
-        .agg(F.count(F.lit(1)).alias("row_count"), *aggs).orderBy("period").limit(MAX_RESULT_ROWS)
+        .agg(F.count(F.lit(1)).alias("row_count"), *aggs)
     )
     cells = [
         F.struct(F.lit(i).alias("position"), F.lit(m or "row count").alias("measure"), F.col(f"v{i}").alias("value"))

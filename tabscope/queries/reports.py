@@ -183,7 +183,7 @@ def kpi_comparison(spark, sf):
     UNION ALL SELECT 'total_weight', 'Total Weight', 'number', CAST(sum(key % 50) AS DOUBLE) FROM base""")
 def kpi_table(spark, sf):
     ready = prepare(messy_orders(spark, sf))
-    return money(K.kpi_table(ready.df, K.discover_kpis(ready.profile)).select("kpi_id", "name", "format", "value"), "value")
+    return money(K.kpi_table(ready.df, K.discover_kpis(ready.profile), limit=K.MAX_KPIS).select("kpi_id", "name", "format", "value"), "value")
 
 
 @query("kpi_distinct_entities", """
@@ -325,7 +325,7 @@ def full_analysis(spark, sf):
     ready = prepare(messy_orders(spark, sf))
     df, profile = ready.df, ready.profile
     analysis = B.analyze(df, profile)
-    kpis = B.frozen(K.kpi_table(df, K.discover_kpis(profile), compare=(profile.primary_date, profile.grain())))
+    kpis = B.frozen(K.kpi_table(df, K.discover_kpis(profile), compare=(profile.primary_date, profile.grain()), limit=K.MAX_KPIS))
     return profile, analysis, kpis, ready.report
 
 
@@ -455,7 +455,7 @@ def csv_round_trip(spark, sf):
 def report_tables(spark, sf):
     df, profile = orders_profile(spark, sf)
     analysis = B.analyze(df, profile)
-    kpis = K.kpi_table(df, K.discover_kpis(profile))
+    kpis = K.kpi_table(df, K.discover_kpis(profile), limit=K.MAX_KPIS)
     sheets = sinks.report_tables(df, kpis, analysis, G.data_dictionary(spark, profile))
     counts = [t.agg(F.lit(n).alias("sheet"), F.count(F.lit(1)).alias("n_rows")) for n, t in sheets.items()]
     out = counts[0]

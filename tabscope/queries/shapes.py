@@ -235,10 +235,12 @@ def ratio_kpi(spark, sf):
     return money(A.ratio(sales_lines(spark, sf), "discount_value", "l_extendedprice", 100.0), "value", places=4)
 
 
-@query("scatter_sample")
+@query("scatter_sample", """
+    SELECT l_quantity AS x, l_extendedprice AS y, l_linestatus AS series FROM lineitem WHERE l_returnflag = 'R'
+    ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), x, y LIMIT 500""")
 def scatter_sample(spark, sf):
     return A.scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice",
-                     [Filter("l_returnflag", "in", ["R"])], "l_linestatus", 500)
+                     [Filter("l_returnflag", "in", ["R"])], "l_linestatus", 500, keys=["l_orderkey", "l_linenumber"])
 
 
 # --- distributions -----------------------------------------------------------

@@ -29,11 +29,14 @@ def local_session(cores: str = "*", name: str = "tabscope", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests) a temporary one is made and set.
+    A local session, where one machine does everything, may do without: it gets a
+    temporary one. On a cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="tabscope-")
         spark.sparkContext.setCheckpointDir(folder)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.bundle import Analysis
 
-REPORT_ROWS = 100_000  # size of the report's data sheet, part of its definition
 PREVIEW_ROWS = (1, 25, 200)
 
 
@@ -21,8 +20,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """The cleaned table as CSV files with a header each."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """The cleaned table as CSV files with a header each; quotes are doubled, as the reader expects."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -40,6 +39,11 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS[1]) -> DataFrame:
     return df.limit(max(low, min(n, high)))
 
 
+def preview_with_total(df: DataFrame, n: int = PREVIEW_ROWS[1]) -> tuple[DataFrame, int]:
+    """The first rows and how many there are altogether."""
+    return preview(df, n), df.count()
+
+
 def report_tables(df: DataFrame, kpis: DataFrame, analysis: Analysis, dictionary: DataFrame) -> dict[str, DataFrame]:
     """The sheets of a report: KPIs, segments, data dictionary and data."""
     top = analysis.segment_rows.where("side = 'top'")
@@ -47,5 +51,5 @@ def report_tables(df: DataFrame, kpis: DataFrame, analysis: Analysis, dictionary
         "kpis": kpis.select("name", "value", "formatted_value", "change_pct", "calculation"),
         "segments": top.select("dimension", "label", "value", "share_pct"),
         "data_dictionary": dictionary,
-        "data": df.limit(REPORT_ROWS),
+        "data": df,
     }
