@@ -130,6 +130,12 @@ MEASURE_NAME_SCORES = {
     "total": 7.5, "profit": 7.0, "spend": 6.5, "value": 6.0, "price": 5.0,
     "quantity": 4.5, "units": 4.5, "cost": 3.0, "bonus": 2.5, "tax": 1.0,
 }
+# Share of a measure's name score that counts, by the most percent of missing values.
+MISSING_TRUST = ((25.0, 1.0), (50.0, 0.7), (float("inf"), 0.4))
+MEASURE_ROLE_RANK = {"currency": 3, "measure": 2, "quantity": 2, "ratio": 1, "percentage": 0}
+# Worth of a dimension by its number of values (least, most) and by its role.
+DIMENSION_SHAPES = ((3, 12, 3.0), (0, 2, 2.0), (13, 20, 2.0), (21, float("inf"), 1.0))
+DIMENSION_ROLE_WORTH = {"geo": 1.5, "dimension": 1.2, "demographic": 1.0, "flag": 0.6}
 AVERAGED_NAME_PARTS = (
     "price", "rate", "score", "age", "tenure", "level", "ratio", "margin",
     "index", "per_", "avg", "average", "median", "temperature", "rating",

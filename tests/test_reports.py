@@ -18,8 +18,8 @@ def story(prepared):
 
 def test_kpis(story):
     got = {r["kpi_id"]: r for r in story[1].collect()}
-    assert got["total_revenue"]["value"] == pytest.approx(13877.5) and got["total_revenue"]["formatted_value"] == "$13.9K"
-    assert got["return_rate"]["value"] == 25.0 and got["return_rate"]["is_favorable"] is True
+    assert got["total_revenue"]["value"] == pytest.approx(7712.25) and got["total_revenue"]["formatted_value"] == "$7.7K"
+    assert got["return_rate"]["value"] == pytest.approx(28.5714) and got["return_rate"]["is_favorable"] is True
     assert got["record_count"]["direction"] == "flat" and got["record_count"]["is_favorable"] is None
     assert got["total_revenue"]["period_label"] == "vs previous month (by order_date)"
     assert len(got) == 6
@@ -33,9 +33,9 @@ def test_previous_window_swallows_a_gap(spark):
 
 
 def test_no_comparison_under_filters(prepared):
-    row = K.kpi_table(prepared.df, [KpiSpec("t", "T", measure="revenue")], [Filter("region", "in", ["North"])],
+    row = K.kpi_table(prepared.df, [KpiSpec("t", "T", measure="revenue")], [Filter("region", "in", ["Alps"])],
                       compare=("order_date", "month")).first()
-    assert row["value"] == pytest.approx(6131.25) and row["change"] is None
+    assert row["value"] == pytest.approx(1683.0) and row["change"] is None
 
 
 def test_margin_and_proposals(spark, prepared):
@@ -73,13 +73,13 @@ def test_every_recommended_view_returns_rows(prepared):
 
 def test_questions(prepared):
     df, p = prepared.df, prepared.profile
-    assert Q.answer(df, p, QuestionSpec("rank", "revenue", "sum", "region", limit=1)).first()["label"] == "North"
-    assert Q.answer(df, p, QuestionSpec("aggregate", "product", "sum")).first()[0] == 12
+    assert Q.answer(df, p, QuestionSpec("rank", "revenue", "sum", "region", limit=1)).first()["label"] == "Lakes"
+    assert Q.answer(df, p, QuestionSpec("aggregate", "product", "sum")).first()[0] == 14
     assert Q.checked(QuestionSpec("rank", "revenue"), p).intent == "aggregate"
     assert Q.checked(QuestionSpec("trend", "revenue", limit=900), p).date == "order_date"
     assert Q.answer(df, p, QuestionSpec("distribution", "revenue")).count() == 6
     trend = Q.trend_answer(Q.answer(df, p, QuestionSpec("trend", "revenue", "sum", grain="month"))).first()
-    assert trend["change_pct"] == pytest.approx(-29.89)
+    assert trend["change_pct"] == pytest.approx(-74.78)
 
 
 def test_insights_and_claims(spark, prepared, story):
@@ -95,14 +95,14 @@ def test_insights_and_claims(spark, prepared, story):
     got = {r["claim_id"]: (r["accepted"], r["evidence"]) for r in I.resolve_claims(claims, evidence).collect()}
     assert got[1] == (True, ["Total Revenue"]) and got[2] == (False, []) and got[3][0] is False
     assert got[4] == (True, ["Return Rate"]) and got[5] == (False, [])
-    assert I.dataset_summary(prepared.profile, kpis, analysis).first()[0].startswith("12 rows, 8 columns, 2024-01-05 to 2024-06-30")
+    assert I.dataset_summary(prepared.profile, kpis, analysis).first()[0].startswith("14 rows, 8 columns, 2023-03-02 to 2023-09-09")
 
 
 def test_catalogue(spark, prepared):
     options = G.filter_options(prepared.df, prepared.profile)
     assert options.where("kind = 'date_range'").count() == 1 and options.where("column = 'region'").count() == 5
     words = {r["column"]: r["example_values"] for r in G.data_dictionary(spark, prepared.profile).collect()}
-    assert words["product"] == "Widget, Gadget, Doohickey"
+    assert words["product"] == "Cabin, Tent, Loft"
     assert G.model_measures(spark, K.discover_kpis(prepared.profile)).where("expression = 'SUM(revenue)'").count() == 1
 
 
@@ -209,11 +209,11 @@ def test_sinks(spark, tmp_path, prepared, story):
     analysis, kpis = story
     sheets = sinks.report_tables(prepared.df, kpis, analysis, G.data_dictionary(spark, prepared.profile))
     paths = sinks.write_results(sheets, str(tmp_path / "out"))
-    assert spark.read.json(paths["kpis"]).count() == 6 and spark.read.json(paths["data"]).count() == 12
+    assert spark.read.json(paths["kpis"]).count() == 6 and spark.read.json(paths["data"]).count() == 14
     csv = delimited.read_delimited(spark, sinks.write_csv(prepared.df, str(tmp_path / "csv")))
-    assert csv.df.count() == 12 and sinks.preview(prepared.df, 500).count() == 12
+    assert csv.df.count() == 14 and sinks.preview(prepared.df, 500).count() == 14
     shown, total = sinks.preview_with_total(prepared.df, 5)
-    assert (shown.count(), total) == (5, 12)
+    assert (shown.count(), total) == (5, 14)
 
 
 # --- nothing is cut unasked ----------------------------------------------------
