@@ -20,7 +20,7 @@ def test_kpis(story):
     got = {r["kpi_id"]: r for r in story[1].collect()}
     assert got["total_revenue"]["value"] == pytest.approx(7712.25) and got["total_revenue"]["formatted_value"] == "$7.7K"
     assert got["return_rate"]["value"] == pytest.approx(28.5714) and got["return_rate"]["is_favorable"] is True
-    assert got["record_count"]["direction"] == "flat" and got["record_count"]["is_favorable"] is None
+    assert got["record_count"]["direction"] == "up" and got["record_count"]["change_pct"] == 50.0
     assert got["total_revenue"]["period_label"] == "vs previous month (by order_date)"
     assert len(got) == 6
 
