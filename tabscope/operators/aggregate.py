@@ -72,6 +72,38 @@ def scalar(df: DataFrame, measure: str | None, aggregation: str, filters: Iterab
     return kept.agg(aggregate_column(df, measure, aggregation).alias("value"))
 
 
+def scalars(df: DataFrame, measure: str, aggregations: Sequence[str], filters: Iterable[Filter] = ()) -> DataFrame:
+    """``aggregation, value`` for several aggregates of one measure.
+
+    The table is read once: values are counted map-side, and everything, the distinct count
+    and the median included, follows from the counted values.
+    """
+    kept = apply_filters(df, filters)
+    counted = kept.groupBy(ref(df, measure).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_v").isNotNull())
+    n = F.sum("_n")
+    known = {
+        "sum": F.sum(F.col("_v") * F.col("_n")), "avg": F.sum(F.col("_v") * F.col("_n")) / n, "min": F.min("_v"), "max": F.max("_v"),
+        "count": F.coalesce(n, F.lit(0)), "count_distinct": F.count(F.lit(1)),
+    }
+    unknown = [a for a in aggregations if a not in known and a != "median"]
+    if unknown:
+        raise SpecError(f"unsupported aggregation {unknown[0]!r}")
+    simple = [a for a in aggregations if a in known]
+    cells = [F.struct(F.lit(a).alias("aggregation"), F.col(a).alias("value")) for a in simple]
+    parts = []
+    if simple:
+        row = counted.agg(*[known[a].cast("double").alias(a) for a in simple])
+        parts.append(row.select(F.inline(F.array(*cells))))
+    if "median" in aggregations:
+        parts.append(scalar(df, measure, "median", filters).select(F.lit("median").alias("aggregation"), F.col("value").cast("double").alias("value")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def distinct_count(df: DataFrame, column: str) -> Column:
+    """The number of distinct values as a scalar: rows shuffle by value, none is expanded."""
+    return df.select(ref(df, column).alias("_v")).where("_v is not null").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def equals(df: DataFrame, column: str, value) -> Column:
     """Row test: booleans natively, everything else as text."""
     if is_boolean(df, column) and isinstance(value, bool):
@@ -127,26 +159,35 @@ def top_labels(df: DataFrame, column: str, measure: str | None, aggregation: str
     return by_dimension(df, column, measure, aggregation, limit=limit, include_count=False).select("label")
 
 
+def leading_labels(df: DataFrame, column: str, measure: str | None, aggregation: str, limit: int,
+                   filters: Iterable[Filter] = ()) -> list[str]:
+    """The names of the leaders, at most ``limit``."""
+    return [r[0] for r in top_labels(apply_filters(df, filters), column, measure, aggregation, limit).collect()]
+
+
 def split_groups(df: DataFrame, key: Column, series: str, measure: str | None, aggregation: str,
-                 series_limit: int) -> DataFrame:
+                 series_limit: int, leaders: Sequence[str] | None = None) -> DataFrame:
     """``key, series, value`` for the leading series values.
 
     The leaders are ranked over all their rows, also those without a key. That
     list has at most ``series_limit`` rows, so it is broadcast and drops rows
     ahead of the grouping; no row without a leading series reaches a shuffle.
+    Leaders that are known already need no scan of their own.
     """
-    leaders = top_labels(df, series, measure, aggregation, series_limit)
     named = label(df, series)
-    kept = df.join(F.broadcast(leaders), named == F.col("label"), "left_semi")
+    if leaders is not None:
+        kept = df.where(named.isin(list(leaders)) if leaders else F.lit(False))
+    else:
+        kept = df.join(F.broadcast(top_labels(df, series, measure, aggregation, series_limit)), named == F.col("label"), "left_semi")
     return group_values(kept, {"key": key, "series": named}, measure, aggregation, count=False)
 
 
 def by_dimension_and_series(df: DataFrame, dimension: str, series: str, measure: str | None = None,
                             aggregation: str = "count", filters: Iterable[Filter] = (), limit: int | None = 20,
-                            series_limit: int = 6) -> DataFrame:
+                            series_limit: int = 6, leaders: Sequence[str] | None = None) -> DataFrame:
     """``label, series, value`` for the labels with the largest total over kept series."""
     kept = apply_filters(df, filters)
-    cells = split_groups(kept, label(df, dimension), series, measure, aggregation, series_limit)
+    cells = split_groups(kept, label(df, dimension), series, measure, aggregation, series_limit, leaders)
     # At most series_limit cells per label, so a label and its cells are one row.
     packed = cells.groupBy(F.col("key").alias("label")).agg(
         F.sum("value").alias("total"), F.array_sort(F.collect_list(F.struct("series", "value"))).alias("cells"))

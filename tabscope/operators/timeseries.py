@@ -40,10 +40,10 @@ def time_series(df: DataFrame, date: str, measure: str | None = None, aggregatio
 
 def time_series_by(df: DataFrame, date: str, series: str, measure: str | None = None,
                    aggregation: str = "count", grain: str = "month", filters: Iterable[Filter] = (),
-                   series_limit: int = 5) -> DataFrame:
+                   series_limit: int = 5, leaders: Sequence[str] | None = None) -> DataFrame:
     """``period, series, value`` for the leading series values."""
     kept = apply_filters(df, filters)
-    cells = split_groups(kept, bucket(df, date, grain), series, measure, aggregation, series_limit)
+    cells = split_groups(kept, bucket(df, date, grain), series, measure, aggregation, series_limit, leaders)
     return cells.withColumnRenamed("key", "period").orderBy("period", "series")
 
 

@@ -75,12 +75,8 @@ def row_count(spark, sf):
     UNION ALL SELECT 'median', round(median(l_extendedprice), 4) FROM lineitem""")
 def scalar_aggs(spark, sf):
     df = table(spark, sf, "lineitem")
-    parts = [
-        A.scalar(df, "l_extendedprice", how).select(
-            F.lit(how).alias("aggregation"), F.round(F.col("value").cast("double"), 2 if how == "sum" else 4).alias("value"))
-        for how in ("sum", "avg", "min", "max", "count", "count_distinct", "median")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    every = A.scalars(df, "l_extendedprice", ("sum", "avg", "min", "max", "count", "count_distinct", "median"))
+    return every.select("aggregation", F.when(F.col("aggregation") == "sum", F.round("value", 2)).otherwise(F.round("value", 4)).alias("value"))
 
 
 @query("agg_by_dimension", """
@@ -153,8 +149,10 @@ def dim_by_series_topk(spark, sf):
            round(sum(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 2) AS "O"
     FROM lineitem GROUP BY 1""")
 def pivot_view(spark, sf):
-    cells = A.by_dimension_and_series(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", "sum")
-    return money(A.pivot_series(cells, "label"), "F", "O")
+    df = table(spark, sf, "lineitem")
+    names = A.leading_labels(df, "l_linestatus", "l_extendedprice", "sum", 6)
+    cells = A.by_dimension_and_series(df, "l_returnflag", "l_linestatus", "l_extendedprice", "sum", leaders=names)
+    return money(A.pivot_series(cells, "label", names=names), "F", "O")
 
 
 @query("share_view", """
