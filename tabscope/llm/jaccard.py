@@ -8,8 +8,9 @@ dropped. What is left is decided by the exact overlap of the whole sets.
 - Documents with equal sets are one node, so copies are never paired.
 - N-grams are ordered: the ones counted often come last (all documents are counted; the list
   of frequent ones is bounded, and any order gives the same links). With sizes a, b and
-  overlap o, 100 o >= 80 (a + b - o) needs o >= 4/9 (a + b), and then the two share one of
-  the first a - ceil(0.8 a) + 1 n-grams of each.
+  overlap o, 100 o >= 80 (a + b - o) needs o >= m = ceil(4/9 (a + b)), and then the two share
+  one of the first a - m + 1 and b - m + 1 n-grams of theirs; as b >= 0.8 a, these are among
+  the first a - ceil(0.8 a) + 1. Only products in these bounds are formed.
 - Links are first looked for between each node and one hub of its n-gram blocks; the
   components these give need no further pairs inside. All pairs between different components
   are then tried, so no link between components is lost.
@@ -35,7 +36,7 @@ from tabscope.llm.words import mix, shingle_sets
 SIZE = 5
 #: N-grams in more documents than this come last in the order, up to so many of them.
 OFTEN, MOST_FREQUENT = 24, 1 << 17
-HUB_ROUNDS = 2
+HUB_ROUNDS, HUBS_EACH = 3, 6
 #: Ids up to this many (8 MB) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 FLUSH = 2_000_000
@@ -108,7 +109,8 @@ def frequent(docs: DataFrame, spread: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], spread: int) -> DataFrame:
-    """(gram, node, n): the first n-grams of each set in the common order."""
+    """(gram, node, size, place): the first n-grams of each set in the common order, packed
+    as (gram, node, shape) with size * 2**32 + place as the shape."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
     shift = np.uint64(40 - (spread.bit_length() - 1))
 
@@ -131,47 +133,58 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], spread: int)
             once = np.zeros(len(sizes), bool)
             once[first] = True
             taken = taken[once[doc[taken]]]
-            yield pd.DataFrame({"gram": hashes[taken].view(np.int64), "node": node[doc[taken]], "n": sizes[doc[taken]]})
+            rank_in = np.empty(len(hashes), np.int64)
+            rank_in[order] = place
+            yield pd.DataFrame({"gram": hashes[taken].view(np.int64), "node": node[doc[taken]],
+                                "shape": (sizes[doc[taken]] << 32) | rank_in[taken]})
 
-    return docs.select("text").mapInPandas(run, "gram bigint, node bigint, n int")
+    return docs.select("text").mapInPandas(run, "gram bigint, node bigint, shape bigint")
 
 
 def shared_prefixes(prefix: DataFrame) -> DataFrame:
     """The prefix n-grams that more than one node has."""
     block = Window.partitionBy("gram")
-    return prefix.withColumn("_a", F.min("node").over(block)).withColumn("_b", F.max("node").over(block)).where(
-        "_a < _b").drop("_a", "_b").distinct()
+    both = prefix.withColumn("_a", F.min("node").over(block)).withColumn("_b", F.max("node").over(block)).where("_a < _b")
+    return both.select("gram", "node", F.shiftright("shape", 32).cast("int").alias("n"),
+                       F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("place")).distinct()
 
 
 def least_overlap(a, b):
     return F.ceil(F.lit(4.0) * (a + b) / F.lit(9.0) - F.lit(1e-9))
 
 
-def sizes_fit():
-    """Sets whose sizes differ by more than a fifth cannot be similar enough."""
-    return (5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n"))
+def in_bounds():
+    """Whether the product of an n-gram of a and of b counts: sizes that can be similar enough
+    (b >= 0.8 a and the reverse), and enough n-grams left after it in both sets."""
+    a, b = F.col("a_n"), F.col("b_n")
+    need = least_overlap(a, b)
+    return (5 * a >= 4 * b) & (5 * b >= 4 * a) & (a - F.col("a_place") >= need) & (b - F.col("b_place") >= need)
 
 
 def hub_pairs(blocks: DataFrame, seed: int) -> DataFrame:
-    """For each node the hub it shares most blocks with; a block's hub is the node that comes
-    first in an order given by the seed. ``blocks`` has gram, node, n and component."""
-    first = blocks.groupBy("gram").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(seed))).alias("hub"))
-    pairs = blocks.join(first, "gram").where("component <> hub.component").groupBy(
-        F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n")).agg(
-        F.count("*").alias("shared")).where(sizes_fit())
-    best = pairs.groupBy("a").agg(F.max_by(F.struct("a_n", "b", "b_n"), F.struct("shared", "b")).alias("best"))
-    return best.select("a", "best.*")
+    """Pairs of nodes with hubs of their blocks. ``blocks`` has gram, node, n, place, component.
+
+    In the first round the same nodes are hubs wherever they are, and every node meets the one
+    it shares most blocks with: that ties most groups. Later each block draws its own hub, and
+    a node meets a few of them, so that members which are like some others but not like the
+    first hub find a link too. Hubs only save work: what stays apart is tried in full later.
+    """
+    draw = F.xxhash64("node", F.lit(seed)) if seed == 0 else F.xxhash64("node", "gram", F.lit(seed))
+    first = blocks.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "component"), draw).alias("hub"))
+    met = blocks.join(first, "gram").where("component <> hub.component").select(
+        F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"),
+        F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.place").alias("b_place"))
+    pairs = met.where(in_bounds()).groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("b", F.lit(seed)))
+    few = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= (1 if seed == 0 else HUBS_EACH))
+    return few.select("a", "a_n", "b", "b_n")
 
 
 def open_pairs(blocks: DataFrame) -> DataFrame:
-    """All pairs between different components whose counted overlap can still suffice: beyond
-    the shorter prefix two sets share at most what the rest of them holds."""
-    left = blocks.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("_x"))
-    right = blocks.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("_y"))
-    rest = F.greatest(F.ceil(F.col("a_n") * 4 / 5), F.ceil(F.col("b_n") * 4 / 5)) - 1
-    return (left.join(right, "gram").where((F.col("_x") < F.col("_y")) & sizes_fit())
-            .groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("shared"))
-            .where(F.col("shared") + rest >= least_overlap(F.col("a_n"), F.col("b_n"))).drop("shared"))
+    """All pairs between different components with a product in the bounds."""
+    left = blocks.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"), F.col("component").alias("_x"))
+    right = blocks.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("component").alias("_y"))
+    return left.join(right, "gram").where((F.col("_x") < F.col("_y")) & in_bounds()).select("a", "a_n", "b", "b_n").distinct()
 
 
 def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
