@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tabscope.llm.common import row_batches
+from tabscope.llm.common import documents, row_batches
 
 #: Fixed: how the byte-level scheme cuts a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,5 +209,5 @@ def _coded(docs: DataFrame, vocabulary: str, text: str, more: list[str]) -> Data
 
 
 def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return digests(docs, read_vocabulary(path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tabscope.llm.common import row_batches
+from tabscope.llm.common import documents, row_batches
 
 BUCKETS = 256
 #: Differences at or beyond which two digests have nothing in common: what digests of
@@ -151,4 +151,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op10_digest(spark, sf_dir: str) -> DataFrame:
-    return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return with_edits(documents(spark, sf_dir).select("doc_id", "text"))
