@@ -36,7 +36,7 @@ from tabscope.llm.words import mix, shingle_sets
 SIZE = 5
 #: N-grams in more documents than this come last in the order, up to so many of them.
 OFTEN, MOST_FREQUENT = 24, 1 << 17
-HUB_ROUNDS, HUBS_EACH = 3, 6
+HUB_ROUNDS, HUBS_EACH = 2, 6
 #: Ids up to this many (8 MB) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 FLUSH = 2_000_000
@@ -142,11 +142,12 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], spread: int)
 
 
 def shared_prefixes(prefix: DataFrame) -> DataFrame:
-    """The prefix n-grams that more than one node has."""
+    """The prefix n-grams that more than one node has. All steps share one shuffle by n-gram."""
     block = Window.partitionBy("gram")
-    both = prefix.withColumn("_a", F.min("node").over(block)).withColumn("_b", F.max("node").over(block)).where("_a < _b")
-    return both.select("gram", "node", F.shiftright("shape", 32).cast("int").alias("n"),
-                       F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("place")).distinct()
+    once = prefix.repartition("gram").groupBy("gram", "node").agg(F.min("shape").alias("shape"))
+    return once.withColumn("_a", F.min("node").over(block)).withColumn("_b", F.max("node").over(block)).where("_a < _b").select(
+        "gram", "node", F.shiftright("shape", 32).cast("int").alias("n"),
+        F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
 
 
 def least_overlap(a, b):
@@ -177,7 +178,7 @@ def hub_pairs(blocks: DataFrame, seed: int) -> DataFrame:
     pairs = met.where(in_bounds()).groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("shared"))
     best = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("b", F.lit(seed)))
     few = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= (1 if seed == 0 else HUBS_EACH))
-    return few.select("a", "a_n", "b", "b_n")
+    return few.where("50 * shared >= a_n" if seed == 0 else "true").select("a", "a_n", "b", "b_n")
 
 
 def open_pairs(blocks: DataFrame) -> DataFrame:
@@ -187,19 +188,28 @@ def open_pairs(blocks: DataFrame) -> DataFrame:
     return left.join(right, "gram").where((F.col("_x") < F.col("_y")) & in_bounds()).select("a", "a_n", "b", "b_n").distinct()
 
 
-def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams): the whole sets of the wanted nodes, as packed sorted numbers."""
-    rows = members.join(wanted, "node").groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("_r"))
-    rows = common.staged(rows.select("node", F.col("_r.doc_id").alias("_id"), F.col("_r.text_hash").alias("_hash")), "jaccard-wanted")
-    if rows.count() <= BROADCAST_IDS:
-        rows = F.broadcast(rows)
+def small(df: DataFrame) -> DataFrame:
+    """The table marked for a broadcast if it is staged and has few rows of a few numbers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
+    """(node, grams, n_grams): the sets of the wanted nodes as packed sorted numbers, of which
+    only those in the first of ``share`` equal ranges are kept."""
+    own = members.join(wanted, "node").groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("_rows"))
+    rows = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "_rows")).alias("_r"))
+    rows = common.staged(rows.select("node", F.col("_r.doc_id").alias("_id"), F.col("_r.text_hash").alias("_hash"), F.col("_r._rows").alias("_rows")), "jaccard-wanted")
+    repeated = not rows.where("_rows > 1").isEmpty()
+    last = np.uint64((1 << 64) // share - 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, hashes, bounds in _sets(frames):
-            yield pd.DataFrame({"node": frame["node"].to_numpy(), "grams": [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
+            kept = [hashes[a : a + np.searchsorted(hashes[a:b], last, side="right")] for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pd.DataFrame({"node": frame["node"].to_numpy(), "grams": [k.tobytes() for k in kept], "n_grams": [len(k) for k in kept]})
 
-    chosen = docs.join(rows, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return common.staged(chosen.mapInPandas(run, "node bigint, grams binary").dropDuplicates(["node"]), "jaccard-sets")
+    chosen = docs.join(small(rows), (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    made = chosen.mapInPandas(run, "node bigint, grams binary, n_grams int")
+    return common.staged(made.dropDuplicates(["node"]) if repeated else made, "jaccard-sets")
 
 
 def overlaps(pairs: Iterator[tuple[bytes, bytes]]) -> list[int]:
@@ -212,9 +222,18 @@ def overlaps(pairs: Iterator[tuple[bytes, bytes]]) -> list[int]:
 
 
 def links(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by their whole sets."""
+    """The pairs (a, b) that are similar enough, by their whole sets.
+
+    First only a quarter of the n-grams is compared, those in the first range of hashes: what
+    they share and all of the rest together bounds the overlap, which rules out most pairs.
+    """
+    return compared(compared(pairs, docs, members, 4), docs, members, 1).select("a", "b")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """The pairs whose overlap, counted in the first of ``share`` ranges, can still suffice."""
     pairs = common.staged(pairs, "jaccard-pairs")
-    sets = sets_of(docs, members, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = sets_of(docs, members, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), share)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
@@ -222,11 +241,13 @@ def links(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
                 frame = whole.iloc[at : at + 1000]
                 o = np.array(overlaps(zip(frame["a_grams"], frame["b_grams"])), np.int64)
                 a, b = frame["a_n"].to_numpy(np.int64), frame["b_n"].to_numpy(np.int64)
-                yield frame.loc[100 * o >= 80 * (a + b - o), ["a", "b"]]
+                o += np.minimum(a - frame["a_seen"].to_numpy(np.int64), b - frame["b_seen"].to_numpy(np.int64))
+                yield frame.loc[100 * o >= 80 * (a + b - o), ["a", "a_n", "b", "b_n"]]
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("grams").alias("b_grams")), "b")
-    return common.staged(both.select("a", "b", "a_n", "b_n", "a_grams", "b_grams").mapInPandas(run, "a bigint, b bigint"), "jaccard-links")
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"), F.col("n_grams").alias("a_seen"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("b_grams"), F.col("n_grams").alias("b_seen"))
+    both = left.join(small(pairs), "a").join(right, "b")
+    return common.staged(both.mapInPandas(run, "a bigint, a_n int, b bigint, b_n int"), "jaccard-links")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -256,7 +277,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def with_components(blocks: DataFrame, edges: DataFrame | None) -> DataFrame:
     if edges is None:
         return blocks.withColumn("component", F.col("node"))
-    known = components(edges)
+    known = small(common.staged(components(edges), "jaccard-components"))
     return blocks.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
