@@ -451,6 +451,40 @@ def csv_round_trip(spark, sf):
     return delimited.read_delimited(spark, sinks.write_csv(df, new_path(spark, "csv"))).df
 
 
+@query("csv_round_trip_documents", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, length(text) AS n FROM documents")
+def csv_round_trip_documents(spark, sf):
+    """Whole texts, with all their line breaks, quotes and delimiters."""
+    df = table(spark, sf, "documents").select("doc_id", "text")
+    back = delimited.read_delimited(spark, sinks.write_csv(df, new_path(spark, "csv"))).df
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("csv_round_trip_conversations", """
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role,
+           md5(text || ', "said" by;' || chr(10) || '"' || role || '"' || chr(9) || '|') AS text_md5 FROM conversations""")
+def csv_round_trip_conversations(spark, sf):
+    df = table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role", F.concat("text", F.lit(', "said" by;\n"'), "role", F.lit('"\t|')).alias("text"))
+    back = delimited.read_delimited(spark, sinks.write_csv(df, new_path(spark, "csv"))).df
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("preview_total", "SELECT count(*) AS total, least(count(*), 25) AS shown FROM orders")
+def preview_total(spark, sf):
+    shown, total = sinks.preview_with_total(table(spark, sf, "orders"))
+    return shown.agg(F.lit(total).cast("bigint").alias("total"), F.count(F.lit(1)).alias("shown"))
+
+
+@query("kpi_sources", """
+    SELECT 'buyers' AS kpi_id, 'o_custkey' AS source_columns, 'rules' AS source
+    UNION ALL SELECT 'middle_order', 'o_totalprice', 'rules' UNION ALL SELECT 'order_value', 'o_totalprice', 'rules'
+    UNION ALL SELECT 'record_count', '', 'rules' UNION ALL SELECT 'total_revenue', 'o_totalprice', 'rules'
+    UNION ALL SELECT DISTINCT 'urgent_rate', 'urgent', 'rules' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def kpi_sources(spark, sf):
+    out = K.kpi_table(flagged_orders(spark, sf), KPIS)
+    return out.select("kpi_id", F.array_join("source_columns", ",").alias("source_columns"), "source")
+
+
 @query("report_tables")
 def report_tables(spark, sf):
     df, profile = orders_profile(spark, sf)

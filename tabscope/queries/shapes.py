@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregate as A, distributions as D, segments as S, timeseries as T
@@ -233,6 +231,26 @@ def ratio_kpi(spark, sf):
     return money(A.ratio(sales_lines(spark, sf), "discount_value", "l_extendedprice", 100.0), "value", places=4)
 
 
+@query("time_series_many_periods", """
+    SELECT TIMESTAMP '1900-01-01' + CAST(o_orderkey AS INTEGER) * INTERVAL 1 DAY AS period, round(sum(o_totalprice), 2) AS value,
+           count(*) AS row_count FROM orders GROUP BY 1""")
+def time_series_many_periods(spark, sf):
+    """As many days as orders: no period is left out, however many there are."""
+    day = F.lit("1900-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("o_orderkey").cast("int"))
+    df = table(spark, sf, "orders").withColumn("day", day)
+    return money(T.time_series(df, "day", "o_totalprice", "sum", "day"), "value")
+
+
+@query("segment_many_categories", """
+    WITH v AS (SELECT CAST(l_partkey AS VARCHAR) AS label, sum(l_quantity) AS value FROM lineitem GROUP BY 1),
+    r AS (SELECT value, row_number() OVER (ORDER BY value, label) AS i, count(*) OVER () AS n FROM v)
+    SELECT max(n) AS n_categories, round(sum(value), 2) AS total,
+           round(sum((2 * i - n - 1) * value) / (max(n) * sum(value)), 4) AS gini FROM r""")
+def segment_many_categories(spark, sf):
+    values = S.dimension_values(table(spark, sf, "lineitem"), ["l_partkey"], "l_quantity", "sum")
+    return money(S.segment_summary(values).select("n_categories", "total", "gini"), "total")
+
+
 @query("scatter_sample", """
     SELECT l_quantity AS x, l_extendedprice AS y, l_linestatus AS series FROM lineitem WHERE l_returnflag = 'R'
     ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), x, y LIMIT 500""")
