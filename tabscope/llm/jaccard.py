@@ -36,7 +36,6 @@ from tabscope.llm.words import mix, shingle_sets
 SIZE = 5
 #: N-grams in more documents than this come last in the order, up to so many of them.
 OFTEN, MOST_FREQUENT = 24, 1 << 17
-HUB_ROUNDS, HUBS_EACH = 2, 6
 #: Ids up to this many (8 MB) are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 FLUSH = 2_000_000
@@ -162,23 +161,19 @@ def in_bounds():
     return (5 * a >= 4 * b) & (5 * b >= 4 * a) & (a - F.col("a_place") >= need) & (b - F.col("b_place") >= need)
 
 
-def hub_pairs(blocks: DataFrame, seed: int) -> DataFrame:
-    """Pairs of nodes with hubs of their blocks. ``blocks`` has gram, node, n, place, component.
+def hub_pairs(blocks: DataFrame) -> DataFrame:
+    """For each node the hub it shares most blocks with. ``blocks`` has gram, node, n, place.
 
-    In the first round the same nodes are hubs wherever they are, and every node meets the one
-    it shares most blocks with: that ties most groups. Later each block draws its own hub, and
-    a node meets a few of them, so that members which are like some others but not like the
-    first hub find a link too. Hubs only save work: what stays apart is tried in full later.
+    The same nodes are hubs wherever they are, which ties most groups. Hubs only save work:
+    what stays apart is tried in full later.
     """
-    draw = F.xxhash64("node", F.lit(seed)) if seed == 0 else F.xxhash64("node", "gram", F.lit(seed))
-    first = blocks.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "component"), draw).alias("hub"))
-    met = blocks.join(first, "gram").where("component <> hub.component").select(
+    first = blocks.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place"), F.xxhash64("node")).alias("hub"))
+    met = blocks.join(first, "gram").where("node <> hub.node").select(
         F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"),
         F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.place").alias("b_place"))
-    pairs = met.where(in_bounds()).groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("b", F.lit(seed)))
-    few = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= (1 if seed == 0 else HUBS_EACH))
-    return few.where("50 * shared >= a_n" if seed == 0 else "true").select("a", "a_n", "b", "b_n")
+    pairs = met.where(in_bounds()).groupBy("a", "a_n", "b", "b_n").agg(F.count("*").alias("shared")).where("50 * shared >= a_n")
+    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    return pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("a", "a_n", "b", "b_n")
 
 
 def open_pairs(blocks: DataFrame) -> DataFrame:
@@ -274,9 +269,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         F.min("component").alias("component"))
 
 
-def with_components(blocks: DataFrame, edges: DataFrame | None) -> DataFrame:
-    if edges is None:
-        return blocks.withColumn("component", F.col("node"))
+def with_components(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     known = small(common.staged(components(edges), "jaccard-components"))
     return blocks.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -286,12 +279,14 @@ def node_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spread = 1 << max(6, math.ceil(math.log2(size / 4e6 + 1)))
     blocks = common.staged(shared_prefixes(prefixes(docs, frequent(docs, spread), spread)), "jaccard-blocks")
-    edges = None
-    for seed in range(HUB_ROUNDS):
-        made = links(hub_pairs(with_components(blocks, edges), seed), docs, members)
-        edges = made if edges is None else edges.union(made)
-    live = common.staged(with_components(blocks, edges), "jaccard-open")
-    return edges.union(links(open_pairs(live), docs, members))
+    edges = links(hub_pairs(blocks), docs, members)
+    # An eighth of the open pairs ties most members that the hub did not, so that far fewer
+    # pairs are left open for the last round, which tries every one.
+    for every in (8, 1):
+        live = common.staged(with_components(blocks, edges), "jaccard-open")
+        pairs = open_pairs(live).where(F.xxhash64("a", "b") % every == 0)
+        edges = edges.union(links(pairs, docs, members))
+    return edges
 
 
 def tied(docs: DataFrame) -> DataFrame:
