@@ -109,7 +109,8 @@ def mixed(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, flatten: fl
 
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
-    """All documents with their own columns, in files and rows that follow the mixture."""
+    """All documents with their own columns, in files and rows that follow the mixture. Reading
+    the files does not keep that order by itself; see ``in_file_order`` of the pipeline."""
     return mixed(docs).sort("slot", "place").select(docs.columns)
 
 

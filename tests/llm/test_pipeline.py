@@ -1,5 +1,6 @@
 """Each stage on what the one before kept, against a plainer way to the same rows."""
 
+import math
 import os
 import sys
 from collections import Counter
@@ -12,7 +13,7 @@ import corpus_pipeline  # noqa: E402
 from test_jaccard import brute as groups_of  # noqa: E402
 from test_pii import brute as spans_of  # noqa: E402
 
-from tabscope.llm import quality  # noqa: E402
+from tabscope.llm import mixing, quality  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -75,3 +76,28 @@ def test_ids(kept):
 def test_run(spark, kept):
     got = corpus_pipeline.run(spark, FOLDER)
     assert Counter(map(str, got.collect())) == Counter(map(str, kept[5].collect()))
+
+
+def test_result_follows_the_mixture(spark, monkeypatch):
+    """Every prefix of the rows has the composition that the schedule gives it, however files are packed for reading."""
+    slots = {r.doc_id: r for r in mixing.mixed(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    confs = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = corpus_pipeline.run(spark, FOLDER).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    places = [(slots[r.doc_id].slot, slots[r.doc_id].place) for r in got]
+    assert len(places) == len(slots) and places == sorted(places)
+    sizes = Counter(r.source for r in slots.values())
+    weights = {s: math.ceil(n / mixing.BLOCK) ** mixing.FLATTEN for s, n in sizes.items()}
+    total, done = sum(weights.values()), Counter()
+    inside = [r for r in got if slots[r.doc_id].in_mix]
+    assert len({r.source for r in inside}) > 1
+    for i, r in enumerate(inside, 1):
+        done[r.source] += 1
+        assert all(abs(done[s] - i * w / total) <= 2 * mixing.BLOCK for s, w in weights.items())
