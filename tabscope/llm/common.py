@@ -79,8 +79,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def training_labels(labels: DataFrame, name: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled documents of either class, outside the held-out fold.
+def training_labels(labels: DataFrame, name: str, per_class: int | None) -> DataFrame:
+    """At most ``per_class`` (None: all) labelled documents of either class, outside the held-out fold.
 
     Rows without id or label do not count, nor do documents with contradicting labels.
     The rows kept are the first in hash order, so the choice does not depend on files.
@@ -90,6 +90,8 @@ def training_labels(labels: DataFrame, name: str, per_class: int) -> DataFrame:
         .groupBy("doc_id").agg(F.min(name).alias("label"), F.max(name).alias("_most"))
         .where("label = _most").select("doc_id", F.col("label").cast("int").alias("label"))
     )
+    if per_class is None:
+        return usable
     first = [usable.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     return first[0].unionByName(first[1])
 

@@ -3,9 +3,10 @@
 A document's score is linear in what is measured of its text. Pairs of a document labelled
 good and one labelled bad are drawn among the learning rows, and the weights minimise the
 logistic loss of the score differences. The threshold between the classes is the quantile
-of the scores at the share of bad documents.
+of the scores at the share of bad documents, both over all labelled documents outside the
+held-out fold.
 
-At most ``per_class`` labelled documents of either class are learnt from, the first in hash
+At most ``per_class`` labelled documents of either class give the weights, the first in hash
 order; everything else covers all rows. Null and empty texts get the score of a text with
 nothing to measure. Repeated rows are scored alike. Contradicting or missing labels are not
 learnt from; with labels of one class only every score is 0.5 and every document accepted.
@@ -14,7 +15,7 @@ learnt from; with labels of one class only every score is 0.5 and every document
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from tabscope.llm.words import per_text, repeat_lines, repeat_words, words_of
 
 PER_CLASS = 4000
 PAIRS_EACH = 8
+#: So many distinct scores around the threshold are sorted on the driver.
+NEAR = 10_000
 FEATURES = ("symbols", "exclamations", "bars", "capitals", "digits", "repeated_words", "same_again", "repeated_lines",
             "distinct_words", "word_length", "long_words", "n_words")
 
@@ -88,12 +91,14 @@ class Ranking:
     weights: np.ndarray
     threshold: float
 
-    def score(self, measures: Column) -> Column:
-        """0 to 1; 0.5 is the threshold."""
+    def linear(self, measures: Column) -> Column:
         slopes = self.weights / self.scale
         terms = [measures[i] * F.lit(float(w)) for i, w in enumerate(slopes)]
-        linear = sum(terms, F.lit(float(-(self.mean * slopes).sum() - self.threshold)))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
+        return sum(terms, F.lit(float(-(self.mean * slopes).sum())))
+
+    def score(self, measures: Column) -> Column:
+        """0 to 1; 0.5 is the threshold."""
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(float(self.threshold)) - self.linear(measures)))
 
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, share_bad: float, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3) -> Ranking:
@@ -124,17 +129,51 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, share_bad: float, pairs_each: int
     return Ranking(mean, scale, weights, float((scores[order[below]] + scores[order[ahead]]) / 2))
 
 
+def cut_at_share(scores: DataFrame, near: int = NEAR) -> float | None:
+    """The cut that puts as many rows below as are bad: half way between the scores of rank
+    n_bad and n_bad + 1, exactly. ``scores`` has ``_score`` and ``label``. The range around
+    the two ranks is narrowed by sketches until it has at most ``near`` distinct scores."""
+    n, bad = scores.agg(F.count("*"), F.sum(1 - F.col("label"))).first()
+    if not n:
+        return None
+    ranks = [min(max(bad - 1, 0), n - 1), min(max(bad, 0), n - 1)]
+    inside, before, size = scores, 0, n
+    while True:
+        head = inside.groupBy("_score").agg(F.count("*").alias("_n")).limit(near + 1).collect()
+        if len(head) <= near:
+            break
+        at = [min(max((r - before + d * size / 1000) / size, 0.0), 1.0) for r, d in zip(ranks, (-1, 1))]
+        low, high = inside.agg(F.percentile_approx("_score", F.array(*[F.lit(p) for p in at]), 10_000)).first()[0]
+        below, within = inside.agg(F.sum((F.col("_score") < low).cast("long")),
+                                   F.sum(F.col("_score").between(low, high).cast("long"))).first()
+        if within == size or not before + below <= ranks[0] or not ranks[1] < before + below + within:
+            raise ValueError("the range around the threshold cannot be narrowed")
+        inside, before, size = inside.where(F.col("_score").between(low, high)), before + below, within
+    found, ahead = [], before
+    for r in sorted(head):
+        found += [r["_score"] for rank in ranks if ahead <= rank < ahead + r["_n"]]
+        ahead += r["_n"]
+    return (found[0] + found[1]) / 2
+
+
 def fit(measures_of: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ranking:
-    """Learns from documents with ``doc_id`` and ``_measures``, outside the held-out fold."""
+    """Learns from staged documents with ``doc_id`` and ``_measures``, outside the held-out
+    fold: the weights from a sample, the threshold from all that are labelled."""
     sample = common.training_labels(labels, "quality", per_class)
     rows = measures_of.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "_measures").dropDuplicates(["doc_id"]).collect()
-    usable = labels.where(F.col("quality").isin(0, 1) & ~common.held_out(F.col("doc_id")))
-    share_bad = usable.agg(F.avg(1 - F.col("quality"))).first()[0] or 0.0
     rows.sort(key=lambda r: r.doc_id)
     if not rows:
         width = len(FEATURES)
         return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    return fit_pairs(np.array([r["_measures"] for r in rows]), np.array([r.label for r in rows]), float(share_bad))
+    good = np.array([r.label for r in rows])
+    ranking = fit_pairs(np.array([r["_measures"] for r in rows]), good, float((good == 0).mean()))
+    if not ranking.weights.any():
+        return ranking
+    usable = common.training_labels(labels, "quality", None)
+    every = measures_of.select("doc_id", ranking.linear(F.col("_measures")).alias("_score")).join(usable, "doc_id")
+    every = every.groupBy("doc_id").agg(F.min("_score").alias("_score"), F.first("label").alias("label"))
+    cut = cut_at_share(common.staged(every, "quality-scores"))
+    return replace(ranking, threshold=cut)
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -147,8 +186,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
 
 def accept(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
-    chosen = common.training_labels(labels, "quality", per_class).select("doc_id")
-    ranking = fit(measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), labels, per_class)
+    ranking = fit(common.staged(measured(docs.select("doc_id", "text")), "quality-measures"), labels, per_class)
     return measured(docs, keep_text=True).where(ranking.score(F.col("_measures")) >= 0.5).select(docs.columns)
 
 

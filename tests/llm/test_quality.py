@@ -54,3 +54,27 @@ def test_odd_rows(spark):
     assert quality.accept(docs, labels).columns == docs.columns
     assert quality.accept(docs, labels).count() == 4
     assert quality.scored(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_threshold_is_over_all_labelled_rows(spark):
+    """With few rows to learn from, the share below the cut is still that of all labels."""
+    junk = [f"plain words of a text {'#$ ' * (i % 97)}{'! ' * (i % 31)} {i}" for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 97 < 30 or i % 7 == 0)) for i in range(600)], "doc_id long, quality int")
+    learnt = [i for i in range(600) if not fold(i)]
+    bad = sum(not (i % 97 < 30 or i % 7 == 0) for i in learnt)
+    scores = {r.doc_id: r.score for r in quality.scored(docs, labels, per_class=12).collect()}
+    assert sum(scores[i] < 0.5 for i in learnt) == bad
+    assert quality.accept(docs, labels, per_class=12).where("doc_id is not null").count() == sum(x >= 0.5 for x in scores.values())
+
+
+def test_cut_is_exact(spark):
+    draw = np.random.default_rng(5)
+    values = np.round(draw.normal(size=5000), 3)
+    for bad in (0, 1, 1700, 4999, 5000):
+        df = spark.createDataFrame([(float(v), int(k >= bad)) for k, v in enumerate(values)], "_score double, label int")
+        want = np.sort(values)[[max(bad - 1, 0), min(bad, 4999)]].mean()
+        assert quality.cut_at_share(df, near=40) == want == quality.cut_at_share(df)
+    same = spark.createDataFrame([(1.5, k % 2) for k in range(300)] + [(float(k), 1) for k in range(100)], "_score double, label int")
+    assert quality.cut_at_share(same, near=1) == 1.5
+    assert quality.cut_at_share(same.limit(0)) is None
