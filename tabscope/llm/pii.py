@@ -1,7 +1,7 @@
 """Personal data found by weak supervision, in DataFrame expressions only.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers; those spans
-always stay. Candidates for more (digit groups that no pattern took, and names) are judged by
+always stay. Candidates for more (digit groups that no pattern took, their parts, and names) are judged by
 labelers that vote for, against or not at all: shapes, checksums, gazetteers, context words
 and surroundings. Expectation-maximisation over the counted vote patterns estimates how
 reliable each labeler is, and a logistic span classifier is trained on the outcome; what it
@@ -31,6 +31,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: Parts of a digit run: a group of 7 to 19 digits, or neighbouring groups in a known layout. Of a
+#: layout only the first group is matched, so that overlapping ones are all found; all have the same length.
+PARTS = (
+    (r"(?<![0-9])[0-9]{7,19}(?![0-9])", None),
+    (r"(?<![0-9])[0-9]{4}(?=(?:[\x20-][0-9]{4}){3}(?![0-9]))", 19),
+    (r"(?<![0-9])[0-9]{3}(?=[\x20-][0-9]{3}[\x20-][0-9]{4}(?![0-9]))", 12),
+    (r"(?<![0-9])[0-9]{3}(?=-[0-9]{2}-[0-9]{4}(?![0-9]))", 11),
+)
 BYTE_VALUE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 FIRST_NAMES = (
     "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth "
@@ -83,7 +91,7 @@ def tagged(spans: Column, kind: str) -> Column:
         s.end.alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
 
-NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+NO_PARTS = "array<struct<start:int,end:int,value:string>>"
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -103,16 +111,29 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return df.withColumn("_base", F.array_sort(base)).drop("_email", "_phone", "_ip")
 
 
+def parts(text: Column) -> Column:
+    """Groups of digits, and neighbouring groups in a known layout, wherever they are in a run."""
+    def whole(pattern, length):
+        spans = found(text, pattern)
+        return spans if length is None else F.transform(spans, lambda s: F.struct(
+            s.start.alias("start"), (s.start + length).alias("end"), F.substring(text, s.start + 1, F.lit(length)).alias("value")))
+
+    return F.concat(*[whole(*p) for p in PARTS])
+
+
 def candidates(df: DataFrame) -> DataFrame:
     """Adds ``_more``: spans outside the base ones that might be personal data, and
-    ``_judged``: base spans and those, each with its labelers' votes."""
+    ``_judged``: base spans and those, each with its labelers' votes. Of a digit run that is
+    no base span the whole is a candidate, if of 7 to 19 digits, and so are its parts."""
     taken = lambda s: F.exists("_base", lambda b: (b.start < s.end) & (s.start < b.end))
     is_ssn = lambda s: F.regexp_like(s["value"], F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
-    free = F.filter("_runs", lambda s: F.length(digits(s["value"])).between(7, 19) & ~taken(s))
+    whole = F.filter("_runs", lambda s: F.length(digits(s["value"])).between(7, 19))
+    df = df.withColumn("_free", F.filter(F.array_distinct(F.concat(whole, F.when(
+        F.size("_runs") > 0, parts(F.col("_text"))).otherwise(F.array().cast(NO_PARTS)))), lambda s: ~taken(s)))
     more = F.concat(
-        tagged(F.filter(free, is_ssn), "ssn"), tagged(F.filter(free, lambda s: ~is_ssn(s)), "number"),
+        tagged(F.filter("_free", is_ssn), "ssn"), tagged(F.filter("_free", lambda s: ~is_ssn(s)), "number"),
         tagged(F.filter(found(F.col("_text"), NAME), lambda s: ~taken(s)), "name"))
-    df = df.withColumn("_more", F.array_sort(more))
+    df = df.withColumn("_more", F.array_sort(more)).drop("_free")
     return df.withColumn("_judged", F.transform(F.concat("_base", "_more"), lambda s: votes(F.col("_text"), s)))
 
 
@@ -222,11 +243,12 @@ def classifier(judged: DataFrame) -> SpanClassifier:
 
 
 def accepted(model: SpanClassifier) -> Column:
-    """All spans of a row, the base ones and those the classifier adds, in order."""
-    more = F.filter("_judged", lambda s: s["rank"] == len(KINDS))
+    """All spans of a row, the base ones and those the classifier adds, in order. Of added
+    spans within another added one only the longest stays."""
+    more = F.transform(F.filter("_judged", lambda s: (s["rank"] == len(KINDS)) & (model.linear(s.kind, s.votes) >= 0)), _place)
+    inner = lambda s: F.exists(more, lambda o: (o.start <= s.start) & (s.end <= o.end) & (o.end - o.start > s.end - s.start))
     return F.array_sort(F.concat(
-        F.transform(F.filter("_judged", lambda s: s["rank"] < len(KINDS)), _place),
-        F.transform(F.filter(more, lambda s: model.linear(s.kind, s.votes) >= 0), _place)))
+        F.transform(F.filter("_judged", lambda s: s["rank"] < len(KINDS)), _place), F.filter(more, lambda s: ~inner(s))))
 
 
 def _place(s: Column) -> Column:

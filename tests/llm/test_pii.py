@@ -90,3 +90,24 @@ def test_query(spark, small):
         assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert set(said) <= set(r.spans.split(",") if r.spans else [])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == k for x in base) for k in PLAIN]
+
+
+def test_numbers_side_by_side(spark):
+    """A run of several numbers fails as a whole; its parts are judged."""
+    card = lambda i: next(c for k in range(10) if luhn(c := f"4{i:014d}{k}"))
+    grouped = lambda c: " ".join(c[k:k + 4] for k in range(0, 16, 4))
+    rows = [(i, f"card {card(7 * i)} and mail a{i}@mail.org, call 555-123-{1000 + i}", "en", 3) for i in range(40)]
+    rows += [(100 + i, f"order {1000000 + i} of version {2000000 + i}x", "en", 3) for i in range(40)]
+    a, b = card(123456789), card(987654321)
+    rows += [(200, f"pay {a} {b} now", "en", 3), (201, f"pay {a}-{b} now", "en", 3), (202, f"pay {grouped(a)} {grouped(b)} now", "en", 3),
+             (203, f"pay 77 {a} now", "en", 3), (204, f"pay {grouped(a)} 1234 now", "en", 3), (205, "9" * 40, "en", 3), (206, "call 555-123-4567 555-765-4321", "en", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int")
+    got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    for i in (200, 201, 202):
+        assert a not in got[i] and b not in got[i] and grouped(a) not in got[i] and grouped(b) not in got[i], got[i]
+    assert a not in got[203] and grouped(a) not in got[204], (got[203], got[204])
+    assert "4567" not in got[206] and "4321" not in got[206] and got[205] == "9" * 40
+    more = {r.doc_id: r["_more"] for r in pii.judged_spans(docs.where("doc_id >= 200")).collect()}
+    assert {s.value for s in more[200]} == {a, b} and {s.value for s in more[202]} >= {grouped(a), grouped(b)}
+    assert [(s.start, s.end) for s in more[203] if s.value == a] == [(7, 23)] and not more[205]
+    check(spark, [(r[0], r[1]) for r in rows])
