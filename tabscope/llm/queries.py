@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabscope.llm.audit import OP12_SQL, op12_audit
 from tabscope.llm.bpe import op5_bpe
 from tabscope.llm.chat import OP9_SQL, op9_chat
 from tabscope.llm.digest import op10_digest
@@ -16,6 +17,6 @@ from tabscope.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_suffixes": op1_suffixes, "op2_quality": op2_quality, "op3_jaccard": op3_jaccard, "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_rules": op7_rules, "op8_pii": op8_pii, "op9_chat": op9_chat,
-    "op10_digest": op10_digest,
+    "op10_digest": op10_digest, "op12_audit": op12_audit,
 }
-SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL}
+SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_chat": OP9_SQL, "op12_audit": OP12_SQL}
