@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tabscope.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -45,11 +43,3 @@ def prepared(sales):
     from tabscope.plans.prepare import prepare
 
     return prepare(sales)
-
-
-def rows_of(df):
-    return [tuple(r) for r in df.collect()]
-
-
-def texts(spark, *values, name="v"):
-    return spark.createDataFrame([(v,) for v in values], f"`{name}` string")

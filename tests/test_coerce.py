@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import rows_of, texts
+from helpers import rows_of, texts
 from pyspark.sql import functions as F
 
 from tabscope.functions import coerce

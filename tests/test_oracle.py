@@ -4,7 +4,7 @@ import os
 import sys
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 

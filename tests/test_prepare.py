@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of, texts
+from helpers import rows_of, texts
 from pyspark.sql import functions as F
 
 from tabscope.operators import clean as C, profile as P, roles

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from tabscope.functions.text import compact_number, format_value, humanize, period_label

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, rows_of
+from helpers import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from tabscope.operators import aggregate as A, distributions as D, segments as S, timeseries as T
