@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..specs import SpecError
@@ -59,3 +61,12 @@ def finite(df: DataFrame, name: str) -> Column:
     if isinstance(dtype(df, name), (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(col) & (F.abs(col) < float("inf")), col)
     return col
+
+
+def finite_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Only these columns, as doubles with NaN and infinities missing.
+
+    A projection of its own: aggregates refer to a column many times, and each reference
+    to the test itself, or to what the column is computed from, would be written out again.
+    """
+    return df.select(*[finite(df, n).cast("double").alias(n) for n in names])

@@ -7,7 +7,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import finite_frame, quoted
 from ..functions.quantiles import IN_TASK_DISTINCT, column_percentiles
 from ..functions.stats import correlation, pearson_p_value, sample_kurtosis, sample_skewness
 
@@ -31,7 +31,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int = 12) ->
     pairs = list(combinations(columns, 2))
     if not pairs:
         return spark.createDataFrame([], PAIRS_SCHEMA)
-    col = {c: finite(df, c).cast("double") for c in columns}
+    df = finite_frame(df, columns)
+    col = {c: quoted(c) for c in columns}
     joint = [col[a].isNotNull() & col[b].isNotNull() for a, b in pairs]
     got: dict = {}
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
@@ -62,10 +63,10 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int = 12) ->
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``position, column, value`` with one row per present numeric cell."""
     cells = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), finite(df, c).cast("double").alias("value"))
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), quoted(c).alias("value"))
         for i, c in enumerate(columns)
     ])
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    return finite_frame(df, columns).select(F.inline(cells)).where(F.col("value").isNotNull())
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], limit: int | None = 6,
@@ -81,7 +82,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], limit: int | None = 6,
               "extreme_values array<double>")
     if not columns:
         return spark.createDataFrame([], schema)
-    quartiles = column_percentiles(df, {c: finite(df, c) for c in columns}, [0.25, 0.75], in_task=in_task)
+    quartiles = column_percentiles(finite_frame(df, columns), {c: quoted(c) for c in columns}, [0.25, 0.75], in_task=in_task)
     fences = {}
     for c, q in quartiles.items():
         if q and q[1] > q[0]:
@@ -117,7 +118,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], limit: int | None = 6,
 
 def _varied(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with four distinct values: two different ones lie between the ends."""
-    value = {c: finite(df, c).cast("double") for c in columns}
+    value = {c: quoted(c) for c in columns}
     ends = df.agg(*[F.array(F.min(v), F.max(v)).alias(c) for c, v in value.items()]).first()
     between = {c: F.when((v > F.lit(ends[c][0])) & (v < F.lit(ends[c][1])), v) for c, v in value.items()}
     inner = df.agg(*[(F.min(v) < F.max(v)).alias(c) for c, v in between.items()]).first()
@@ -130,12 +131,13 @@ def distribution_shape(df: DataFrame, columns: Sequence[str], distinct: dict[str
     schema = "column string, shape string, skew double, kurtosis double"
     if not columns:
         return spark.createDataFrame([], schema)
+    df = finite_frame(df, columns)
     varied = [c for c in columns if distinct[c] >= 4] if distinct else _varied(df, columns)
     if not varied:
         return spark.createDataFrame([], schema)
     aggs = []
     for i, c in enumerate(varied):
-        v = finite(df, c).cast("double")
+        v = quoted(c)
         aggs += [F.count(v).alias(f"n{i}"), sample_skewness(v).alias(f"s{i}"), sample_kurtosis(v).alias(f"k{i}")]
     cells = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
@@ -153,9 +155,8 @@ def distribution_shape(df: DataFrame, columns: Sequence[str], distinct: dict[str
 def distribution_bins(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:
     """``column, bin_index, bin_start, bin_end, count`` for all columns in two scans."""
     long = _long(df, columns)
-    edges = df.agg(*[F.struct(F.min(finite(df, c).cast("double")).alias("lo"),
-                              F.max(finite(df, c).cast("double")).alias("hi")).alias(f"c{i}")
-                     for i, c in enumerate(columns)]).first()
+    edges = finite_frame(df, columns).agg(*[F.struct(F.min(quoted(c)).alias("lo"), F.max(quoted(c)).alias("hi")).alias(f"c{i}")
+                                            for i, c in enumerate(columns)]).first()
     known = [i for i in range(len(columns)) if edges[f"c{i}"]["lo"] is not None]
 
     def edge(which):

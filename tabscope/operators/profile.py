@@ -260,6 +260,9 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column],
     if not columns:
         return {}
     names = list(columns)
+    # Computed once per row, however often the aggregates refer to it.
+    df = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
+    columns = {n: quoted(n) for n in names}
     row = df.agg(*[a for i, n in enumerate(names) for a in numeric_aggs(columns[n], i)]).first()
     out = {n: row[f"num{i}"].asDict() for i, n in enumerate(names)}
     _add_percentiles(df, columns, out, column_percentiles(df, columns, list(PERCENTS), distinct))

@@ -44,3 +44,53 @@ def test_p_values():
     assert pearson_p_value(0.5, 20) == pytest.approx(0.0247696, rel=1e-4)
     assert pearson_p_value(0.1, 100) == pytest.approx(0.3222174, rel=1e-4)
     assert pearson_p_value(1.0, 10) == 0.0
+
+
+def quantile(values, p):
+    """The mean of two neighbours by their distance; by halves, so that no difference overflows."""
+    values = sorted(values)
+    at = p * (len(values) - 1)
+    low = int(at)
+    return values[low] * (1 - (at - low)) + (values[low + 1] * (at - low) if at > low else 0.0)
+
+
+def test_extreme_values(spark):
+    rng = np.random.default_rng(8)
+    wide = [float(x) for x in 10.0 ** rng.uniform(-308, 308, 900)]
+    values = {"wide": wide + [-x for x in wide[::3]] + [0.0, -0.0, 5e-324, 1.7e308, -1.7e308],
+              "near": [1.0 + k * 2**-52 for k in range(500)], "one": [4.0] * 300, "tiny": [k * 5e-324 for k in range(300)]}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("none", None), ("none", float("nan")), ("wide", float("inf")), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in percentiles(df, F.col("v"), PROBS, {"g": F.col("g")}, in_task=7).collect()}
+    for g, vs in values.items():
+        assert got[g]["p"] == pytest.approx([quantile(vs, p) for p in PROBS], rel=1e-12, abs=0), g
+    assert got["none"]["p"] is None and got["none"]["n"] == 2 and got["one"]["n"] == 301
+    assert percentiles(df.where("false"), F.col("v"), PROBS).collect()[0]["p"] is None
+
+
+def test_many_distinct_values(spark):
+    """Two million different values of uneven spread, far more than a task sorts."""
+    n = 2_000_000
+    df = spark.range(n).select(F.exp((F.col("id") * 7919 % n) / 100_000.0).alias("v"))
+    p = percentiles(df, F.col("v"), PROBS)
+    assert p.first()["p"] == pytest.approx(np.quantile(np.exp(np.arange(n) / 100_000), PROBS), rel=1e-9)
+
+
+def test_ranges_are_small_and_few(spark, monkeypatch):
+    """What is sorted in one task is at most what was asked for, whatever the number of values."""
+    from tabscope.functions import quantiles
+
+    seen = []
+    staged = quantiles._staged
+
+    def watched(df, name):
+        made = staged(df, name)
+        if name == "ranges":
+            seen.append(made.selectExpr("max(_distinct)", "count(*)").first())
+        return made
+
+    monkeypatch.setattr(quantiles, "_staged", watched)
+    df = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise("b").alias("g"), (F.col("id") * 1.5).alias("v"))
+    percentiles(df, F.col("v"), [0.1, 0.5], {"g": F.col("g")}, in_task=40).collect()
+    assert seen[0][0] > 40 >= seen[-1][0]
+    assert seen[-1][1] <= 8
