@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import label, ref
+from ..functions.ranks import rank_sums
 from ..specs import Filter
 from .aggregate import aggregate_column, by_dimension
 from .filters import apply_filters
@@ -40,60 +41,79 @@ def single_dimension(df: DataFrame, dimension: str, measure: str | None, aggrega
         F.col("value").cast("double").alias("value"), "row_count")
 
 
-def with_shares(values: DataFrame) -> DataFrame:
-    """Ranks and shares per dimension.
+KEYS = ("position", "dimension")
+
+
+def dimension_totals(values: DataFrame) -> DataFrame:
+    """One row per dimension of more than one category: their number, the total, mixed signs.
 
     A measure with mixed signs nets out near zero, so its shares are taken of
     the summed magnitude instead of the signed total.
     """
-    whole = Window.partitionBy("position", "dimension")
-    ordered = whole.orderBy(F.desc("value"), "label")
-    counted = values.withColumn("n_categories", F.count(F.lit(1)).over(whole)).where(F.col("n_categories") > 1)
-    negative = F.max(F.col("value") < 0).over(whole)
-    total = F.when(negative, F.sum(F.abs("value")).over(whole)).otherwise(F.sum("value").over(whole))
-    part = F.when(negative, F.abs("value")).otherwise(F.col("value"))
-    share = F.round(F.when(total == 0, 0.0).otherwise(F.try_divide(part * 100.0, total)), 2)
-    return (
-        counted.withColumn("rank", F.row_number().over(ordered))
-        .withColumn("has_negative", negative).withColumn("total", total).withColumn("share_pct", share)
-    )
+    negative = F.max(F.col("value") < 0)
+    return values.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n_categories"), negative.alias("has_negative"),
+        F.when(negative, F.sum(F.abs("value"))).otherwise(F.sum("value")).alias("total"),
+    ).where(F.col("n_categories") > 1)
+
+
+def trailing(top: int) -> Column:
+    """How many trailing categories are shown beside the leading ones."""
+    return F.least(F.lit(3), F.greatest(F.lit(0), F.col("n_categories") - top))
+
+
+def with_shares(values: DataFrame) -> DataFrame:
+    """Every category with its dimension's totals and its share of them."""
+    # One row per dimension, of which there are as many as columns at most.
+    met = values.join(F.broadcast(dimension_totals(values)), list(KEYS))
+    part = F.when(F.col("has_negative"), F.abs("value")).otherwise(F.col("value"))
+    share = F.round(F.when(F.col("total") == 0, 0.0).otherwise(F.try_divide(part * 100.0, F.col("total"))), 2)
+    return met.withColumn("share_pct", share)
+
+
+def ranked_ends(values: DataFrame, top: int, bottom: int = 3) -> DataFrame:
+    """The first ``top`` and last ``bottom`` categories of each dimension with rank and share.
+
+    Either end is cut to as many rows per task before its shuffle, so no task ranks a
+    whole dimension; ranks from the end follow from the number of categories.
+    """
+    met = with_shares(values)
+    group = Window.partitionBy(*KEYS)
+    first = met.withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "label"))).where(F.col("rank") <= top)
+    last = met.withColumn("_back", F.row_number().over(group.orderBy("value", F.desc("label")))).where(F.col("_back") <= bottom)
+    last = last.withColumn("rank", (F.col("n_categories") + 1 - F.col("_back")).cast("int")).drop("_back").where(F.col("rank") > top)
+    return first.unionByName(last)
 
 
 def segment_rows(values: DataFrame, top: int = 8) -> DataFrame:
     """The leading categories and up to three trailing ones, as ranked rows."""
-    ranked = with_shares(values)
-    tail = F.least(F.lit(3), F.greatest(F.lit(0), F.col("n_categories") - top))
-    side = F.when(F.col("rank") <= top, "top").when(F.col("rank") > F.col("n_categories") - tail, "bottom")
+    ends = ranked_ends(values, top)
+    side = F.when(F.col("rank") <= top, "top").when(F.col("rank") > F.col("n_categories") - trailing(top), "bottom")
     return (
-        ranked.withColumn("side", side).where(F.col("side").isNotNull())
-        .select("position", "dimension", "side", "rank", "label", F.round("value", 4).alias("value"),
-                "share_pct", "row_count")
+        ends.withColumn("side", side).where(F.col("side").isNotNull())
+        .select(*KEYS, "side", "rank", "label", F.round("value", 4).alias("value"), "share_pct", "row_count")
         .orderBy("position", "rank")
     )
 
 
 def segment_summary(values: DataFrame) -> DataFrame:
     """One row per dimension: categories, concentration, Gini, leader and laggard."""
-    ranked = with_shares(values)
-    tail = F.least(F.lit(3), F.greatest(F.lit(0), F.col("n_categories") - 8))
-    last = F.col("rank") > F.col("n_categories") - tail
-    rising = Window.partitionBy("position", "dimension").orderBy("value", "label")
-    ranked = ranked.withColumn("_i", F.row_number().over(rising))
-    spread = F.sum((2 * F.col("_i") - F.col("n_categories") - 1) * F.col("value"))
-    plain = (F.max("total") > 0) & (F.max("n_categories") > 2) & ~F.max("has_negative")
-    at_end = F.when(last & (F.col("rank") == F.col("n_categories")), F.col("rank"))
-    return ranked.groupBy("position", "dimension").agg(
-        F.max("n_categories").alias("n_categories"),
-        F.round(F.max("total"), 4).alias("total"),
-        F.when(F.max("total") != 0, F.round(F.sum(F.when(F.col("rank") <= 3, F.col("share_pct"))), 2))
-        .alias("concentration_pct"),
-        F.round(F.when(plain, F.try_divide(spread, F.max("n_categories") * F.sum("value"))), 4).alias("gini"),
-        F.max("has_negative").alias("has_negative"),
-        F.when(F.max("has_negative"), "absolute_total").otherwise("total").alias("share_basis"),
-        F.min_by("label", "rank").alias("leader"),
-        F.round(F.min_by("value", "rank"), 4).alias("leader_value"),
-        F.min_by("share_pct", "rank").alias("leader_share_pct"),
-        F.max_by("label", at_end).alias("laggard"),
-        F.round(F.max_by("value", at_end), 4).alias("laggard_value"),
-        F.max_by("share_pct", at_end).alias("laggard_share_pct"),
+    last = (F.col("rank") == F.col("n_categories")) & (trailing(8) > 0)
+    at_end = lambda c: F.max(F.when(last, F.col(c)))
+    at_front = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
+    ends = ranked_ends(values, 8, 1).groupBy(*KEYS).agg(
+        F.max("n_categories").alias("n_categories"), F.max("total").alias("_total"), F.max("has_negative").alias("has_negative"),
+        F.sum(F.when(F.col("rank") <= 3, F.col("share_pct"))).alias("_three"),
+        at_front("label").alias("leader"), at_front("value").alias("_first"), at_front("share_pct").alias("leader_share_pct"),
+        at_end("label").alias("laggard"), at_end("value").alias("_last"), at_end("share_pct").alias("laggard_share_pct"))
+    sums = rank_sums(values.select(*KEYS, "value", "label"), KEYS, "value", "label")
+    spread = 2 * F.col("rank_sum") - (F.col("n") + 1) * F.col("s.total")
+    plain = (F.col("_total") > 0) & (F.col("n_categories") > 2) & ~F.col("has_negative")
+    return ends.join(F.broadcast(sums.alias("s")), list(KEYS)).select(
+        *KEYS, "n_categories", F.round("_total", 4).alias("total"),
+        F.when(F.col("_total") != 0, F.round("_three", 2)).alias("concentration_pct"),
+        F.round(F.when(plain, F.try_divide(spread, F.col("n") * F.col("s.total"))), 4).alias("gini"),
+        "has_negative", F.when(F.col("has_negative"), "absolute_total").otherwise("total").alias("share_basis"),
+        "leader", F.round("_first", 4).alias("leader_value"), "leader_share_pct",
+        "laggard", F.round("_last", 4).alias("laggard_value"), "laggard_share_pct",
     ).orderBy("position")

@@ -1,7 +1,7 @@
 """Time buckets, trends, period comparison and anomalies.
 
-Raw rows are only ever grouped; every window below runs over period tables,
-which hold one row per period and measure.
+Raw rows are only ever grouped. Windows run over stretches of a period table, which has
+one row per period and measure, so that a long series is the work of several tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import is_temporal, ref
+from ..functions.quantiles import percentiles
+from ..functions.ranks import numbered, with_neighbours
 from ..functions.text import period_label
 from ..specs import GRAINS, Filter, SpecError
 from .aggregate import aggregate_column, group_values, split_groups
@@ -70,20 +72,35 @@ def _keys(periods: DataFrame) -> list[str]:
     return [c for c in ("position", "measure") if c in periods.columns]
 
 
-def _group(periods: DataFrame):
+def _placed(periods: DataFrame) -> DataFrame:
+    """Adds each period's place ``idx`` and of its series ``n_periods``, ``last_period``,
+    ``last_count`` and ``typical``, the median number of rows of the periods before the last.
+
+    There are as many series as measures; their facts are broadcast. A series has at most
+    one period a day of the calendar, so its row counts can be sorted in one task.
+    """
     keys = _keys(periods)
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    rows = numbered(periods, keys, "period")
+    before, at_end = F.col("idx") < F.col("n_periods") - 1, F.col("idx") == F.col("n_periods") - 1
+    typical = percentiles(rows.where(before), F.col("row_count"), [0.5], {k: F.col(k) for k in keys}, distinct=0)
+    typical = typical.select(*keys, F.col("p")[0].alias("typical"))
+    last = rows.where(at_end).select(*keys, F.col("period").alias("last_period"), F.col("row_count").alias("last_count"))
+    if keys:
+        return rows.join(F.broadcast(last.join(typical, keys, "left")), keys)
+    return rows.withColumn("_end", last.select(F.struct("last_period", "last_count")).scalar()).select(
+        rows["*"], "_end.*", typical.scalar().alias("typical"))
+
+
+def _thin_end(least: int) -> Column:
+    """Whether the last period is far emptier than is typical before it."""
+    thin = (F.col("typical") > 0) & (F.col("last_count") < F.col("typical") * PARTIAL_SHARE)
+    return F.coalesce((F.col("n_periods") > least) & thin, F.lit(False))
 
 
 def mark_partial(periods: DataFrame, least: int = MIN_PERIODS) -> DataFrame:
     """Adds ``is_partial``: a last period far emptier than is typical before it."""
-    group = _group(periods)
-    from_end = F.row_number().over(group.orderBy(F.desc("period")))
-    numbered = periods.withColumn("_end", from_end).withColumn("_n", F.count(F.lit(1)).over(group))
-    typical = F.median(F.when(F.col("_end") > 1, F.col("row_count"))).over(group)
-    thin = (typical > 0) & (F.col("row_count") < typical * PARTIAL_SHARE)
-    partial = (F.col("_end") == 1) & (F.col("_n") > least) & thin
-    return numbered.withColumn("is_partial", F.coalesce(partial, F.lit(False))).drop("_end", "_n")
+    partial = (F.col("idx") == F.col("n_periods") - 1) & _thin_end(least)
+    return _placed(periods).select(*periods.columns, partial.alias("is_partial"))
 
 
 def trend_points(periods: DataFrame, grain: str) -> DataFrame:
@@ -91,34 +108,27 @@ def trend_points(periods: DataFrame, grain: str) -> DataFrame:
 
     ``partial_period`` names the incomplete last period that was left out.
     """
-    group = _group(periods)
-    marked = mark_partial(periods)
-    left_out = F.max(F.when(F.col("is_partial"), period_label(F.col("period"), grain))).over(group)
-    complete = marked.withColumn("partial_period", left_out).where(~F.col("is_partial")).drop("is_partial")
-    return (
-        complete.withColumn("idx", F.row_number().over(group.orderBy("period")) - 1)
-        .withColumn("n_periods", F.count(F.lit(1)).over(group))
-        .where(F.col("n_periods") >= MIN_PERIODS)
-        .withColumn("label", period_label(F.col("period"), grain))
-    )
+    rows = _placed(periods).withColumn("_cut", _thin_end(MIN_PERIODS))
+    complete = rows.withColumn("n_periods", F.col("n_periods") - F.col("_cut").cast("int")).where(F.col("idx") < F.col("n_periods"))
+    return complete.where(F.col("n_periods") >= MIN_PERIODS).select(
+        *periods.columns, F.when(F.col("_cut"), period_label(F.col("last_period"), grain)).alias("partial_period"),
+        "idx", "n_periods", period_label(F.col("period"), grain).alias("label"))
 
 
 def trend_summary(periods: DataFrame, grain: str) -> DataFrame:
     """One row per measure: ends, direction, fit, extremes, last step, volatility."""
     keys = _keys(periods)
     points = trend_points(periods, grain)
-    group = _group(points)
-    stepped = points.withColumn("previous", F.lag("value").over(group.orderBy("period")))
     low_first = F.struct("value", "idx")
     high_first = F.struct("value", (-F.col("idx")).alias("back"))
     # Rounded like the points themselves so later readers see one set of numbers.
-    summary = stepped.groupBy(*keys).agg(
+    summary = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_periods"),
         F.min_by("value", "idx").alias("first_value"),
         F.max_by("value", "idx").alias("last_value"),
         F.min_by("label", "idx").alias("first_period"),
         F.max_by("label", "idx").alias("last_period"),
-        F.max_by("previous", "idx").alias("previous_value"),
+        F.max(F.when(F.col("idx") == F.col("n_periods") - 2, F.col("value"))).alias("previous_value"),
         F.max_by("label", high_first).alias("best_period"),
         F.max("value").alias("best_value"),
         F.min_by("label", low_first).alias("worst_period"),
@@ -148,6 +158,9 @@ def trend_summary(periods: DataFrame, grain: str) -> DataFrame:
     )
 
 
+REACH = 3  # neighbours on either side, of a window of seven at most
+
+
 def anomalies(periods: DataFrame, grain: str, per_measure: int = 4, limit: int | None = None) -> DataFrame:
     """Periods far from a centred rolling median of their neighbours.
 
@@ -155,13 +168,13 @@ def anomalies(periods: DataFrame, grain: str, per_measure: int = 4, limit: int |
     fixed size per plan, so the widest frame is collected once and each row
     takes the part its own series length asks for.
     """
+    keys = _keys(periods)
     points = trend_points(periods, grain).where(F.col("n_periods") >= 6).withColumn("value", F.round("value", 4))
-    group = _group(points)
     width = F.greatest(F.lit(3), F.least(F.lit(7), F.floor(F.col("n_periods") / 3)))
     ahead = F.floor((width - 1) / 2)
     behind = width - 1 - ahead
-    around = F.collect_list(F.struct("idx", "value")).over(group.orderBy("period").rowsBetween(-3, 3))
-    near = points.withColumn("_around", around).withColumn("_back", behind).withColumn("_ahead", ahead)
+    near = with_neighbours(points, keys, REACH, F.struct("idx", "value"), "_around")
+    near = near.withColumn("_back", behind).withColumn("_ahead", ahead)
     local = F.array_sort(F.transform(
         F.filter("_around", lambda p: (p["idx"] >= F.col("idx") - F.col("_back"))
                  & (p["idx"] <= F.col("idx") + F.col("_ahead"))),
@@ -172,13 +185,15 @@ def anomalies(periods: DataFrame, grain: str, per_measure: int = 4, limit: int |
     judged = (
         mid.withColumn("expected", F.when(F.col("_k") >= 2, (low + high) / 2))
         .withColumn("_residual", F.col("value") - F.col("expected"))
-        .withColumn("_z", F.try_divide(F.col("_residual"), F.stddev("_residual").over(_group(mid))))
-        .where(F.abs("_z") >= ANOMALY_Z)
+        .select(*keys, "idx", "label", "value", "expected", "_residual")
     )
+    spread = judged.groupBy(*keys).agg(F.stddev("_residual").alias("_spread"))
+    met = judged.join(F.broadcast(spread), keys) if keys else judged.withColumn("_spread", spread.scalar())
+    odd = met.withColumn("_z", F.try_divide(F.col("_residual"), F.col("_spread"))).where(F.abs("_z") >= ANOMALY_Z)
     deviation = F.coalesce(F.try_divide((F.col("value") - F.col("expected")) * 100, F.abs("expected")), F.lit(0.0))
-    rank = F.row_number().over(_group(judged).orderBy(F.desc(F.abs(F.round("_z", 2))), "idx"))
-    keys = _keys(periods)
-    found = judged.withColumn("_rank", rank).where(F.col("_rank") <= per_measure).select(
+    # Few rows are odd, and each task keeps its oddest only.
+    strongest = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(F.abs(F.round("_z", 2))), "idx")
+    found = odd.withColumn("_rank", F.row_number().over(strongest)).where(F.col("_rank") <= per_measure).select(
         *keys, F.col("label").alias("period"), "value", F.round("expected", 4).alias("expected"),
         F.round(deviation, 2).alias("deviation_pct"), F.round("_z", 2).alias("z_score"), "idx")
     found = found.orderBy(F.desc(F.abs("z_score")), *[k for k in keys if k == "position"], "idx")

@@ -251,6 +251,20 @@ def segment_many_categories(spark, sf):
     return money(S.segment_summary(values).select("n_categories", "total", "gini"), "total")
 
 
+@query("segment_order_keys", """
+    WITH v AS (SELECT CAST(l_orderkey AS VARCHAR) AS label, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS rank, row_number() OVER (ORDER BY value, label) AS i,
+                 count(*) OVER () AS n, sum(value) OVER () AS total FROM v)
+    SELECT max(n) AS n_categories, round(sum(CASE WHEN rank <= 3 THEN round(value * 100 / total, 2) END), 2) AS concentration_pct,
+           round(sum((2 * i - n - 1) * value) / (max(n) * sum(value)), 4) AS gini, arg_min(label, rank) AS leader,
+           round(max(value), 2) AS leader_value, arg_max(label, rank) AS laggard, round(min(value), 2) AS laggard_value FROM r""")
+def segment_order_keys(spark, sf):
+    """As many categories as orders: ranks and Gini without a window over all of them."""
+    values = S.dimension_values(table(spark, sf, "lineitem"), ["l_orderkey"], "l_extendedprice", "sum")
+    return money(S.segment_summary(values).select(
+        "n_categories", "concentration_pct", "gini", "leader", "leader_value", "laggard", "laggard_value"), "leader_value", "laggard_value")
+
+
 @query("scatter_sample", """
     SELECT l_quantity AS x, l_extendedprice AS y, l_linestatus AS series FROM lineitem WHERE l_returnflag = 'R'
     ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), x, y LIMIT 500""")
@@ -381,6 +395,39 @@ def trend_anomalies(spark, sf):
     return money(T.anomalies(monthly(spark, sf), "month"), "value", "expected")
 
 
+DAYS = """
+periods AS (SELECT TIMESTAMP '1900-01-01' + CAST(l_orderkey AS INTEGER) * INTERVAL 1 DAY AS period, sum(l_extendedprice) AS value,
+                   count(*) AS row_count FROM lineitem GROUP BY 1),
+""" + PERIODS[PERIODS.index("numbered AS"):].replace("'%Y-%m'", "'%Y-%m-%d'")
+
+
+def daily(spark, sf) -> DataFrame:
+    """A day for every order: far more periods than one stretch of the calendar has."""
+    day = F.lit("1900-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("l_orderkey").cast("int"))
+    return T.time_series(table(spark, sf, "lineitem").withColumn("day", day), "day", "l_extendedprice", "sum", "day")
+
+
+@query("anomalies_many_periods", f"""WITH {DAYS}, v AS (SELECT idx, label, round(value, 4) AS value FROM points WHERE n_periods >= 21),
+    r AS (SELECT *, median(value) OVER (ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS expected FROM v),
+    z AS (SELECT *, (value - expected) / stddev(value - expected) OVER () AS z FROM r)
+    SELECT label AS period, round(value, 2) AS value, round(expected, 2) AS expected, round(z, 2) AS z_score FROM z WHERE abs(z) >= 2.5""")
+def anomalies_many_periods(spark, sf):
+    out = T.anomalies(daily(spark, sf), "day", per_measure=1 << 30)
+    return money(out.select("period", "value", "expected", "z_score"), "value", "expected")
+
+
+@query("trend_many_periods", f"""WITH {DAYS}, s AS (
+    SELECT count(*) AS n_periods, arg_min(label, idx) AS first_period, arg_max(label, idx) AS last_period,
+           arg_min(value, idx) AS first_value, arg_max(value, idx) AS last_value, stddev(value) AS sd, avg(value) AS m,
+           regr_slope(value, idx) AS slope FROM points)
+    SELECT n_periods, first_period, last_period, round(first_value, 2) AS first_value, round(last_value, 2) AS last_value,
+           round(slope, 4) AS slope, round(sd * 100 / abs(m), 2) AS volatility_pct FROM s""")
+def trend_many_periods(spark, sf):
+    out = T.trend_summary(daily(spark, sf), "day").withColumn("slope", F.round("slope", 4))
+    return money(out.select("n_periods", "first_period", "last_period", "first_value", "last_value", "slope", "volatility_pct"),
+                 "first_value", "last_value")
+
+
 # --- segments ----------------------------------------------------------------
 
 SEGMENT = """
