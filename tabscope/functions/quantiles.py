@@ -21,21 +21,22 @@ BINS = 4096
 
 
 def percentiles(df: DataFrame, value: Column, probs: list[float], by: dict[str, Column] | None = None,
-                distinct: int | None = None, in_task: int = IN_TASK_DISTINCT) -> DataFrame:
+                distinct: int | None = None, in_task: int = IN_TASK_DISTINCT, weight: Column | None = None) -> DataFrame:
     """One row per group with ``p``, the exact percentiles as an array, and ``n``, its rows.
 
+    With ``weight`` each row stands for so many.
     Groups must be non-null; null, NaN and infinite values count as rows only. ``distinct`` is the
     largest number of distinct values in any group when already known.
     """
     by = by or {}
     keys = list(by)
     number = value.cast("double")
-    rows = df.select(*[c.alias(k) for k, c in by.items()], number.alias("_v"))
+    rows = df.select(*[c.alias(k) for k, c in by.items()], number.alias("_v"), (F.lit(1) if weight is None else weight).alias("_n"))
     finite = ~F.isnan("_v") & (F.abs("_v") < float("inf"))
     # Counting by value first spreads a hot group over all tasks. Adding zero folds -0.0 into 0.0.
     counted = (
-        rows.select(*keys, F.when(finite, F.col("_v") + F.lit(0.0)).alias("_v"))
-        .groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+        rows.select(*keys, F.when(finite, F.col("_v") + F.lit(0.0)).alias("_v"), "_n")
+        .groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
     )
     if distinct is None:
         distinct = counted.groupBy(*keys).agg(F.count("_v").alias("d")).agg(F.max("d")).first()[0] or 0

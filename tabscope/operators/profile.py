@@ -1,27 +1,25 @@
-"""Column and table profiles.
-
-The data is touched by a fixed number of jobs, whatever the number of columns:
-
-* text evidence: every text cell is counted by (column, value), then patterns
-  are tested once per *distinct* value and summed per combination of facts;
-* typed summary: one aggregate over all typed or parseable columns;
-* distinct counts, percentiles, outliers, top values, duplicate rows.
-
-Each of these shuffles values already combined per task, keyed so that no
-column and no frequent value ends up in a single task. Only one row per column
-and fact combination reaches the driver, where the type rules run.
+"""Column and table profiles, from one table of frequencies.
+
+Every cell is counted once by (column, value), map-side first, and the counts are staged.
+All the rest is read from them: patterns are tested and texts parsed once per *distinct*
+value, and types, distinct counts, moments, percentiles, outliers and top values are sums
+over counted values. So the data are scanned once and their cells shuffled once, whatever
+the number of columns; no column and no frequent value ends up in a single task. Only one
+row per column and fact combination reaches the driver, where the type rules run.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import coerce
 from ..functions.columns import finite, is_boolean, is_integral, is_numeric, is_temporal, quoted
-from ..functions.quantiles import column_percentiles
+from ..functions.quantiles import column_percentiles, percentiles
 from ..functions.stats import sample_skewness
+from ..session import new_path
 from ..specs import ColumnProfile, HIGH_CARDINALITY_RATIO, MAX_CARDINALITY, TableProfile
 from ..vocabulary import COMPACT_DATE, DATE_NAME_HINTS
 from . import roles
@@ -45,30 +43,64 @@ def cells(df: DataFrame, columns: dict[str, Column], *extra: Column) -> DataFram
     return df.select(F.inline(F.array(*tags))).where(F.col("value").isNotNull())
 
 
-def text_frequencies(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``position, key, n, changed, mask, length, words`` per distinct trimmed value.
+def frequencies(df: DataFrame) -> DataFrame:
+    """``position, key, number, whole, stamp, n, changed, mask, length, words``: the counted
+    cells of a table, staged.
+
+    Of the four kinds of value a row has one: trimmed text (``key``), finite doubles, whole
+    numbers and truth values, points in time. Position -1 counts the rows.
+    """
+    none = {"text": F.lit(None).cast("string"), "number": F.lit(None).cast("double"),
+            "whole": F.lit(None).cast("bigint"), "stamp": F.lit(None).cast("timestamp_ntz")}
+
+    def tag(position: int, **value: Column) -> Column:
+        return F.struct(F.lit(position).alias("position"), *[(value.get(k, c)).alias(k) for k, c in none.items()])
+
+    tags = [tag(-1, text=F.lit(""))]
+    for i, name in enumerate(df.columns):
+        if is_boolean(df, name) or is_integral(df, name):
+            tags.append(tag(i, whole=quoted(name).cast("bigint")))
+        elif is_numeric(df, name):
+            # Adding zero folds -0.0 into 0.0.
+            tags.append(tag(i, number=finite(df, name).cast("double") + F.lit(0.0)))
+        elif is_temporal(df, name):
+            tags.append(tag(i, stamp=quoted(name).cast("timestamp_ntz")))
+        else:
+            tags.append(tag(i, text=quoted(name).cast("string")))
+    present = F.coalesce(F.col("text"), F.col("number").cast("string"), F.col("whole").cast("string"), F.col("stamp").cast("string")).isNotNull()
+    counted = counted_texts(df.select(F.inline(F.array(*tags))).where(present), "number", "whole", "stamp")
+    path = new_path(df.sparkSession, "frequencies")
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(counted.schema).parquet(path)
+
+
+def counted_texts(cells_: DataFrame, *others: str) -> DataFrame:
+    """``position, key, others..., n, changed, mask, length, words`` per distinct trimmed value.
 
     A long text is keyed by its digest and its facts are taken before the
     shuffle, so document-sized cells never travel. ``changed`` counts rows that
-    white-space normalisation would alter. Position -1 counts the rows.
+    white-space normalisation would alter at the ends.
     """
-    every_row = F.struct(F.lit(-1).alias("position"), F.lit("").alias("value"))
-    trimmed = cells(df, columns, every_row).select("position", "value", coerce.trimmed(F.col("value")).alias("v"))
+    trimmed = cells_.select("position", "text", *others, coerce.trimmed(F.col("text")).alias("v"))
     v = F.col("v")
     is_long = F.length(v) > LONG_TEXT
-    counted = trimmed.select(
-        "position",
+    return trimmed.select(
+        "position", *others,
         F.when(is_long, F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v).alias("key"),
-        (F.col("value") != v).cast("bigint").alias("changed"),
+        (F.col("text") != v).cast("bigint").alias("changed"),
         # No date layout is that long, so only the other facts apply.
         F.when(is_long, coerce.fact_bits(v)).alias("mask"),
         F.when(is_long, F.length(v)).alias("length"),
         F.when(is_long, word_count(v)).alias("words"),
-    ).groupBy("position", "key").agg(
+    ).groupBy("position", "key", *others).agg(
         F.count(F.lit(1)).alias("n"), F.sum("changed").alias("changed"),
         F.max("mask").alias("mask"), F.max("length").alias("length"), F.max("words").alias("words"))
+
+
+def with_facts(counted: DataFrame) -> DataFrame:
+    """Facts of every distinct text; inner blanks count as a change of all its rows."""
     key = F.col("key")
-    known = counted.select(
+    known = counted.where(key.isNotNull()).select(
         "position", "key", "n", "changed",
         F.coalesce("mask", coerce.layout_bits("key").bitwiseOR(coerce.fact_bits(key))).alias("mask"),
         F.coalesce("length", F.length(key)).alias("length"),
@@ -156,22 +188,21 @@ class Evidence:
 
 def text_evidence(df: DataFrame, columns: dict[str, Column]) -> dict[str, Evidence]:
     """Evidence of every text column from one scan and one shuffle of distinct values."""
-    return count_and_evidence(df, columns)[1]
+    if not columns:
+        return {}
+    counted = counted_texts(cells(df, columns).withColumnRenamed("value", "text"))
+    return evidence_of(counted, {i: n for i, n in enumerate(columns)})[1]
 
 
-def count_and_evidence(df: DataFrame, columns: dict[str, Column]) -> tuple[int | None, dict[str, Evidence]]:
-    if not columns:
-        return None, {}
+def evidence_of(counted: DataFrame, names: dict[int, str]) -> tuple[int, dict[str, Evidence]]:
+    """The number of rows, where they are counted, and the evidence of the columns at these positions."""
     blank = F.col("key") == ""
-    rows = (
-        text_frequencies(df, columns).groupBy("position", "mask", blank.alias("blank")).agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), F.sum("changed").alias("changed"),
-            F.sum(F.col("n") * F.col("length")).alias("length"), F.sum(F.col("n") * F.col("words")).alias("words"))
-        .collect()
-    )
+    rows = with_facts(counted).groupBy("position", "mask", blank.alias("blank")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), F.sum("changed").alias("changed"),
+        F.sum(F.col("n") * F.col("length")).alias("length"), F.sum(F.col("n") * F.col("words")).alias("words")).collect()
     groups = [r.asDict() for r in rows]
     n_rows = sum(g["n"] for g in groups if g["position"] == -1)
-    return n_rows, {name: Evidence([g for g in groups if g["position"] == i]) for i, name in enumerate(columns)}
+    return n_rows, {name: Evidence([g for g in groups if g["position"] == i]) for i, name in names.items()}
 
 
 def evidence_frame(spark, evidence: dict[str, Evidence], facts: Sequence[str]) -> DataFrame:
@@ -195,30 +226,6 @@ def parsed_column(source: Column, inferred: str, parse: dict) -> Column:
     return coerce.to_boolean(source)
 
 
-def distinct_counts(df: DataFrame, columns: dict[str, tuple[str, Column]]) -> dict[str, tuple]:
-    """Exact (distinct count, minimum, maximum); ``columns`` maps a name to (type class, column).
-
-    Columns of one class share a scan; values are de-duplicated across tasks by
-    (column, value) before one small count per column. The ends are doubles and
-    given for numbers only.
-    """
-    plans = []
-    for kind in sorted({k for k, _ in columns.values()}):
-        chosen = {n: c for n, (k, c) in columns.items() if k == kind}
-        tagged = [F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in chosen.items()]
-        values = df.select(F.inline(F.array(*tagged))).where(F.col("value").isNotNull())
-        number = F.col("value").cast("double") if kind in ("bigint", "double") else F.lit(None).cast("double")
-        plans.append(values.distinct().groupBy("name").agg(
-            F.count(F.lit(1)).alias("n"), F.min(number).alias("lo"), F.max(number).alias("hi")))
-    counts = dict.fromkeys(columns, (0, None, None))
-    if plans:
-        union = plans[0]
-        for plan in plans[1:]:
-            union = union.unionByName(plan)
-        counts.update({r["name"]: (r["n"], r["lo"], r["hi"]) for r in union.collect()})
-    return counts
-
-
 def numeric_aggs(c: Column, i: int) -> list[Column]:
     v = c.cast("double")
     n = F.count(v)
@@ -334,159 +341,182 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
     Without ``detail`` only what cleaning needs is computed (types, roles,
     distinct counts, ends); statistics, top values and samples stay empty.
     """
-    raw, names = df, df.columns
+    names = df.columns
+    at = {n: i for i, n in enumerate(names)}
     direct = [n for n in names if is_numeric(df, n) or is_temporal(df, n) or is_boolean(df, n)]
-    source = {n: quoted(n).cast("string") for n in names if n not in direct}
-    n_rows, evidence = count_and_evidence(df, source)
+    counted = frequencies(df)
+    n_rows, evidence = evidence_of(counted, {at[n]: n for n in names if n not in direct})
     kinds = {n: "datetime" if is_temporal(df, n) else "boolean" if is_boolean(df, n) else "numeric" for n in direct}
     parse: dict[str, dict] = {}
     for n, e in evidence.items():
-        kinds[n], parse[n] = _text_type(df, n, source[n], e)
-
-    # Trimmed once in a projection of its own, as parsing refers to the text often.
-    df = df.select(*[(coerce.trimmed(source[n]) if n in source else quoted(n)).alias(n) for n in names])
-    source = {n: quoted(n) for n in source}
-    typed = {n: parsed_column(source[n], kinds[n], parse[n])
-             if n in source and kinds[n] in ("numeric", "datetime", "boolean")
-             else finite(df, n) if is_numeric(df, n) else quoted(n) for n in names}
-    distinct = distinct_counts(df, _distinct_classes(df, names, kinds, typed, source, detail))
+        kinds[n], parse[n] = _text_type(counted, n, at[n], e)
 
+    typed = {r["position"]: r for r in counted.where(F.col("key").isNull()).groupBy("position").agg(
+        F.count(F.lit(1)).alias("unique"), F.sum("n").alias("count"), F.min("whole").alias("lo"), F.max("whole").alias("hi"),
+        F.sum(F.when(F.col("whole").cast("string").rlike(COMPACT_DATE), F.col("n"))).alias("dated")).collect()}
     # Whole numbers shaped like yyyymmdd are judged as the text they spell.
-    near = [n for n in direct if is_integral(df, n) and distinct[n][0]
-            and distinct[n][2] >= 19000000 and distinct[n][1] < 21000000]
-    for n, text in _compact_dates(df, near).items():
-        source[n] = text
-        evidence.update(text_evidence(df, {n: text}))
-        kinds[n], parse[n] = _text_type(df, n, text, evidence[n])
-        if kinds[n] == "datetime":
-            typed[n] = parsed_column(text, "datetime", parse[n])
-            distinct.update(distinct_counts(df, _distinct_classes(df, [n], kinds, typed, source, detail)))
-        else:
-            del source[n], evidence[n]
-            kinds[n] = "numeric"
-    # An integer column holding only 0 and 1 is a flag although typed.
     for n in direct:
-        if kinds[n] == "numeric" and is_integral(df, n) and distinct[n][0] and 0 <= distinct[n][1] and distinct[n][2] <= 1:
+        r = typed.get(at[n])
+        if r and is_integral(df, n) and r["hi"] >= 19000000 and r["lo"] < 21000000 and (r["dated"] or 0) >= 0.5 * r["count"]:
+            spelled = counted.where(F.col("position") == at[n]).withColumn("key", F.col("whole").cast("string")).withColumn("changed", F.lit(0))
+            e = evidence_of(spelled, {at[n]: n})[1][n]
+            kind, how = _text_type(spelled, n, at[n], e)
+            if kind == "datetime":
+                kinds[n], parse[n], evidence[n] = kind, how, e
+        # An integer column holding only 0 and 1 is a flag although typed.
+        if r and kinds[n] == "numeric" and is_integral(df, n) and 0 <= r["lo"] and r["hi"] <= 1:
             kinds[n] = "boolean"
 
-    row, stats, tops = {}, {}, {n: [] for n in names}
-    bare = [n for n in names if n not in evidence]
-    if detail or bare or n_rows is None:
-        row = _describe(df, names, kinds, typed, source, distinct, detail)
-        n_rows = row["rows"]
+    numeric, dated = [n for n in names if kinds[n] == "numeric"], [n for n in names if kinds[n] == "datetime"]
+    stats = _number_stats(counted, {at[n]: n for n in numeric}, detail)
+    dates = _date_stats(counted, {at[n]: n for n in dated}, parse) if detail else {}
+    tops, ends = {n: [] for n in names}, {}
     if detail:
-        stats = {n: row["stats"][n] for n in names if kinds[n] == "numeric" and row["stats"].get(n)}
-        counts = {n: evidence[n].count if n in evidence else row["present"][n] for n in names}
-        tops = _tops(df, names, kinds, evidence, source, counts)
+        counts = {n: evidence[n].count if n in evidence else typed[at[n]]["count"] if at[n] in typed else 0 for n in names}
+        tops = _tops(counted, df, kinds, evidence, at, counts)
+        ends = _text_ends(counted, df, [n for n in names if kinds[n] in ("categorical", "text")], at)
+        ends |= {n: (s["min"], s["max"]) for n, s in stats.items()} | {n: (d["min"], d["max"]) for n, d in dates.items()}
 
     columns = []
     for n in names:
-        e = evidence.get(n)
-        count = e.count if e else row["present"][n]
-        unique = e.unique if e and kinds[n] != "numeric" else distinct[n][0]
+        e, r = evidence.get(n), typed.get(at[n])
+        count = e.count if e else r["count"] if r else 0
+        unique = stats[n].pop("unique") if kinds[n] == "numeric" and n in stats else e.unique if e else r["unique"] if r else 0
         missing = n_rows - count
-        if kinds[n] == "numeric" and n not in stats:
-            stats[n] = {"min": distinct[n][1], "max": distinct[n][2]}
         c = ColumnProfile(
-            name=n, physical_type=raw.schema[n].dataType.simpleString(), inferred_type=kinds[n],
+            name=n, physical_type=df.schema[n].dataType.simpleString(), inferred_type=kinds[n],
             count=count, missing=missing, missing_pct=round(missing / n_rows * 100, 2) if n_rows else 0.0,
             unique=unique, cardinality_ratio=round(unique / count, 4) if count else 0.0,
             is_constant=unique <= 1 and count > 0,
             is_unique_key=unique == n_rows and n_rows > 1 and missing == 0,
-            numeric=stats.get(n),
-            datetime=_datetime_stats(row, n, distinct) if detail and kinds[n] == "datetime" else None,
-            top_values=tops[n], sample_values=_samples(row, n, tops[n]) if detail else [],
+            numeric=stats.get(n) or (None if detail or kinds[n] != "numeric" else {"min": None, "max": None}),
+            datetime=dates.get(n, {}) if detail and kinds[n] == "datetime" else None,
+            top_values=tops[n], sample_values=_samples(ends.get(n), tops[n]) if detail else [],
             parse={**parse.get(n, {}), "evidence": e},
         )
         facts = {f: e.share(f) for f in ("uuid", "email", "percent", "currency")} if e else {}
         c.role, c.role_confidence, c.role_evidence = roles.infer_role(c, facts)
         columns.append(c)
 
-    repeated = duplicate_count(raw).first()["n_duplicates"] if duplicates else None
+    repeated = duplicate_count(df).first()["n_duplicates"] if duplicates else None
     domain, signals = roles.guess_domain(names)
     profile = TableProfile(n_rows, repeated, columns, domain=domain, domain_signals=signals)
     roles.pick_primaries(profile)
     return profile
 
 
-DAYS = "\0days"  # suffix of the entry counting the days of a date column
+def _by_position(values: dict[int, Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("position") == i, c) for i, c in values.items()])
 
 
-def _distinct_classes(df, names, kinds, typed, source, detail) -> dict[str, tuple[str, Column]]:
-    classes: dict[str, tuple[str, Column]] = {}
-    for n in names:
-        if kinds[n] == "numeric":
-            whole = n not in source and is_integral(df, n)
-            classes[n] = ("bigint", typed[n].cast("bigint")) if whole else ("double", typed[n].cast("double"))
-        elif kinds[n] == "boolean" and n not in source:
-            classes[n] = ("boolean", typed[n])
-        elif kinds[n] == "datetime":
-            stamp = typed[n].cast("timestamp_ntz")
-            if detail:
-                classes[n + DAYS] = ("bigint", F.unix_date(stamp.cast("date")).cast("bigint"))
-            if n not in source:
-                classes[n] = ("timestamp_ntz", stamp)
-    return classes
-
-
-def _describe(df, names, kinds, typed, source, distinct, detail) -> dict:
-    """Row count and presence and, in detail, ends, moments and percentiles."""
-    frame = df.select(*[typed[n].alias(f"t{i}") for i, n in enumerate(names)],
-                      *[source[n].alias(f"s{i}") for i, n in enumerate(names) if n in source])
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        t = F.col(f"t{i}")
-        aggs.append(F.count(t).alias(f"n{i}"))
-        if not detail or kinds[n] in ("boolean", "empty"):
-            continue
-        shown = t
-        if kinds[n] in ("categorical", "text"):
-            shown = F.when(F.col(f"s{i}") != "", F.col(f"s{i}"))
-        aggs.append(F.struct(F.min(shown).alias("lo"), F.max(shown).alias("hi")).alias(f"end{i}"))
-        if kinds[n] == "datetime":
-            aggs.append(F.timestamp_diff("DAY", F.min(t), F.max(t)).alias(f"span{i}"))
-        if kinds[n] == "numeric":
-            aggs.extend(numeric_aggs(t, i))
-    got = frame.agg(*aggs).first().asDict()
-    out = {"rows": got["rows"], "present": {}, "ends": {}, "span": {}, "stats": {}}
-    numeric = {}
-    for i, n in enumerate(names):
-        out["present"][n] = got[f"n{i}"]
-        out["ends"][n] = got.get(f"end{i}")
-        out["span"][n] = got.get(f"span{i}")
-        if detail and kinds[n] == "numeric" and got[f"n{i}"]:
-            numeric[n] = F.col(f"t{i}").cast("double")
-            out["stats"][n] = got[f"num{i}"].asDict()
-    found = column_percentiles(frame, numeric, list(PERCENTS), {n: distinct[n][0] for n in numeric})
-    _add_percentiles(frame, numeric, out["stats"], found)
+def _number_stats(counted: DataFrame, names: dict[int, str], detail: bool) -> dict[str, dict]:
+    """Distinct values and ends, in detail also moments, percentiles and outliers, by counted values."""
+    if not names:
+        return {}
+    spelled = F.col("key").isNotNull()
+    value = F.when(spelled, coerce.to_number(F.col("key"))).otherwise(F.coalesce(F.col("number"), F.col("whole").cast("double")))
+    numbers = counted.where(F.col("position").isin(*names)).select("position", "whole", value.alias("v"), "n").where("v is not null")
+    # Whole numbers stay apart beyond 2 ** 53, where doubles meet.
+    numbers = numbers.groupBy("position", "whole", "v").agg(F.sum("n").alias("n"))
+    if detail:
+        path = new_path(counted.sparkSession, "numbers")
+        numbers.write.parquet(path)
+        numbers = counted.sparkSession.read.schema(numbers.schema).parquet(path)
+    v, n = F.col("v"), F.col("n")
+    plain = numbers.groupBy("position").agg(
+        F.count(F.lit(1)).alias("unique"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("n").alias("rows"),
+        F.sum(v * n).alias("sum"), F.sum(F.when(v == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when(v < 0, n).otherwise(0)).alias("below"))
+    base = {names[r["position"]]: r.asDict() for r in plain.collect()}
+    if not detail:
+        return {name: {k: r[k] for k in ("unique", "min", "max")} for name, r in base.items()}
+    found = [i for i, name in names.items() if name in base]
+    if not found:
+        return {}
+    mean = _by_position({i: F.lit(base[names[i]]["sum"] / base[names[i]]["rows"]) for i in found})
+    quantiles = {r["position"]: r["p"] for r in percentiles(
+        numbers, v, list(PERCENTS), {"position": F.col("position")}, max(r["unique"] for r in base.values()), weight=n).collect()}
+    reach = {i: 1.5 * (quantiles[i][3] - quantiles[i][1]) for i in found}
+    fence = [i for i in found if reach[i] > 0] or found[:1]
+    out_low = _by_position({i: F.lit(quantiles[i][1] - reach[i]) for i in fence})
+    out_high = _by_position({i: F.lit(quantiles[i][3] + reach[i]) for i in fence})
+    far = F.sum(F.when((v < F.col("_low")) | (v > F.col("_high")), n).otherwise(0))
+    moved = numbers.select("position", "v", "n", (v - mean).alias("_d"), out_low.alias("_low"), out_high.alias("_high"))
+    d = F.col("_d")
+    central = moved.groupBy("position").agg(F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"), far.alias("far")).collect()
+    out = {}
+    for r in central:
+        name, i = names[r["position"]], r["position"]
+        b, p, rows = base[name], quantiles[i], base[name]["rows"]
+        spread = (r["m2"] / rows) ** 0.5
+        skew = r["m3"] / rows / spread / spread / spread * (rows * (rows - 1)) ** 0.5 / (rows - 2) if rows > 2 and spread > 0 else None
+        out[name] = {
+            "unique": b["unique"], "n": rows, "min": b["min"], "max": b["max"], "mean": b["sum"] / rows,
+            "std": (r["m2"] / (rows - 1)) ** 0.5 if rows > 1 else None, "skew": skew, "sum": b["sum"],
+            "zero_pct": _percent(b["zeros"], rows), "negative_pct": _percent(b["below"], rows),
+            "p05": p[0], "p25": p[1], "median": p[2], "p75": p[3], "p95": p[4], "outlier_count": r["far"] if reach[i] > 0 else 0}
     return out
 
 
-def _tops(df, names, kinds, evidence, source, counts) -> dict[str, list]:
-    listed = {n: source.get(n, quoted(n).cast("string")) for n in names if kinds[n] in ("categorical", "boolean")
-              or (kinds[n] == "text" and evidence[n].unique <= MAX_CARDINALITY)}
-    tops: dict[str, list] = {n: [] for n in names}
-    if listed:
-        for r in sorted(top_values(df, listed, counts=counts).collect(), key=lambda r: r["rank"]):
-            if kinds[r["name"]] != "text" or r["rank"] <= 8:
-                tops[r["name"]].append((r["value"], r["n"], r["pct"]))
-    return tops
+def _percent(part: int, whole: int) -> float:
+    """With two digits, halves up."""
+    return math.floor(part * 10_000.0 / whole + 0.5) / 100
 
 
-def _compact_dates(df: DataFrame, integral: list[str]) -> dict[str, Column]:
-    if not integral:
+def _date_stats(counted: DataFrame, names: dict[int, str], parse: dict) -> dict[str, dict]:
+    if not names:
         return {}
-    as_text = {n: quoted(n).cast("string") for n in integral}
-    shares = df.agg(*[
-        F.try_divide(F.count_if(c.rlike(COMPACT_DATE)).cast("double"), F.count(c)).alias(n) for n, c in as_text.items()
-    ]).first().asDict()
-    return {n: as_text[n] for n in integral if (shares[n] or 0.0) >= 0.5}
+    spelled = F.coalesce(F.col("key"), F.col("whole").cast("string"))
+    read = {i: coerce.to_datetime(spelled, parse[n]["layouts"]) for i, n in names.items() if n in parse}
+    stamp = F.coalesce(F.col("stamp"), _by_position(read)) if read else F.col("stamp")
+    days = counted.where(F.col("position").isin(*names)).select("position", stamp.cast("timestamp_ntz").alias("t")).where("t is not null").groupBy(
+        "position", F.unix_date(F.col("t").cast("date")).alias("day")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    ends = days.groupBy("position").agg(F.min("lo").alias("min"), F.max("hi").alias("max"), F.count(F.lit(1)).alias("days"))
+    rows = ends.withColumn("span", F.timestamp_diff("DAY", F.col("min"), F.col("max"))).collect()
+    return {names[r["position"]]: {"min": r["min"], "max": r["max"], "range_days": r["span"], "distinct_days": r["days"],
+                                   "suggested_grain": suggested_grain(r["span"], r["days"])} for r in rows}
+
+
+def _tops(counted: DataFrame, df: DataFrame, kinds: dict, evidence: dict, at: dict, counts: dict, k: int = 12) -> dict[str, list]:
+    """The most frequent labels of each column that has labels; cut to k rows per task before the shuffle."""
+    listed = [n for n in df.columns if kinds[n] in ("categorical", "boolean") or (kinds[n] == "text" and evidence[n].unique <= MAX_CARDINALITY)]
+    tops: dict[str, list] = {n: [] for n in df.columns}
+    if not listed:
+        return tops
+    truth = [at[n] for n in listed if is_boolean(df, n)]
+    whole = F.when(F.col("position").isin(*truth), (F.col("whole") == 1).cast("string")).otherwise(F.col("whole").cast("string"))
+    labels = counted.where(F.col("position").isin(*[at[n] for n in listed])).select(
+        "position", F.coalesce(F.col("key"), whole, F.col("number").cast("string")).alias("value"), "n").where(F.col("value") != "")
+    order = Window.partitionBy("position").orderBy(F.desc("n"), "value")
+    best = labels.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    name_at = {i: n for n, i in at.items()}
+    for r in sorted(best.collect(), key=lambda r: (r["position"], r["rank"])):
+        name = name_at[r["position"]]
+        if kinds[name] != "text" or r["rank"] <= 8:
+            tops[name].append((r["value"], r["n"], _percent(r["n"], counts[name])))
+    return tops
 
 
-def _text_type(df: DataFrame, name: str, source: Column, e: Evidence) -> tuple[str, dict]:
+def _text_ends(counted: DataFrame, df: DataFrame, names: list[str], at: dict) -> dict[str, tuple]:
+    """First and last text of each column; those with digests for texts are read again."""
+    if not names:
+        return {}
+    rows = counted.where(F.col("position").isin(*[at[n] for n in names]) & (F.col("key") != "")).groupBy("position").agg(
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("length").alias("long")).collect()
+    found = {r["position"]: r for r in rows}
+    ends = {n: (found[at[n]]["lo"], found[at[n]]["hi"]) for n in names if at[n] in found}
+    digested = [n for n in ends if found[at[n]]["long"] is not None]
+    if digested:
+        tidy = df.select(*[coerce.trimmed(quoted(n).cast("string")).alias(n) for n in digested])
+        shown = {n: F.when(quoted(n) != "", quoted(n)) for n in digested}
+        row = tidy.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(n) for n, c in shown.items()]).first()
+        ends |= {n: (row[n]["lo"], row[n]["hi"]) for n in digested}
+    return ends
+
+
+def _text_type(counted: DataFrame, name: str, position: int, e: Evidence) -> tuple[str, dict]:
     if not e.count:
         return "empty", {}
-    if e.tokens_only() and (e.unique <= 4 or _spellings(df, source) <= 4):
+    if e.tokens_only() and (e.unique <= 4 or _spellings(counted, position) <= 4):
         return "boolean", {}
     if e.looks_like_dates(name):
         layouts, rows, sane = e.layouts()
@@ -499,26 +529,16 @@ def _text_type(df: DataFrame, name: str, source: Column, e: Evidence) -> tuple[s
     return "text" if varied or wordy else "categorical", {}
 
 
-def _spellings(df: DataFrame, source: Column) -> int:
+def _spellings(counted: DataFrame, position: int) -> int:
     """Distinct case-folded tokens; at most the size of the token lists."""
-    token = F.lower(coerce.trimmed(source))
-    return df.select(F.when(token != "", token).alias("t")).distinct().agg(F.count("t")).first()[0]
-
-
-def _datetime_stats(row: dict, name: str, distinct: dict) -> dict:
-    ends, span, days = row["ends"][name], row["span"][name], distinct[name + DAYS][0]
-    if ends["lo"] is None:
-        return {}
-    return {"min": ends["lo"], "max": ends["hi"], "range_days": span, "distinct_days": days,
-            "suggested_grain": suggested_grain(span, days)}
+    token = F.when(F.col("key") != "", F.lower("key"))
+    return counted.where(F.col("position") == position).select(token.alias("t")).distinct().agg(F.count("t")).first()[0]
 
 
-def _samples(row: dict, name: str, tops: list) -> list[str]:
+def _samples(ends: tuple | None, tops: list) -> list[str]:
     if tops:
         return [v for v, _, _ in tops[:5]]
-    ends = row["ends"][name]
-    found = [ends["lo"], ends["hi"]] if ends else []
-    return list(dict.fromkeys(str(v) for v in found if v is not None))
+    return list(dict.fromkeys(str(v) for v in ends or () if v is not None))
 
 
 # --- profile tables ----------------------------------------------------------

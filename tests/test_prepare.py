@@ -106,3 +106,32 @@ def test_names():
     assert roles.match("unit_price", {"price", "unit_price"})[0] == pytest.approx(2.1)
     assert roles.guess_domain(["employee_id", "department", "salary"])[0] == "hr"
     assert roles.guess_domain(["foo", "salary"])[0] == "general"
+
+
+def test_profile_reads_cells_once(spark, sales):
+    """All statistics follow from one counted table, which one shuffle makes."""
+    cells = sales.select("order_id", F.col("quantity").cast("double").alias("position"), F.lit("x").alias("text"))
+    plan = P.counted_texts(cells, "position")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    counted = P.frequencies(sales)
+    assert {r["position"]: r["n"] for r in counted.where("position = -1").collect()} == {-1: sales.count()}
+
+
+def test_counted_statistics_equal_direct_ones(spark):
+    df = spark.range(900).select(
+        F.col("id"), (F.col("id") % 37 - 9).cast("double").alias("d"), (F.col("id") % 5).cast("decimal(9,2)").alias("m"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("$"), F.col("id") * F.col("id") % 101)).alias("t"),
+        F.when(F.col("id") % 11 == 0, float("nan")).otherwise(F.sqrt("id")).alias("r"), (F.col("id") % 2).cast("int").alias("flag"),
+        F.repeat(F.concat(F.col("id").cast("string"), F.lit("x")), 150).alias("long"))
+    profile = P.profile_table(df)
+    direct = {"id": F.col("id"), "d": F.col("d"), "m": F.col("m"), "t": F.expr("cast(substring(t, 2) as double)"),
+              "r": F.when(~F.isnan("r"), F.col("r"))}
+    for name, column in direct.items():
+        got, want = profile.get(name).numeric, P.numeric_summary(df, {name: column})[name]
+        assert profile.get(name).inferred_type == "numeric"
+        for k in want:
+            assert got[k] == pytest.approx(want[k], rel=1e-9), (name, k)
+        assert profile.get(name).unique == df.select(column).distinct().where(column.isNotNull() if name in df.columns else F.lit(True)).na.drop().count()
+    assert profile.get("flag").inferred_type == "boolean" and profile.get("flag").top_values == [("0", 450, 50.0), ("1", 450, 50.0)]
+    # Long texts are counted by digest and shown as they are.
+    assert profile.get("long").unique == 900 and profile.get("long").sample_values[0] == "0x" * 150
