@@ -4,15 +4,19 @@ Every source is cut into blocks of ``block`` documents. With a target weight w,
 source (from 0) may run from slot floor(i / w) on and must run before slot ceil((i + 1) / w);
 in every slot the earliest deadline among the released blocks runs. Weights are whole numbers
 of ``1 / period``, so the schedule repeats every ``period`` slots and is worked out for one
-period, whatever the amount of data. At every slot each source has had its share to within
+period, whatever the amount of data. The period grows with the number of sources, so that
+weights stay true however many there are. At every slot each source has had its share to within
 less than one block, for as long as it lasts; afterwards its slots stay empty.
 
-Every document keeps its row and gets the slot of its block and a place in it. ``in_mix``
-tells whether the slot comes before the first one that a source could not fill.
+Target weights are the sources' shares to the power ``flatten``, or those of a table (source,
+weight). Every document keeps its row and gets the slot of its block and a place in it. ``in_mix``
+tells whether the slot comes before the first one that a source could not fill. Documents of
+sources without a positive weight in a given table have no slot and are not in the mixture.
 
 A null source is a source of its own. Within a source documents are in the order of the MD5
 of their id and text, so that a block is a mixture; repeated rows share a hash and take
-neighbouring places. An empty table gives no rows.
+neighbouring places. An empty table gives no rows. Other columns pass through, whatever their
+names; ``slot``, ``place`` and ``in_mix`` replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -23,89 +27,116 @@ from pyspark.sql import functions as F
 from tabscope.llm import common
 
 BLOCK = 8
-PERIOD = 1024
+#: Slots of a period, and how many there are for each source at least if sources are many.
+PERIOD, SLOTS_EACH = 1024, 16
 #: Target weights are the sources' shares to this power, which lifts small sources.
 FLATTEN = 0.7
+#: Tables of weights and slots up to this many rows of a few numbers are sent to all tasks.
+BROADCAST_ROWS = 1 << 17
+CHUNK = 512
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """Adds ``_n``, the place in the source. No source is sorted in one task: places are
     counted within 4,096 hash ranges of a source, and each range starts where the totals
     of the earlier ones end."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_key", key)
-    rows = rows.withColumn("_null", F.col("source").isNull()).withColumn("_range", F.substring("_key", 1, 3))
+    own = docs.select(F.struct("*").alias("_row"))
+    text = lambda c: F.coalesce(F.col(f"_row.{c}").cast("string"), F.lit(""))
+    rows = own.select(
+        "_row", text("source").alias("_source"), F.col("_row.source").isNull().alias("_null"),
+        F.md5(F.concat(text("doc_id"), F.lit("/"), text("text"))).alias("_key")).withColumn("_range", F.substring("_key", 1, 3))
     group = ["_source", "_null", "_range"]
     ranges = rows.groupBy(*group).agg(F.count("*").alias("_size"))
     starts = ranges.select(*group, (F.sum("_size").over(
         Window.partitionBy("_source", "_null").orderBy("_range")) - F.col("_size")).alias("_start"))
-    placed = rows.select(*group, "_key", *_copies(docs)).withColumn(
-        "_at", F.row_number().over(Window.partitionBy(*group).orderBy("_key")) - 1)
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy("_key")) - 1)
     return placed.join(starts, group).withColumn("_n", F.col("_start") + F.col("_at"))
 
 
-def _copies(docs: DataFrame) -> list:
-    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")]
+def period_for(sources: int, period: int = PERIOD) -> int:
+    """At least ``period``, and the next power of two that gives each source ``SLOTS_EACH`` slots."""
+    return max(period, 1 << (sources * SLOTS_EACH - 1).bit_length()) if sources * SLOTS_EACH > period else period
 
 
-def target_weights(sizes: DataFrame, period: int = PERIOD, flatten: float = FLATTEN) -> DataFrame:
-    """``_units`` of 1 / period for each source: largest remainders over one unit each."""
+def target_weights(sizes: DataFrame, period: int) -> DataFrame:
+    """``_units`` of 1 / period for each source: largest remainders over one unit each. ``sizes``
+    has a row per source with its ``_raw`` weight. Sources are numbered (``_who``)."""
     every = Window.partitionBy(F.lit(0))
-    raw = sizes.withColumn("_count", F.count("*").over(every)).withColumn("_share", F.pow("_blocks", F.lit(flatten)))
-    raw = raw.withColumn("_share", (F.lit(period) - F.col("_count")) * F.round(F.col("_share") / F.sum("_share").over(every), 9))
+    raw = sizes.withColumn("_count", F.count("*").over(every))
+    raw = raw.withColumn("_share", (F.lit(period) - F.col("_count")) * F.round(F.col("_raw") / F.sum("_raw").over(every), 9))
     raw = raw.withColumn("_floor", F.floor("_share")).withColumn("_spare", F.lit(period) - F.col("_count") - F.sum("_floor").over(every))
     rank = F.row_number().over(every.orderBy((F.col("_share") - F.col("_floor")).desc(), "_source", "_null"))
-    return raw.withColumn("_units", (1 + F.col("_floor") + (rank <= F.col("_spare")).cast("int")).cast("int"))
+    return raw.withColumn("_units", (1 + F.col("_floor") + (rank <= F.col("_spare")).cast("int")).cast("int")).withColumn(
+        "_who", F.row_number().over(every.orderBy("_source", "_null")) - 1)
 
 
-def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Which block of which source runs in each slot of a period: ``_source``, ``_null``,
-    ``_index`` (block within the period) and ``_slot``. One row per slot."""
-    listed = weights.agg(F.sort_array(F.collect_list(F.struct("_source", "_null", "_units"))).alias("_all"))
-    # What is done of each source so far; the next block's deadline if it is released, and its source.
-    start = F.struct(
-        F.transform("_all", lambda s: F.lit(0)).alias("done"), F.array().cast("array<struct<who:int,index:int>>").alias("ran"))
+def schedule(weights: DataFrame, period: int) -> DataFrame:
+    """Which block of which source runs in each slot of a period: ``_who``, ``_index`` (block
+    within the period) and ``_slot``. One row per slot.
+
+    Sources with equal weights have equal windows and so run in turn. The state is how many
+    blocks have run of each weight, of which there are at most the square root of twice the period.
+    """
+    classes = weights.groupBy("_units").agg(F.sort_array(F.collect_list("_who")).alias("members")).select(
+        F.struct(F.col("_units").alias("units"), "members", F.size("members").alias("size")).alias("c"))
+    listed = classes.agg(F.sort_array(F.collect_list("c")).alias("_all"))
+    ran = F.array().cast("array<struct<who:int,index:int>>")
 
     def run(state, slot):
-        units = lambda i: F.element_at("_all", i + 1)["_units"]
-        candidate = F.filter(
-            F.transform(state.done, lambda d, i: F.struct(
-                F.ceil((d + 1) * F.lit(period) / units(i)).alias("deadline"), i.alias("who"), d.alias("index"),
-                ((d < units(i)) & (d * F.lit(period) < (slot + 1) * units(i))).alias("free"))),
-            lambda c: c.free)
-        best = F.array_min(candidate)
+        def next_block(c, k):
+            done = F.element_at(state.done, k + 1)
+            index = F.floor(done / c["size"]).cast("int")
+            return F.struct(
+                F.ceil((index + 1) * F.lit(period) / c.units).alias("deadline"),
+                F.element_at(c.members, (done % c["size"] + 1).cast("int")).alias("who"), index.alias("index"), k.alias("class"),
+                ((done < c.units * c["size"]) & (index * F.lit(period) < (slot + 1) * c.units)).alias("free"))
+
+        best = F.array_min(F.filter(F.transform("_all", next_block), lambda c: c.free))
         return F.struct(
-            F.transform(state.done, lambda d, i: F.when(i == best.who, d + 1).otherwise(d)).alias("done"),
+            F.transform(state.done, lambda d, k: F.when(k == best["class"], d + 1).otherwise(d)).alias("done"),
             F.concat(state.ran, F.array(F.struct(best.who.alias("who"), best["index"].alias("index")))).alias("ran"))
 
-    # floor(d * period / units) <= slot, in whole numbers, is d * period < (slot + 1) * units.
-    ran = listed.withColumn("_ran", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, run).ran)
-    return ran.select("_all", F.posexplode("_ran").alias("_slot", "_block")).where("_block.who is not null").select(
-        F.element_at("_all", F.col("_block.who") + 1)["_source"].alias("_source"),
-        F.element_at("_all", F.col("_block.who") + 1)["_null"].alias("_null"),
-        F.col("_block.index").alias("_index"), "_slot")
+    def chunk(state, first):
+        begun = F.struct(state.done.alias("done"), ran.alias("ran"))
+        part = F.aggregate(F.sequence(first, first + CHUNK - 1), begun, run)
+        return F.struct(part.done.alias("done"), F.concat(state.chunks, F.array(part.ran)).alias("chunks"))
+
+    start = F.struct(F.transform("_all", lambda c: F.lit(0)).alias("done"), F.array().cast("array<array<struct<who:int,index:int>>>").alias("chunks"))
+    # floor(i * period / units) <= slot, in whole numbers, is i * period < (slot + 1) * units.
+    made = listed.select(F.aggregate(F.sequence(F.lit(0), F.lit(period - 1), F.lit(CHUNK)), start, chunk).chunks.alias("_chunks"))
+    return made.select(F.posexplode(F.flatten("_chunks")).alias("_slot", "_block")).where("_block.who is not null").select(
+        F.col("_block.who").alias("_who"), F.col("_block.index").alias("_index"), "_slot")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, flatten: float = FLATTEN) -> DataFrame:
-    """The documents with ``slot``, ``place`` and ``in_mix``. There may be at most ``period``
-    sources (a parameter), so the tables of weights and slots have at most ``period`` rows."""
+def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, flatten: float = FLATTEN) -> DataFrame:
+    """The documents with ``slot``, ``place`` and ``in_mix``. ``weights``: source, weight."""
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null")).agg(
         F.ceil(F.count("*") / F.lit(block)).alias("_blocks"))
-    weights = common.staged(target_weights(sizes, period, flatten).select("_source", "_null", "_blocks", "_units"), "mixing-weights")
-    if weights.count() > period:
-        raise ValueError(f"more than {period} sources; give a longer period")
-    plan = common.staged(schedule(weights, period), "mixing-schedule")
+    if weights is None:
+        sizes = sizes.withColumn("_raw", F.pow("_blocks", F.lit(flatten)))
+    else:
+        given = weights.groupBy(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null")).agg(
+            F.sum(F.col("weight").cast("double")).alias("_raw"))
+        sizes = sizes.join(given.where("_raw > 0"), ["_source", "_null"])
+    sizes = common.staged(sizes, "mixing-sources")
+    period = period_for(sizes.count(), period)
+    known = common.staged(target_weights(sizes, period).select("_source", "_null", "_blocks", "_units", "_who"), "mixing-weights")
+    plan = common.staged(schedule(known, period), "mixing-schedule")
     # The first slot for which a source has no block left: its block number _blocks.
-    ends = weights.select("_source", "_null", (F.col("_blocks") % F.col("_units")).cast("int").alias("_index"),
-                          F.floor(F.col("_blocks") / F.col("_units")).alias("_round"))
-    horizon = ends.join(plan, ["_source", "_null", "_index"]).agg(F.min(F.col("_round") * period + F.col("_slot")).alias("_horizon")).first()[0]
-    rows = numbered(docs).join(F.broadcast(weights.select("_source", "_null", "_units")), ["_source", "_null"])
+    ends = known.select("_who", (F.col("_blocks") % F.col("_units")).cast("int").alias("_index"), F.floor(F.col("_blocks") / F.col("_units")).alias("_round"))
+    horizon = ends.join(plan, ["_who", "_index"]).agg(F.min(F.col("_round") * period + F.col("_slot")).alias("_horizon")).first()[0]
+    rows = numbered(docs).join(_small(known.select("_source", "_null", "_units", "_who")), ["_source", "_null"], "inner" if weights is None else "left")
     rows = rows.withColumn("_b", F.floor(F.col("_n") / F.lit(block))).withColumn("_index", (F.col("_b") % F.col("_units")).cast("int"))
-    rows = rows.join(F.broadcast(plan), ["_source", "_null", "_index"])
+    rows = rows.join(_small(plan), ["_who", "_index"], "inner" if weights is None else "left")
     slot = F.floor(F.col("_b") / F.col("_units")) * period + F.col("_slot")
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("slot", "place", "in_mix")]
-    return rows.select(*kept, slot.alias("slot"), (F.col("_n") % block).cast("int").alias("place"),
-                       (slot < F.lit(horizon)).alias("in_mix"))
+    return rows.select(
+        *kept, slot.alias("slot"), F.when(slot.isNotNull(), F.col("_n") % block).cast("int").alias("place"),
+        F.coalesce(slot < F.lit(horizon), F.lit(False)).alias("in_mix"))
 
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
