@@ -12,8 +12,11 @@ dropped. What is left is decided by the exact overlap of the whole sets.
   one of the first a - m + 1 and b - m + 1 n-grams of theirs; as b >= 0.8 a, these are among
   the first a - ceil(0.8 a) + 1. Only products in these bounds are formed.
 - Links are first looked for between each node and one hub of its n-gram blocks; the
-  components these give need no further pairs inside. All pairs between different components
-  are then tried, so no link between components is lost.
+  components these give need no further pairs inside, nor do blocks of one component. All
+  pairs between different components are then tried, a 64th of them first, then an eighth,
+  so that most are in one component before their turn comes; no link between components is lost.
+- Each set has 512 parity bits, one bit flipped per n-gram. Two sets differ in at least as
+  many n-grams as bits differ, and o >= m allows a + b - 2 m; products beyond that are not formed.
 
 Texts are lower-cased (A-Z); documents with fewer than five words have one n-gram, their whole
 sequence, and those without words none and no links. Null texts have no words. Repeated rows
@@ -36,8 +39,11 @@ from tabscope.llm.words import mix, shingle_sets
 SIZE = 5
 #: N-grams in more documents than this come last in the order, up to so many of them.
 OFTEN, MOST_FREQUENT = 24, 1 << 17
-#: Ids up to this many (8 MB) are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids up to this many (4 MB) are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Nodes of a block that are met by one task at once.
+BLOCK_NODES = 1024
+PARITY = [f"p{k}" for k in range(8)]
 FLUSH = 2_000_000
 
 
@@ -54,33 +60,52 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.nda
         yield frame, *shingle_sets(frame["text"].tolist(), SIZE)
 
 
+def parity(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """512 bits for each set as eight numbers: whether an odd number of its hashes falls on each."""
+    texts = len(bounds) - 1
+    cell = np.repeat(np.arange(texts), np.diff(bounds)) * 512 + (hashes & np.uint64(511)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=texts * 512) & 1).astype(np.uint8).reshape(texts, 512)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, ``text_hash``, ``n_shingles`` and ``node`` (the set's signature)."""
+    """doc_id, ``text_hash``, ``n_shingles``, ``node`` (the set's signature) and its parity bits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, hashes, bounds in _sets(frames):
-            yield frame[["doc_id", "text_hash"]].assign(n_shingles=np.diff(bounds), node=signature(hashes, bounds))
+            own = pd.DataFrame(parity(hashes, bounds), columns=PARITY, index=frame.index)
+            yield frame[["doc_id", "text_hash"]].assign(n_shingles=np.diff(bounds), node=signature(hashes, bounds), **own)
+
+    return docs.mapInPandas(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, " + ", ".join(f"{c} bigint" for c in PARITY))
+
 
-    return docs.mapInPandas(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint")
+def one_per_node(members: DataFrame) -> DataFrame:
+    """(node, _id, _hash, _rows) and parity bits: the first row of each node, and how often it is there."""
+    own = members.groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in PARITY])
+    rows = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "_rows")).alias("_r"), *[F.first(c).alias(c) for c in PARITY])
+    return rows.select("node", F.col("_r.doc_id").alias("_id"), F.col("_r.text_hash").alias("_hash"), F.col("_r._rows").alias("_rows"), *PARITY)
 
 
 def frequent(docs: DataFrame, spread: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams found in most documents (their leading bits) and in how many, over all
-    documents. Each task sends sorted numbers packed by range; a range is a small share of
-    all n-grams, as ``spread`` grows with the data."""
+    documents. Each task sends sorted numbers packed by range, each once with its count; a
+    range is a small share of all n-grams, as ``spread`` grows with the data."""
     bits = spread.bit_length() - 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def packed(waiting):
-            cells = np.sort(np.concatenate(waiting) >> np.uint64(40 - bits))
+            cells, n = np.unique(np.concatenate(waiting) >> np.uint64(40 - bits), return_counts=True)
             edges = np.searchsorted(cells >> np.uint64(24), np.arange(spread + 1, dtype=np.uint64))
             out = []
             for k in np.flatnonzero(np.diff(edges)):
-                own = (cells[edges[k] : edges[k + 1]] & np.uint64(0xFFFFFF)).astype(np.uint32)
+                part = slice(edges[k], edges[k + 1])
+                own = (cells[part] & np.uint64(0xFFFFFF)).astype(np.uint32)
                 steps = np.diff(own, prepend=own[:1])
                 narrow = not (steps > 0xFFFF).any()
-                out.append((int(k), int(own[0]), (steps.astype(np.uint16) if narrow else steps).tobytes(), narrow))
-            return pd.DataFrame(out, columns=["range", "first", "steps", "narrow"])
+                often = np.flatnonzero(n[part] > 1).astype(np.uint32)
+                out.append((int(k), int(own[0]), (steps.astype(np.uint16) if narrow else steps).tobytes(), narrow,
+                            often.tobytes(), n[part][often].astype(np.uint32).tobytes()))
+            return pd.DataFrame(out, columns=["range", "first", "steps", "narrow", "often", "times"])
 
         waiting, size = [], 0
         for _, hashes, _ in _sets(frames):
@@ -93,15 +118,19 @@ def frequent(docs: DataFrame, spread: int) -> tuple[np.ndarray, np.ndarray]:
             yield packed(waiting)
 
     def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        cells = np.concatenate([
-            np.cumsum(np.frombuffer(s, np.uint16 if narrow else np.uint32).astype(np.uint32), dtype=np.uint32) + np.uint32(first)
-            for first, s, narrow in zip(frame["first"], frame["steps"], frame["narrow"])])
-        values, n = np.unique(cells, return_counts=True)
+        cells, times = [], []
+        for first, s, narrow, often, more in zip(frame["first"], frame["steps"], frame["narrow"], frame["often"], frame["times"]):
+            cells.append(np.cumsum(np.frombuffer(s, np.uint16 if narrow else np.uint32).astype(np.uint32), dtype=np.uint32) + np.uint32(first))
+            n = np.ones(len(cells[-1]), np.int64)
+            n[np.frombuffer(often, np.uint32)] = np.frombuffer(more, np.uint32)
+            times.append(n)
+        values, own = np.unique(np.concatenate(cells), return_inverse=True)
+        n = np.bincount(own, np.concatenate(times)).astype(np.int64)
         often = n > OFTEN
         return pd.DataFrame({"cell": values[often].astype(np.int64) | (int(key[0]) << 24), "n": n[often]})
 
-    counted = docs.select("text").mapInPandas(run, "range int, first bigint, steps binary, narrow boolean").groupBy("range").applyInPandas(
-        count, "cell bigint, n bigint")
+    counted = docs.select("text").mapInPandas(run, "range int, first bigint, steps binary, narrow boolean, often binary, times binary").groupBy(
+        "range").applyInPandas(count, "cell bigint, n bigint")
     # At most MOST_FREQUENT rows of two numbers reach the driver.
     top = counted.orderBy(F.desc("n"), "cell").limit(MOST_FREQUENT).toPandas().sort_values("cell")
     return top["cell"].to_numpy(np.uint64), top["n"].to_numpy(np.int64)
@@ -176,11 +205,30 @@ def hub_pairs(blocks: DataFrame) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("a", "a_n", "b", "b_n")
 
 
-def open_pairs(blocks: DataFrame) -> DataFrame:
-    """All pairs between different components with a product in the bounds."""
-    left = blocks.select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"), F.col("component").alias("_x"))
-    right = blocks.select("gram", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("place").alias("b_place"), F.col("component").alias("_y"))
-    return left.join(right, "gram").where((F.col("_x") < F.col("_y")) & in_bounds()).select("a", "a_n", "b", "b_n").distinct()
+def open_blocks(blocks: DataFrame, edges: DataFrame, once: DataFrame) -> DataFrame:
+    """The blocks that hold nodes of different components, with these and the parity bits.
+    ``_parts`` is the number of tasks among which a large block's pairs are dealt."""
+    live = common.staged(with_components(blocks, edges), "jaccard-live")
+    mixed = live.groupBy("gram").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_nodes")).where("_a < _b")
+    mixed = common.staged(mixed.select("gram", F.ceil(F.col("_nodes") / BLOCK_NODES).cast("int").alias("_parts")), "jaccard-mixed")
+    left = common.staged(live.join(mixed, "gram"), "jaccard-left")
+    wanted = common.staged(left.select("node").distinct().join(once.select("node", *PARITY), "node"), "jaccard-bits")
+    return common.staged(left.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS // 8 else wanted, "node"), "jaccard-open")
+
+
+def open_pairs(blocks: DataFrame, every: int = 1) -> DataFrame:
+    """All pairs between different components with a product in the bounds, or one in ``every``
+    of them. Of a large block each task has a part of the nodes to meet all others."""
+    side = lambda c, x: [F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("place").alias(f"{c}_place"), F.col("component").alias(x),
+                         *[F.col(p).alias(f"{c}_{p}") for p in PARITY]]
+    left = blocks.select("gram", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int").alias("_part"), *side("a", "_x"))
+    right = blocks.select("gram", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), *side("b", "_y"))
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
+    near = differ <= F.col("a_n") + F.col("b_n") - 2 * least_overlap(F.col("a_n"), F.col("b_n"))
+    test = (F.col("_x") < F.col("_y")) & in_bounds() & near
+    if every > 1:
+        test = test & (F.xxhash64("a", "b") % every == 0)
+    return left.join(right, ["gram", "_part"]).where(test).select("a", "a_n", "b", "b_n").distinct()
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -188,12 +236,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
+def sets_of(docs: DataFrame, once: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
     """(node, grams, n_grams): the sets of the wanted nodes as packed sorted numbers, of which
     only those in the first of ``share`` equal ranges are kept."""
-    own = members.join(wanted, "node").groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("_rows"))
-    rows = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "_rows")).alias("_r"))
-    rows = common.staged(rows.select("node", F.col("_r.doc_id").alias("_id"), F.col("_r.text_hash").alias("_hash"), F.col("_r._rows").alias("_rows")), "jaccard-wanted")
+    rows = common.staged(once.join(wanted, "node").select("node", "_id", "_hash", "_rows"), "jaccard-wanted")
     repeated = not rows.where("_rows > 1").isEmpty()
     last = np.uint64((1 << 64) // share - 1)
 
@@ -216,19 +262,19 @@ def overlaps(pairs: Iterator[tuple[bytes, bytes]]) -> list[int]:
     return out
 
 
-def links(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, once: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole sets.
 
     First only a quarter of the n-grams is compared, those in the first range of hashes: what
     they share and all of the rest together bounds the overlap, which rules out most pairs.
     """
-    return compared(compared(pairs, docs, members, 4), docs, members, 1).select("a", "b")
+    return compared(compared(pairs, docs, once, 4), docs, once, 1).select("a", "b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, once: DataFrame, share: int) -> DataFrame:
     """The pairs whose overlap, counted in the first of ``share`` ranges, can still suffice."""
     pairs = common.staged(pairs, "jaccard-pairs")
-    sets = sets_of(docs, members, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), share)
+    sets = sets_of(docs, once, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), share)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
@@ -245,7 +291,7 @@ def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, share: int)
     return common.staged(both.mapInPandas(run, "a bigint, a_n int, b bigint, b_n int"), "jaccard-links")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes with an edge: the least node that edges reach.
 
     Large and small stars in turn: every node's larger neighbours, then its smaller ones, are
@@ -254,7 +300,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     at = common.staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
     before = None
-    for _ in range(rounds):
+    while True:
         told = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(told) == before:
             break
@@ -274,18 +320,17 @@ def with_components(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return blocks.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def node_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def node_links(docs: DataFrame, once: DataFrame) -> DataFrame:
     """Links that tie together all nodes that any links tie together."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spread = 1 << max(6, math.ceil(math.log2(size / 4e6 + 1)))
     blocks = common.staged(shared_prefixes(prefixes(docs, frequent(docs, spread), spread)), "jaccard-blocks")
-    edges = links(hub_pairs(blocks), docs, members)
-    # An eighth of the open pairs ties most members that the hub did not, so that far fewer
+    edges = links(hub_pairs(blocks), docs, once)
+    # Few of the open pairs tie most members that the hub did not, so that far fewer
     # pairs are left open for the last round, which tries every one.
-    for every in (8, 1):
-        live = common.staged(with_components(blocks, edges), "jaccard-open")
-        pairs = open_pairs(live).where(F.xxhash64("a", "b") % every == 0)
-        edges = edges.union(links(pairs, docs, members))
+    for every in (64, 8, 1):
+        blocks = open_blocks(blocks.select("gram", "node", "n", "place"), edges, once)
+        edges = edges.union(links(open_pairs(blocks, every), docs, once))
     return edges
 
 
@@ -294,17 +339,20 @@ def tied(docs: DataFrame) -> DataFrame:
     rows without words have none."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     members = common.staged(nodes(rows), "jaccard-nodes")
-    known = components(node_links(rows, members))
+    once = common.staged(one_per_node(members), "jaccard-once")
+    # Staged, so that rows of a node with very many copies can be split among tasks.
+    known = small(common.staged(components(node_links(rows, once)), "jaccard-components"))
     return members.join(known, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("tie"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row: the least doc_id reachable."""
-    rows = tied(docs)
-    least = rows.where("tie is not null").groupBy("tie").agg(F.min("doc_id").alias("_least"))
-    return rows.join(least, "tie", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("tie").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    rows = common.staged(tied(docs), "jaccard-ties")
+    # Only groups of several rows need to be looked up.
+    least = rows.where("tie is not null").groupBy("tie").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")).where("_rows > 1")
+    least = small(common.staged(least.drop("_rows"), "jaccard-least"))
+    return rows.join(least, "tie", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -313,7 +361,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = common.staged(tied(docs).where("tie is not null"), "jaccard-ties")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     stays = rows.groupBy("tie").agg(F.count("*").alias("_size"), F.min(order).alias("_first")).where("_size > 1")
-    met = rows.join(stays, "tie").select(
+    met = rows.join(small(common.staged(stays, "jaccard-stays")), "tie").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
         (~(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash")))).alias("_goes"))
     met = common.staged(met.distinct(), "jaccard-met")

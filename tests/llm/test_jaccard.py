@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.llm import jaccard
 
@@ -92,3 +94,34 @@ def test_query(spark, small):
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert Counter(tuple(r) for r in got.collect()) == brute(rows)
+
+
+def test_a_long_chain_converges(spark):
+    edges = spark.range(10_000).select(((F.col("id") * 7919) % 10_000).alias("i")).select(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
+    got = jaccard.components(edges)
+    assert got.count() == 10_001 and got.where("component <> 0").isEmpty()
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 9, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n - n // 5], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64))))
+        bits = jaccard.parity(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(bits[0].tolist(), bits[1].tolist()))
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_large_blocks_are_met_in_parts(spark, monkeypatch):
+    """A third of all rows are near copies that are mostly just not linked to each other."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 5)
+    random.seed(12)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(random.randint(1, 3)):
+            copy[random.randrange(100)] = f"y{i}-{random.random()}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"z{i}{k}" for k in range(30))) for i in range(120)]
+    check(spark, rows)
