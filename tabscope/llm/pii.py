@@ -1,7 +1,7 @@
 """Personal data found by weak supervision, in DataFrame expressions only.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers; those spans
-always stay. Candidates for more (digit groups that no pattern took, their parts, and names) are judged by
+always stay. Candidates for more (digit groups that no pattern took, their parts, names, and keys) are judged by
 labelers that vote for, against or not at all: shapes, checksums, gazetteers, context words
 and surroundings. Expectation-maximisation over the counted vote patterns estimates how
 reliable each labeler is, and a logistic span classifier is trained on the outcome; what it
@@ -45,27 +45,48 @@ FIRST_NAMES = (
     "Barbara Susan Jessica Sarah Karen Anna Maria Jose Juan Carlos Luis Pedro Ana Carmen Laura Hans Peter Klaus "
     "Stefan Andreas Monika Sabine Ursula Jean Pierre Michel Marie Sophie Claire Ahmed Mohammed Fatima Wei Yuki").split()
 NAME = rf"\b(?:{'|'.join(FIRST_NAMES)})\x20[A-Z][\p{{L}}'-]++"
-FOR_WORDS = r"(?i)\b(?:call|phone|tel|telephone|mobile|fax|contact|card|visa|mastercard|amex|credit|ssn|social|account|iban|name|mr|mrs|ms|dr|dear|signed|patient|customer|telefon|karte|konto|appelez|carte|compte|llame|tarjeta|cuenta)\b[^\n]{0,12}$"
+#: Runs that may be keys or tokens: long, and of letters as well as digits.
+SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
+#: What such keys look like: hexadecimal digests, and well-known beginnings.
+KEY_SHAPE = r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|rk|gh[pousr]|xox[abprs]|AKIA|ASIA|AIza|glpat|eyJ)[A-Za-z0-9_+/=-]{12,})$"
+FOR_WORDS = r"(?i)\b(?:token|secret|password|passwd|api|key|credential|call|phone|tel|telephone|mobile|fax|contact|card|visa|mastercard|amex|credit|ssn|social|account|iban|name|mr|mrs|ms|dr|dear|signed|patient|customer|telefon|karte|konto|appelez|carte|compte|llame|tarjeta|cuenta)\b[^\n]{0,12}$"
 AGAINST_WORDS = r"(?i)(?:\b(?:isbn|version|page|pages|section|chapter|figure|order|invoice|build|release|sha|hash|commit|line|no|nr)\b[^\n]{0,4}|[#$€£=/])$"
 CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
 LABELERS = ("shape", "checksum", "gazetteer", "context_for", "context_against", "surroundings")
 
 
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def running(values: Column, start: Column, step, kind: str) -> Column:
+    """The state after each value, starting from ``start``; states are of type ``kind``.
+
+    An array grows by being copied, so states are gathered in chunks of about the square
+    root of their number, which keeps the copying far below the square of it.
+    """
+    width = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(state, v):
+        now = step(state.now, v)
+        return F.struct(now.alias("now"), F.concat(state.seen, F.array(now)).alias("seen"))
+
+    def chunk(state, k):
+        part = F.aggregate(F.slice(values, k * width + 1, width), F.struct(state.now.alias("now"), none.alias("seen")), one)
+        return F.struct(part.now.alias("now"), F.concat(state.chunks, F.array(part.seen)).alias("chunks"))
+
+    begun = F.struct(start.alias("now"), F.array().cast(f"array<array<{kind}>>").alias("chunks"))
+    chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / width), F.lit(0)).cast("int"))
+    return F.flatten(F.aggregate(chunks, begun, chunk).chunks)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the matches. Between matches lie the pieces of a
     split by the same pattern, so the running lengths of both give the places."""
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(values, F.slice(F.transform(gaps, F.length), 1, F.size(values)),
-                       lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
-
-    def step(done, m):
-        start = done.at + m.gap
-        end = start + F.length(m.value)
-        return F.struct(end.alias("at"), F.concat(done.spans, F.array(F.struct(
-            start.alias("start"), end.alias("end"), m.value.alias("value")))).alias("spans"))
-
-    return F.aggregate(pairs, empty, step).spans
+    sizes = F.zip_with(values, F.slice(F.transform(gaps, F.length), 1, F.size(values)), lambda v, g: F.length(v) + g)
+    ends = running(sizes, F.lit(0), lambda at, n: at + n, "int")
+    return F.zip_with(values, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
 
 def digits(value: Column) -> Column:
@@ -91,12 +112,9 @@ def tagged(spans: Column, kind: str) -> Column:
         s.end.alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
 
-NO_PARTS = "array<struct<start:int,end:int,value:string>>"
-
-
 def base_columns(docs: DataFrame) -> DataFrame:
     """Adds ``_text``, ``_base`` (all base spans in order) and ``_runs`` (digit groups)."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(SPANS)
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_text", text)
     df = df.withColumn("_runs", F.filter(found(F.col("_text"), PATTERNS["card"]), lambda s: F.length(s["value"]) >= 7))
@@ -111,14 +129,17 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return df.withColumn("_base", F.array_sort(base)).drop("_email", "_phone", "_ip")
 
 
-def parts(text: Column) -> Column:
+def parts(runs: Column) -> Column:
     """Groups of digits, and neighbouring groups in a known layout, wherever they are in a run."""
-    def whole(pattern, length):
-        spans = found(text, pattern)
-        return spans if length is None else F.transform(spans, lambda s: F.struct(
-            s.start.alias("start"), (s.start + length).alias("end"), F.substring(text, s.start + 1, F.lit(length)).alias("value")))
+    def inside(run, pattern, length):
+        def placed(s):
+            n = s.end - s.start if length is None else F.lit(length)
+            return F.struct((run.start + s.start).alias("start"), (run.start + s.start + n).alias("end"),
+                            F.substring(run["value"], s.start + 1, n).alias("value"))
+
+        return F.transform(found(run["value"], pattern), placed)
 
-    return F.concat(*[whole(*p) for p in PARTS])
+    return F.flatten(F.transform(runs, lambda r: F.concat(*[inside(r, *p) for p in PARTS])))
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -128,21 +149,43 @@ def candidates(df: DataFrame) -> DataFrame:
     taken = lambda s: F.exists("_base", lambda b: (b.start < s.end) & (s.start < b.end))
     is_ssn = lambda s: F.regexp_like(s["value"], F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
     whole = F.filter("_runs", lambda s: F.length(digits(s["value"])).between(7, 19))
-    df = df.withColumn("_free", F.filter(F.array_distinct(F.concat(whole, F.when(
-        F.size("_runs") > 0, parts(F.col("_text"))).otherwise(F.array().cast(NO_PARTS)))), lambda s: ~taken(s)))
+    df = df.withColumn("_any", F.array_sort(F.concat(whole, parts(F.col("_runs")))))
+    # Equal spans are neighbours once sorted.
+    new = lambda s, i: (i == 0) | (s != F.get("_any", i - 1))
+    df = df.withColumn("_free", F.filter(F.filter("_any", new), lambda s: ~taken(s))).drop("_any")
     more = F.concat(
         tagged(F.filter("_free", is_ssn), "ssn"), tagged(F.filter("_free", lambda s: ~is_ssn(s)), "number"),
-        tagged(F.filter(found(F.col("_text"), NAME), lambda s: ~taken(s)), "name"))
+        tagged(F.filter(found(F.col("_text"), NAME), lambda s: ~taken(s)), "name"),
+        tagged(F.filter(found(F.col("_text"), SECRET), lambda s: F.regexp_like(s["value"], F.lit("[0-9]")) & F.regexp_like(
+            s["value"], F.lit("[A-Za-z]")) & ~taken(s)), "secret"))
     df = df.withColumn("_more", F.array_sort(more)).drop("_free")
-    return df.withColumn("_judged", F.transform(F.concat("_base", "_more"), lambda s: votes(F.col("_text"), s)))
+    df = df.withColumn("_spans", F.concat("_base", "_more"))
+    # Far into a text, its pieces are found at once, where a substring would be counted out.
+    pieces = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    df = df.withColumn("_pieces", F.when(F.size("_spans") > 0, pieces))
+    beside = F.transform("_spans", lambda s: F.struct(s.alias("span"), *surroundings(F.col("_pieces"), s)))
+    return df.withColumn("_judged", F.transform(beside, votes)).drop("_pieces", "_spans")
+
+
+PIECE = 256
 
 
-def votes(text: Column, s: Column) -> Column:
-    before = F.substring(text, F.greatest(s.start - 39, F.lit(1)), F.least(s.start, F.lit(40)))
-    after = F.substring(text, s.end + 1, F.lit(1))
-    last = F.substring(text, s.start, F.when(s.start > 0, F.lit(1)).otherwise(F.lit(0)))
+def surroundings(pieces: Column, s: Column) -> tuple[Column, Column]:
+    """Up to 40 characters before a span, and the one after it."""
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    k = F.floor(s.start / PIECE).cast("int")
+    at = F.when(k > 0, s.start - (k - 1) * PIECE).otherwise(s.start)
+    before = F.substring(F.concat(piece(k - 1), piece(k)), F.greatest(at - 39, F.lit(1)), F.least(at, F.lit(40)))
+    after = F.substring(piece(F.floor(s.end / PIECE).cast("int")), s.end % PIECE + 1, F.lit(1))
+    return before.alias("before"), after.alias("after")
+
+
+def votes(beside: Column) -> Column:
+    s, before, after = beside["span"], beside["before"], beside["after"]
+    last = F.right(before, F.lit(1))
     value, kind, n = s["value"], s.kind, F.length(digits(s["value"]))
     shape = F.when(kind.isin("email", "ip", "phone", "ssn"), 1).when(
+        kind == "secret", F.when(F.regexp_like(value, F.lit(KEY_SHAPE)), 1).otherwise(-1)).when(
         F.regexp_like(value, F.lit(r"^(?:[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{3}-[0-9]{3}-[0-9]{4})$")), 1).when(
         kind == "number", -1).otherwise(0)
     checksum = F.when(kind.isin("card", "number") & n.between(12, 19), F.when(luhn(value), 1).otherwise(-1)).otherwise(0)
@@ -264,23 +307,28 @@ def judged_spans(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets and ``n_chars`` recounted."""
-    judged = judged_spans(docs)
-    model = classifier(judged)
-    cut = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The documents with every span replaced by its kind in brackets and ``n_chars`` recounted.
 
-    def step(done, s):
-        clear = s.start >= done.at
-        return F.struct(F.greatest(done.at, s.end).alias("at"), F.when(clear, F.concat(done.parts, F.array(
-            F.substring(F.col("_text"), done.at + 1, s.start - done.at), F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))).otherwise(done.parts).alias("parts"))
-
-    pieces = judged.withColumn("_cut", F.aggregate(accepted(model), cut, step))
-    text = F.when(F.size("_judged") == 0, F.col("text")).otherwise(
-        F.concat(F.array_join("_cut.parts", ""), F.substring(F.col("_text"), F.col("_cut.at") + 1, F.length("_text"))))
-    out = pieces.withColumn("text", text)
+    The rows are packed while spans are found, so no column of theirs is in the way, and staged
+    with their judged spans, which both the classifier and the cutting read."""
+    packed = docs.select(F.struct("*").alias("_row"), "text")
+    judged = common.staged(judged_spans(packed).select("_row", "_judged"), "pii-judged")
+    model = classifier(judged)
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    spans = accepted(model)
+    # How far the spans before each one reach; one that begins within them is gone with them.
+    reach = running(F.transform("_spans", lambda s: s.end), F.lit(0), lambda at, end: F.greatest(at, end), "int")
+    before = F.concat(F.array(F.lit(0)), F.col("_reach"))
+    pieces = F.zip_with(F.col("_spans"), F.slice(before, 1, F.size("_spans")), lambda s, at: F.when(s.start >= at, F.concat(
+        F.substring(text, at + 1, s.start - at), F.lit("["), F.upper(s.kind), F.lit("]"))).otherwise(F.lit("")))
+    cut = judged.withColumn("_spans", spans).withColumn("_reach", reach)
+    rest = F.substring(text, F.element_at(before, -1) + 1, F.length(text))
+    cut = cut.withColumn("_masked", F.when(F.size("_spans") == 0, F.col("_row.text")).otherwise(F.concat(F.array_join(pieces, ""), rest)))
+    out = {c: F.col("_row")[c] for c in docs.columns}
+    out["text"] = F.col("_masked")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_judged") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        out["n_chars"] = F.when(F.size("_spans") == 0, F.col("_row.n_chars")).otherwise(F.length("_masked").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[c.alias(n) for n, c in out.items()])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

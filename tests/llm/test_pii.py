@@ -111,3 +111,28 @@ def test_numbers_side_by_side(spark):
     assert {s.value for s in more[200]} == {a, b} and {s.value for s in more[202]} >= {grouped(a), grouped(b)}
     assert [(s.start, s.end) for s in more[203] if s.value == a] == [(7, 23)] and not more[205]
     check(spark, [(r[0], r[1]) for r in rows])
+
+
+def test_masking_leaves_no_text_in_clashing_columns(spark):
+    rows = [(i, f"call 555-123-{1000 + i} or mail a{i}@mail.org", "mine", 7, "base", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _runs int, _base string, _judged int")
+    got = pii.masked(docs).collect()
+    assert all((r["_text"], r["_runs"], r["_base"], r["_judged"]) == ("mine", 7, "base", 1) and "@" not in r.text for r in got)
+
+
+def test_keys_are_found_by_shape_and_context(spark):
+    rows = [(i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and mail a{i}@mail.org', "en", 3) for i in range(40)]
+    rows += [(100 + i, f"see module_{i}_of_the_large_library_v{i} for more", "en", 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int")
+    got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    assert all(got[i] == 'token = "[SECRET]" and mail [EMAIL]' for i in range(40))
+    assert all(got[100 + i] == rows[40 + i][1] for i in range(40))
+
+
+def test_many_numbers_in_one_text(spark):
+    numbers = [f"{100_000_000 + 37 * i}" for i in range(5000)]
+    docs = spark.createDataFrame([(1, ", ".join(numbers)), (2, "; ".join(f"a{i}@b.org" for i in range(1000)))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.judged_spans(docs).collect()}
+    assert [(s.start, s.end, s.value) for s in rows[1]["_more"]] == [(11 * i, 11 * i + 9, n) for i, n in enumerate(numbers)]
+    assert len(rows[2]["_base"]) == 1000
+    assert pii.masked(docs).where("doc_id = 2").first().text == "; ".join(["[EMAIL]"] * 1000)
