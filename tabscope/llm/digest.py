@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -75,18 +76,25 @@ def compare(first: str, second: str) -> float:
     return likeness(*unpacked(first), *unpacked(second))
 
 
-def in_order(docs: DataFrame, ranges: int = 4096) -> DataFrame:
+def in_order(docs: DataFrame, rows_each: int = 2000, most: int = 4096) -> DataFrame:
     """doc_id and text in spans of ids, each span sorted, with each span's first row also
     sent to the span before it (``_last``), so that every row meets its successor.
 
-    The number of spans is bounded, and so is what the driver learns of them and broadcasts:
-    one row for each of at most ``ranges`` + 1 spans. Rows without an id are the last span.
+    Spans are cut at quantiles of the ids, whatever these are, and hold about ``rows_each`` rows;
+    beyond ``most`` spans they grow. The driver learns one row for each span. Rows without an
+    id are the last span.
     """
     spark = docs.sparkSession
-    ends = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
-    width = max(1, -(-((ends.most or 0) - (ends.least or 0) + 1) // ranges))
-    span = F.coalesce(F.floor((F.col("doc_id") - F.lit(ends.least or 0)) / F.lit(width)), F.lit(ranges)).cast("int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), span.alias("_span"))
+    n = docs.select("doc_id").count()
+    grid = max(1, min(most, n // rows_each))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / grid for k in range(1, grid)], 20 * grid)).first()[0] if grid > 1 else []
+    cuts = sorted(set(cuts or []))
+    # Nulls are the last span; of the others as many cuts lie below as the span's number.
+    number = Bucketizer(splits=[float("-inf"), *sorted({float(c) for c in cuts}), float("inf")], inputCol="_id", outputCol="_span") if cuts else None
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("_id"))
+    rows = number.transform(rows) if number else rows.withColumn("_span", F.lit(0.0))
+    span = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.col("_span")).cast("int")
+    rows = rows.select("doc_id", "text", span.alias("_span"))
     starts = sorted(tuple(r) for r in rows.groupBy("_span").agg(F.min("doc_id")).collect())
     names = [s for s, _ in starts]
     before = dict(zip(names, names[-1:] + names[:-1]))

@@ -58,3 +58,12 @@ def test_column_replaced(spark):
     df = spark.createDataFrame([(1, "abc", "old"), (2, None, None)], "doc_id long, text string, fingerprint string")
     got = {r.doc_id: r.fingerprint for r in digest.fingerprints(df).collect()}
     assert got == {1: digest.fingerprint(b"abc")[0], 2: digest.fingerprint(b"")[0]}
+
+
+def test_uneven_ids_are_cut_at_quantiles(spark):
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(300)] + [((1 << 62) + i, f"far {i}") for i in range(3)] + [(None, "none"), (7, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = digest.in_order(df, rows_each=20).where("not _last").groupBy("_span").count().collect()
+    assert len(spans) >= 12 and max(r["count"] for r in spans) <= 60
+    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in digest.in_order(df, rows_each=20).mapInPandas(digest.compare_in_order, digest.EDITED).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
