@@ -107,10 +107,12 @@ def in_order(docs: DataFrame, rows_each: int = 2000, most: int = 4096) -> DataFr
     return (
         rows.withColumn("_last", F.lit(False)).unionByName(moved)
         .repartition("_span").sortWithinPartitions("_span", "_last", "doc_id", "text")
+        # As text, because pandas would round large numbers beside missing ones.
+        .withColumn("doc_id", F.col("doc_id").cast("string"))
     )
 
 
-EDITED = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+EDITED = ("doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
 
 
@@ -138,12 +140,16 @@ def compare_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = None if last else (span, doc_id, text, print_, quartiles, length)
         if out:
             done = pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")])
-            yield done.assign(doc_id=done["doc_id"].astype("Int64"))
+            yield done
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """Each document's digest beside that of its edited text and of the next document."""
-    return in_order(docs).mapInPandas(compare_in_order, EDITED)
+    return compared(in_order(docs))
+
+
+def compared(ordered: DataFrame) -> DataFrame:
+    return ordered.mapInPandas(compare_in_order, EDITED).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

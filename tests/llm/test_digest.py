@@ -65,5 +65,5 @@ def test_uneven_ids_are_cut_at_quantiles(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     spans = digest.in_order(df, rows_each=20).where("not _last").groupBy("_span").count().collect()
     assert len(spans) >= 12 and max(r["count"] for r in spans) <= 60
-    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in digest.in_order(df, rows_each=20).mapInPandas(digest.compare_in_order, digest.EDITED).collect()]
+    got = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in digest.compared(digest.in_order(df, rows_each=20)).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
