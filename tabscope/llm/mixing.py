@@ -141,7 +141,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
     """All documents with their own columns, in files and rows that follow the mixture. Reading
-    the files does not keep that order by itself; see ``in_file_order`` of the pipeline."""
+    the files does not keep that order by itself; ``mixed`` of the rows read gives it again."""
     return mixed(docs).sort("slot", "place").select(docs.columns)
 
 

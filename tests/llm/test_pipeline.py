@@ -1,5 +1,6 @@
 """Each stage on what the one before kept, against a plainer way to the same rows."""
 
+import hashlib
 import math
 import os
 import sys
@@ -34,7 +35,7 @@ def kept(spark, tmp_path_factory):
 def test_columns(kept):
     assert len(corpus_pipeline.STAGES) == 5
     assert all(df.columns == kept[0].columns for df in kept[:5])
-    assert kept[5].columns == ["doc_id", "source", "ids"]
+    assert kept[5].columns == ["doc_id", "source", "slot", "place", "in_mix", "ids", "decoded_sha256"]
 
 
 def test_rejects_go(spark, kept):
@@ -70,7 +71,9 @@ def test_ids(kept):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     texts = {r.doc_id: r.text for r in kept[4].collect()}
-    assert {r.doc_id: r.ids for r in kept[5].collect()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    got = kept[5].collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    assert {r.doc_id: r.ids for r in got} == {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
 
 
 def test_run(spark, kept):
@@ -92,6 +95,7 @@ def test_result_follows_the_mixture(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     places = [(slots[r.doc_id].slot, slots[r.doc_id].place) for r in got]
+    assert [(r.slot, r.place, r.in_mix) for r in got] == [(*p, slots[r.doc_id].in_mix) for p, r in zip(places, got)]
     assert len(places) == len(slots) and places == sorted(places)
     sizes = Counter(r.source for r in slots.values())
     weights = {s: math.ceil(n / mixing.BLOCK) ** mixing.FLATTEN for s, n in sizes.items()}
