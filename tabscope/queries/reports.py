@@ -196,6 +196,45 @@ def kpi_distinct_entities(spark, sf):
     return K.kpi_table(df, specs).select("kpi_id", "name", "value")
 
 
+# Tables of four fields of business, all over the order lines, so that every rule has one it applies to.
+RULE_TABLES = {
+    "marketing": {"campaign": "concat('s', l_suppkey % 9)", "channel": "concat('m', l_linenumber)", "impressions": "l_partkey % 400 + 900.5", "clicks": "l_quantity + 7",
+                  "conversions": "l_linenumber % 3 + 0.5", "spend": "l_extendedprice * 0.02", "revenue": "l_extendedprice"},
+    "sales": {"product": "concat('m', l_linenumber)", "store": "concat('s', l_suppkey % 9)", "revenue": "l_extendedprice", "profit": "l_extendedprice * l_discount",
+              "quantity": "l_quantity", "returned": "l_returnflag = 'R'"},
+    "finance": {"account": "concat('m', l_linenumber)", "transaction": "concat('s', l_suppkey % 9)", "amount": "l_extendedprice", "tax": "l_extendedprice * l_tax"},
+    "hr": {"department": "concat('m', l_linenumber)", "employee": "concat('s', l_suppkey % 9)", "salary": "l_extendedprice", "left_company": "l_returnflag = 'R'",
+           "is_active": "l_linestatus = 'O'"},
+}
+KPI_RULES = {
+    "profit_margin": ("sales", "100.0 * sum(l_extendedprice * l_discount) / sum(l_extendedprice)"),
+    "average_order_value": ("sales", "sum(l_extendedprice) / count(*)"),
+    "units_per_order": ("sales", "sum(l_quantity) / count(*)"),
+    "return_rate": ("sales", "100.0 * count(*) FILTER (WHERE l_returnflag = 'R') / count(*)"),
+    "conversion_rate": ("marketing", "100.0 * sum(l_linenumber % 3 + 0.5) / sum(l_quantity + 7)"),
+    "click_through_rate": ("marketing", "100.0 * sum(l_quantity + 7) / sum(l_partkey % 400 + 900.5)"),
+    "cost_per_click": ("marketing", "sum(l_extendedprice * 0.02) / sum(l_quantity + 7)"),
+    "cost_per_acquisition": ("marketing", "sum(l_extendedprice * 0.02) / sum(l_linenumber % 3 + 0.5)"),
+    "return_on_ad_spend": ("marketing", "sum(l_extendedprice) / sum(l_extendedprice * 0.02)"),
+    "effective_tax_rate": ("finance", "100.0 * sum(l_extendedprice * l_tax) / sum(l_extendedprice)"),
+    "attrition_rate": ("hr", "100.0 * count(*) FILTER (WHERE l_returnflag = 'R') / count(*)"),
+    "active_rate": ("hr", "100.0 * count(*) FILTER (WHERE l_linestatus = 'O') / count(*)"),
+}
+
+
+def rule_kpi(kpi_id: str, field: str):
+    def run(spark, sf):
+        df = table(spark, sf, "lineitem").select(*[F.expr(e).alias(n) for n, e in RULE_TABLES[field].items()])
+        profile = P.profile_table(df, duplicates=False)
+        found = [k for k in K.discover_kpis(profile) if k.id == kpi_id]
+        return K.kpi_table(df, found).select("kpi_id", F.round("value", 4).alias("value"))
+    return run
+
+
+for _id, (_field, _value) in KPI_RULES.items():
+    query(f"kpi_rule_{_id}", f"SELECT '{_id}' AS kpi_id, round({_value}, 4) AS value FROM lineitem")(rule_kpi(_id, _field))
+
+
 @query("kpi_custom", """
     SELECT 'price_per_unit' AS kpi_id, round(sum(l_extendedprice) / sum(l_quantity), 2) AS value, 'user' AS source FROM lineitem
     UNION ALL SELECT 'largest_line', max(l_extendedprice), 'user' FROM lineitem
