@@ -20,7 +20,7 @@ PAIRS_SCHEMA = ("x string, y string, coefficient double, strength string, direct
                 "p_value double, n long")
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int = 12) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int | None = 12) -> DataFrame:
     """Pairs with |r| of at least 0.4, strongest first.
 
     One aggregate gives r and n of every pair; nothing is shuffled but one row

@@ -193,8 +193,10 @@ def normal_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(c, "`", "")), r"(?U)\s+", " "))
 
 
-def evidence_index(profile: TableProfile, analysis: Analysis, kpis: DataFrame, report: CleaningReport) -> DataFrame:
-    """``key, metric, value, detail``: every computed figure a claim may cite.
+def evidence_index(profile: TableProfile, analysis: Analysis, kpis: DataFrame, report: CleaningReport,
+                   gaps: int | None = None) -> DataFrame:
+    """``key, metric, value, detail``: every computed figure a claim may cite; of the columns
+    with missing values the first ``gaps`` (None: all).
 
     The metric labels are fixed formats. A label occurring twice keeps its
     later figure.
@@ -217,7 +219,7 @@ def evidence_index(profile: TableProfile, analysis: Analysis, kpis: DataFrame, r
         [("Data quality score", f"{report.quality:.0f}/100", f"{report.rows_after:,} rows after cleaning")]
         + ([("Duplicate rows removed", f"{report.duplicates_removed:,}", "before any figure was computed")]
            if report.duplicates_removed else [])
-        + [(f"{m[0]} missing values", f"{m[2]:.1f}%", m[3]) for m in report.missing[:5]],
+        + [(f"{m[0]} missing values", f"{m[2]:.1f}%", m[3]) for m in report.missing[:gaps]],
         "metric string, value string, detail string")
     parts = [
         rows(kpis, 1, F.col("name"), F.col("formatted_value"), F.concat(F.col("calculation"), moved)),
@@ -246,26 +248,58 @@ def evidence_index(profile: TableProfile, analysis: Analysis, kpis: DataFrame, r
     return every.groupBy("key").agg(latest).select("key", "e.metric", "e.value", "e.detail")
 
 
+GRAM = 3
+
+
+def _grams(c: Column) -> Column:
+    """All pieces of up to GRAM characters, each once."""
+    places = F.sequence(F.lit(1), F.length(c))
+    return F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(c) - i + 1)), lambda n: F.substring(c, i, n)))))
+
+
+def _start(c: Column) -> Column:
+    return F.substring(c, F.lit(1), F.least(F.lit(GRAM), F.length(c)))
+
+
+def resolve_labels(labels: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``key, metric`` for the distinct keys that name a figure.
+
+    A key names the figure of the same key. Others name the only figure whose key contains
+    them or lies within them: where a text contains another, its pieces contain the other's
+    first letters, so pairs that share those are joined and then tested. Figures with the
+    same first letters for every key there is would all meet; labels are not so.
+    """
+    keys = labels.select("key").where(F.col("key") != "").distinct()
+    figures = evidence.select(F.col("key").alias("figure"), "metric")
+    exact = keys.join(figures, F.col("key") == F.col("figure")).select("key", "metric")
+    rest = keys.join(figures, F.col("key") == F.col("figure"), "left_anti")
+    within = rest.withColumn("_g", _start(F.col("key"))).join(figures.withColumn("_g", F.explode(_grams(F.col("figure")))), "_g").where(
+        F.contains("figure", "key"))
+    around = rest.withColumn("_g", F.explode(_grams(F.col("key")))).join(figures.withColumn("_g", _start(F.col("figure"))), "_g").where(
+        F.contains("key", "figure"))
+    near = within.select("key", "figure", "metric").union(around.select("key", "figure", "metric")).groupBy("key").agg(
+        F.count_distinct("figure").alias("_n"), F.min("metric").alias("metric")).where("_n = 1")
+    return exact.unionByName(near.select("key", "metric"))
+
+
 def resolve_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``claim_id, accepted, evidence`` for claims with cited labels ``refs``.
+    """``claim_id, accepted, evidence, category, severity`` for claims with cited labels ``refs``.
 
-    A label resolves exactly or, failing that, by the only evidence key that
-    contains it or lies within it. The index is a few dozen rows and is held as
-    one array, so claims of any number are checked in place without a join.
+    Labels are resolved once each, by joins, however many claims cite them. A claim without a
+    category or severity counts as a neutral summary.
     """
-    index = evidence.agg(F.array_sort(F.collect_list(F.struct("key", "metric", "value")))).scalar()
-    keyed = claims.select(
-        "claim_id", F.trim("title").alias("_title"), F.trim("body").alias("_body"), index.alias("_index"),
-        F.transform("refs", lambda r: normal_label(r)).alias("_keys"))
-
-    def lookup(key: Column) -> Column:
-        exact = F.filter("_index", lambda e: e["key"] == key)
-        near = F.filter("_index", lambda e: (key != "") & (F.contains(e["key"], key) | F.contains(key, e["key"])))
-        return F.when(F.size(exact) > 0, exact[0]["metric"]).when(F.size(near) == 1, near[0]["metric"])
-
-    resolved = keyed.withColumn("evidence", F.array_distinct(F.array_compact(F.transform("_keys", lookup))))
-    solid = (F.length("_body") >= MIN_BODY) & (F.length("_title") > 0) & (F.size("evidence") > 0)
-    return resolved.select("claim_id", F.coalesce(solid, F.lit(False)).alias("accepted"), "evidence")
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in claims.columns else F.lit(default)
+    told = claims.select(
+        F.struct(F.monotonically_increasing_id().alias("_row"), F.col("claim_id").alias("claim_id"), F.trim("title").alias("title"),
+                 F.trim("body").alias("body"), given("category", "summary").alias("category"), given("severity", "neutral").alias("severity")).alias("c"), "refs")
+    # Rows are numbered before their labels are listed one by one.
+    told = told.select("c", F.posexplode_outer("refs").alias("_at", "_ref")).withColumn("key", normal_label(F.col("_ref")))
+    found = told.join(resolve_labels(told.where("key is not null"), evidence), "key", "left")
+    cited = F.sort_array(F.collect_list(F.when(F.col("metric").isNotNull(), F.struct("_at", "metric"))))
+    rows = found.groupBy("c").agg(F.array_distinct(F.transform(cited, lambda m: m["metric"])).alias("evidence"))
+    solid = (F.length("c.body") >= MIN_BODY) & (F.length("c.title") > 0) & (F.size("evidence") > 0)
+    return rows.select("c.claim_id", F.coalesce(solid, F.lit(False)).alias("accepted"), "evidence", "c.category", "c.severity")
 
 
 def dataset_summary(profile: TableProfile, kpis: DataFrame, analysis: Analysis) -> DataFrame:

@@ -405,6 +405,21 @@ def profile_table(df: DataFrame, duplicates: bool = True, detail: bool = True) -
     return profile
 
 
+def typical_decimals(df: DataFrame) -> DataFrame:
+    """``column, decimals``: how many digits most values of a column have after the point, at
+    most six; of equally many rows the fewer digits. Values without a point do not count, and
+    columns without any have 0."""
+    # A double's digits as it is written, of which there is one at least.
+    written = F.rtrim(F.col("number").cast("decimal(38,10)").cast("string"), F.lit("0"))
+    written = F.when(written.endswith("."), F.concat(written, F.lit("0"))).otherwise(written)
+    digits = F.length(F.regexp_extract(F.coalesce(F.col("key"), written, F.lit("")), r"\.([0-9]+)$", 1))
+    by_digits = frequencies(df).where("position >= 0").groupBy("position", digits.alias("_digits")).agg(F.sum("n").alias("n"))
+    best = by_digits.where("_digits > 0").groupBy("position").agg(F.max_by("_digits", F.struct("n", -F.col("_digits"))).alias("decimals"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, column string")
+    return names.join(best, "position", "left").orderBy("position").select(
+        "column", F.least(F.coalesce("decimals", F.lit(0)), F.lit(6)).cast("int").alias("decimals"))
+
+
 def _by_position(values: dict[int, Column]) -> Column:
     return F.coalesce(*[F.when(F.col("position") == i, c) for i, c in values.items()])
 

@@ -7,12 +7,30 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import distributions, roles, segments, timeseries
+from ..session import new_path
 from ..specs import TableProfile
 
-MAX_TRENDS = 3
-MAX_SEGMENTS = 5
-MAX_ANOMALIES = 8
-MAX_SHAPES = 6
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of each analysis is kept; None keeps all. As they stand, what a summary shows."""
+
+    trends: int | None = 3
+    segments: int | None = 5
+    anomalies: int | None = 8
+    shapes: int | None = 6
+    correlations: int | None = 12
+    outliers: int | None = 6
+
+
+EVERYTHING = Limits(*[None] * 6)
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """A result table of any size, written once to the shared folder."""
+    path = new_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def frozen(small: DataFrame) -> DataFrame:
@@ -39,45 +57,44 @@ class Analysis:
             "trends", "points", "anomalies", "segments", "segment_rows", "correlations", "outliers", "distributions")}
 
 
-def analyze(df: DataFrame, profile: TableProfile) -> Analysis:
+def analyze(df: DataFrame, profile: TableProfile, limits: Limits = Limits()) -> Analysis:
+    """All analyses. What claims are checked against should come of ``EVERYTHING``."""
     notes = []
     date = profile.primary_date
     grain = profile.grain(date) if date else "month"
     spark = df.sparkSession
     if date:
-        named = roles.ranked_measures(profile)[:MAX_TRENDS]
+        named = roles.ranked_measures(profile)[:limits.trends]
         measures = [(m, roles.aggregation_for(profile, m)) for m in named] or [(None, "count")]
-        # Bounded: MAX_RESULT_ROWS periods for up to three measures.
-        periods = frozen(timeseries.measure_periods(df, date, measures, grain))
+        periods = stored(timeseries.measure_periods(df, date, measures, grain), "periods")
     else:
         notes.append("no date column: trends skipped")
         periods = spark.createDataFrame(
             [], "position int, measure string, period timestamp_ntz, value double, row_count long")
     points = timeseries.trend_points(periods, grain)
     trends = frozen(timeseries.trend_summary(periods, grain).orderBy("position"))
-    odd = frozen(timeseries.anomalies(periods, grain, limit=MAX_ANOMALIES))
+    odd = stored(timeseries.anomalies(periods, grain, limit=limits.anomalies), "anomalies")
 
-    dimensions = roles.segmentable(profile)[:MAX_SEGMENTS]
+    dimensions = roles.segmentable(profile)[:limits.segments]
     measure = profile.primary_measure
     how = roles.aggregation_for(profile, measure) if measure else "count"
     if dimensions:
-        # Bounded: at most 60 labels per dimension by the choice of dimensions.
-        values = frozen(segments.dimension_values(df, dimensions, measure, how))
+        values = stored(segments.dimension_values(df, dimensions, measure, how), "segments")
     else:
         notes.append("no dimension with few values: segments skipped")
         values = spark.createDataFrame(
             [], "position int, dimension string, label string, value double, row_count long")
 
     numeric = roles.correlatable(profile)
-    pairs = distributions.correlation_pairs(df, numeric)
+    pairs = distributions.correlation_pairs(df, numeric, limits.correlations)
     if len(profile.measures) >= 2 and pairs.isEmpty():
         notes.append("no pair of measures is correlated enough to report")
     shapes = distributions.distribution_shape(df, numeric, {n: profile.get(n).unique for n in numeric})
     return Analysis(
         profile.n_rows, grain if date else None, trends, points, odd,
         frozen(segments.segment_summary(values).withColumn("measure", F.lit(measure or "row count"))),
-        segments.segment_rows(values), pairs, frozen(distributions.iqr_outliers(df, numeric)),
-        frozen(shapes.limit(MAX_SHAPES)), notes)
+        segments.segment_rows(values), pairs, frozen(distributions.iqr_outliers(df, numeric, limits.outliers)),
+        frozen(shapes if limits.shapes is None else shapes.limit(limits.shapes)), notes)
 
 
 def bundle_overview(analysis: Analysis) -> DataFrame:

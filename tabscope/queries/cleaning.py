@@ -308,3 +308,12 @@ def missing_summary(spark, sf):
 def quality_scores(spark, sf):
     return C.score_frame(spark, cleaned(spark, sf)[1]).select(
         "rows_before", "rows_after", "duplicates_removed", "missing_after", "completeness", "uniqueness", "consistency", "quality")
+
+
+@query("typical_decimals", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", coalesce((SELECT least(d, 6) FROM (
+        SELECT length(regexp_extract(CAST({c} AS VARCHAR), '\\.([0-9]+)$', 1)) AS d, count(*) AS n FROM lineitem GROUP BY 1)
+        WHERE d > 0 ORDER BY n DESC, d LIMIT 1), 0)::INT AS decimals"""
+    for c in ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")))
+def typical_decimals(spark, sf):
+    return P.typical_decimals(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"))

@@ -394,7 +394,7 @@ def evidence_lookup(spark, sf):
         F.concat(F.lit("The figures of the table as a whole support order "), key.cast("string")).alias("body"),
         F.when(key % 3 == 0, F.array(F.lit("`total  REVENUE`"))).when(key % 3 == 1, F.array(F.lit("return r")))
         .otherwise(F.array(F.lit("margin of error"))).alias("refs"))
-    evidence = B.frozen(I.evidence_index(*full_analysis(spark, sf)))
+    evidence = B.stored(I.evidence_index(*full_analysis(spark, sf)), "evidence")
     out = I.resolve_claims(claims, evidence)
     return out.select("claim_id", "accepted", F.get("evidence", F.lit(0)).alias("metric"))
 
