@@ -58,35 +58,46 @@ LABELERS = ("shape", "checksum", "gazetteer", "context_for", "context_against",
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(values: Column, start: Column, step, kind: str) -> Column:
     """The state after each value, starting from ``start``; states are of type ``kind``.
 
     An array grows by being copied, so states are gathered in chunks of about the square
     root of their number, which keeps the copying far below the square of it.
     """
-    width = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
     none = F.array().cast(f"array<{kind}>")
 
     def one(state, v):
-        now = step(state.now, v)
-        return F.struct(now.alias("now"), F.concat(state.seen, F.array(now)).alias("seen"))
+        return bound(step(state.now, v), lambda now: F.struct(now.alias("now"), F.concat(state.seen, F.array(now)).alias("seen")))
+
+    def gathered(given):
+        def chunk(state, k):
+            part = F.aggregate(F.slice(given["values"], k * given.width + 1, given.width), F.struct(state.now.alias("now"), none.alias("seen")), one)
+            return bound(part, lambda p: F.struct(p.now.alias("now"), F.concat(state.chunks, F.array(p.seen)).alias("chunks")))
 
-    def chunk(state, k):
-        part = F.aggregate(F.slice(values, k * width + 1, width), F.struct(state.now.alias("now"), none.alias("seen")), one)
-        return F.struct(part.now.alias("now"), F.concat(state.chunks, F.array(part.seen)).alias("chunks"))
+        begun = F.struct(start.alias("now"), F.array().cast(f"array<array<{kind}>>").alias("chunks"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(given["values"]) - 1) / given.width).cast("int"))
+        return F.when(F.size(given["values"]) == 0, none).otherwise(F.flatten(F.aggregate(chunks, begun, chunk).chunks))
 
-    begun = F.struct(start.alias("now"), F.array().cast(f"array<array<{kind}>>").alias("chunks"))
-    chunks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / width), F.lit(0)).cast("int"))
-    return F.flatten(F.aggregate(chunks, begun, chunk).chunks)
+    sized = lambda v: F.struct(v.alias("values"), F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int").alias("width"))
+    return bound(values, lambda v: bound(sized(v), gathered))
 
 
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the matches. Between matches lie the pieces of a
     split by the same pattern, so the running lengths of both give the places."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(values, F.slice(F.transform(gaps, F.length), 1, F.size(values)), lambda v, g: F.length(v) + g)
-    ends = running(sizes, F.lit(0), lambda at, n: at + n, "int")
-    return F.zip_with(values, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+    def placed(values):
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        sizes = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.length(v) + g)
+        ends = running(sizes, F.lit(0), lambda at, n: at + n, "int")
+        spans = F.zip_with(values, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+        return F.when(F.size(values) == 0, F.array().cast(SPANS)).otherwise(spans)
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def digits(value: Column) -> Column:
