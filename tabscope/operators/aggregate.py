@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import finite, is_boolean, is_numeric, label, ref
 from ..functions.quantiles import IN_TASK_DISTINCT, percentiles
-from ..functions.stats import correlation
+from ..functions.moments import pair_moments
 from ..specs import Filter, MAX_POINTS, SpecError
 from .filters import apply_filters
 
@@ -291,19 +290,18 @@ def _short(v: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], filters: Iterable[Filter] = ()) -> DataFrame:
-    """``x, y, value`` for all ordered pairs, from one aggregate over pairs i < j."""
+    """``x, y, value`` for all ordered pairs of any number of columns, from one scan."""
     numeric = [c for c in columns if is_numeric(df, c)]
     spark = df.sparkSession
     if len(numeric) < 2:
         return spark.createDataFrame([], "x string, y string, value double")
-    col = {c: finite(df, c).cast("double") for c in numeric}
-    pairs = list(combinations(range(len(numeric)), 2))
-    aggs = [correlation(col[numeric[i]], col[numeric[j]]).alias(f"r{i}_{j}") for i, j in pairs]
-    aggs += [F.when(F.stddev_pop(col[c]) > 0, 1.0).alias(f"r{i}_{i}") for i, c in enumerate(numeric)]
-    row = apply_filters(df, filters).agg(*aggs)
-    cells = []
-    for i, x in enumerate(numeric):
-        for j, y in enumerate(numeric):
-            value = F.round(F.col(f"r{min(i, j)}_{max(i, j)}"), 4)
-            cells.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), value.alias("value")))
-    return row.select(F.inline(F.array(*cells)))
+    spread = F.sqrt("var_x") * F.sqrt("var_y")
+    r = F.when((F.col("var_x") > 0) & (F.col("var_y") > 0), F.col("cov") / spread)
+    value = F.round(F.when((F.col("x") == F.col("y")) & r.isNotNull(), 1.0).otherwise(r), 4)
+    half = pair_moments(apply_filters(df, filters), numeric).select("x", "y", value.alias("value"))
+    both = half.unionByName(half.where("x < y").select(F.col("y").alias("x"), F.col("x").alias("y"), "value"))
+    # Pairs without a common row have no moments, but a place in the matrix.
+    names = spark.createDataFrame([(i, c) for i, c in enumerate(numeric)], "i int, name string")
+    frame = names.select(F.col("i").alias("x"), F.col("name").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(len(numeric) - 1))).alias("y"))
+    frame = frame.join(F.broadcast(names.select(F.col("i").alias("y"), F.col("name").alias("_y"))), "y")
+    return frame.join(both, ["x", "y"], "left").select(F.col("_x").alias("x"), F.col("_y").alias("y"), "value")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import finite_frame, quoted
 from ..functions.quantiles import IN_TASK_DISTINCT, column_percentiles
-from ..functions.stats import correlation, pearson_p_value, sample_kurtosis, sample_skewness
+from ..functions.moments import pair_moments
+from ..functions.stats import pearson_p_value, sample_kurtosis, sample_skewness
 
 MIN_ROWS = 20
-PAIRS_PER_SCAN = 300  # keeps the aggregate of a very wide table plannable
 MODERATE = 0.4
 STRONG = 0.7
 
@@ -23,41 +22,20 @@ PAIRS_SCHEMA = ("x string, y string, coefficient double, strength string, direct
 def correlation_pairs(df: DataFrame, columns: Sequence[str], limit: int | None = 12) -> DataFrame:
     """Pairs with |r| of at least 0.4, strongest first.
 
-    One aggregate gives r and n of every pair; nothing is shuffled but one row
-    per task. Only the surviving pairs are checked for three distinct values on
-    both sides: a value strictly between minimum and maximum proves the third.
+    One scan gives r, n and whether both sides have three distinct values, for any number of
+    columns. Only the pairs to report reach the driver, which adds their p-values.
     """
     spark = df.sparkSession
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         return spark.createDataFrame([], PAIRS_SCHEMA)
-    df = finite_frame(df, columns)
-    col = {c: quoted(c) for c in columns}
-    joint = [col[a].isNotNull() & col[b].isNotNull() for a, b in pairs]
-    got: dict = {}
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        aggs = []
-        for i, (a, b) in enumerate(pairs[start:start + PAIRS_PER_SCAN], start):
-            aggs += [correlation(col[a], col[b]).alias(f"r{i}"), F.count_if(joint[i]).alias(f"n{i}")]
-        got.update(df.agg(*aggs).first().asDict())
-    strong = [i for i in range(len(pairs))
-              if got[f"n{i}"] >= MIN_ROWS and got[f"r{i}"] is not None and abs(got[f"r{i}"]) >= MODERATE]
-    if not strong:
-        return spark.createDataFrame([], PAIRS_SCHEMA)
-    sides = [(i, side, F.when(joint[i], col[name])) for i in strong for side, name in enumerate(pairs[i])]
-    ends = df.agg(*[F.array(F.min(c), F.max(c)).alias(f"e{i}_{side}") for i, side, c in sides]).first()
-    inner = df.agg(*[
-        F.max((c > F.lit(ends[f"e{i}_{side}"][0])) & (c < F.lit(ends[f"e{i}_{side}"][1]))).alias(f"v{i}_{side}")
-        for i, side, c in sides
-    ]).first()
-    rows = []
-    for i in strong:
-        if inner[f"v{i}_0"] and inner[f"v{i}_1"]:
-            r, n = got[f"r{i}"], got[f"n{i}"]
-            rows.append((*pairs[i], round(r, 4), "strong" if abs(r) >= STRONG else "moderate",
-                         "positive" if r > 0 else "negative", pearson_p_value(r, n), n))
-    rows.sort(key=lambda row: -abs(row[2]))
-    return spark.createDataFrame(rows[:limit], PAIRS_SCHEMA)
+    r = F.try_divide(F.col("cov"), F.sqrt("var_x") * F.sqrt("var_y"))
+    strong = pair_moments(df, columns).where((F.col("x") < F.col("y")) & (F.col("n") >= MIN_ROWS) & F.col("varied")).select(
+        "x", "y", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r")).where(F.abs("r") >= MODERATE)
+    strong = strong.orderBy(F.desc(F.abs(F.round("r", 4))), "x", "y")
+    found = (strong if limit is None else strong.limit(limit)).collect()
+    rows = [(columns[c.x], columns[c.y], round(c.r, 4), "strong" if abs(c.r) >= STRONG else "moderate",
+             "positive" if c.r > 0 else "negative", pearson_p_value(c.r, c.n), c.n) for c in found]
+    return spark.createDataFrame(rows, PAIRS_SCHEMA)
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
