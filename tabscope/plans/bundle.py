@@ -97,10 +97,21 @@ def analyze(df: DataFrame, profile: TableProfile, limits: Limits = Limits()) ->
         frozen(shapes if limits.shapes is None else shapes.limit(limits.shapes)), notes)
 
 
-def bundle_overview(analysis: Analysis) -> DataFrame:
-    """``analysis, n_rows``: how much each analysis found."""
-    parts = [t.agg(F.lit(name).alias("analysis"), F.count(F.lit(1)).alias("n_rows"))
-             for name, t in analysis.tables().items()]
+def bundle_facts(analysis: Analysis) -> DataFrame:
+    """``analysis, subject, figure, value``: the numbers of all analyses but their points, one a row."""
+    def facts(table: DataFrame, name: str, subject: str, figures: list[str]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(f).alias("figure"), F.col(f).cast("double").alias("value")) for f in figures])
+        return table.select(F.lit(name).alias("analysis"), F.col(subject).alias("subject"), F.inline(cells)).where("value is not null")
+
+    pairs = analysis.correlations.withColumn("pair", F.concat_ws(" ", "x", "y"))
+    odd = analysis.anomalies.withColumn("at", F.concat_ws(" ", "measure", "period"))
+    parts = [
+        facts(analysis.trends, "trend", "measure", ["n_periods", "first_value", "last_value", "best_value", "worst_value", "change_pct"]),
+        facts(analysis.segments, "segment", "dimension", ["n_categories", "total", "gini", "concentration_pct", "leader_value", "laggard_value"]),
+        facts(analysis.distributions, "distribution", "column", ["skew", "kurtosis"]),
+        facts(odd, "anomaly", "at", ["value", "expected", "z_score"]),
+        facts(pairs, "correlation", "pair", ["coefficient", "n"]),
+        facts(analysis.outliers, "outliers", "column", ["count", "lower_bound", "upper_bound"])]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

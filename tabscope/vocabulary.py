@@ -64,59 +64,82 @@ ID_NAME_SUFFIX = r"(^|_)(id|ids|key|code|no|num|uuid|guid)$"
 # --- fixed values: role lexicons ------------------------------------------
 
 ROLE_WORDS = {
-    "currency": frozenset("""
-        revenue sales price cost amount profit salary budget spend spending income
-        expense expenses fee fees payment payments value gmv arr mrr wage
-        compensation pay billing invoice charge premium balance deposit withdrawal
-        turnover margin_value subtotal cogs ltv cac cpc cpa cpl aov usd eur gbp
-        revenues""".split()),
-    "quantity": frozenset("""
-        quantity qty units count orders items sold clicks impressions visits
-        sessions leads headcount employees customers users subscribers views
-        downloads shipments transactions returns tickets calls signups conversions
-        stock inventory volume num""".split()),
-    "percentage": frozenset("""
-        pct percent percentage rate margin ratio share conversion ctr cvr churn
-        attrition utilization occupancy growth discount completion satisfaction
-        accuracy roi roas""".split()),
-    "geo": frozenset("""
-        country region state city province zip zipcode postal postcode location
-        territory market continent district county area site branch store_location
-        geo address""".split()),
-    "identifier": frozenset("""
-        id uuid guid key code sku reference ref number no identifier hash token
-        account order_id invoice_no""".split()),
-    "demographic": frozenset("""
-        age gender sex tenure seniority experience education marital ethnicity
-        nationality birth dob generation""".split()),
-    "time": frozenset("date time timestamp day month year week quarter".split()),
-    "text": frozenset("""
-        description comment comments notes note feedback review message summary
-        text body title subject url email address reason""".split()),
+    "currency": frozenset({
+        "revenue", "sales", "price", "cost", "amount", "profit", "salary", "budget", "spend", "spending", "income",
+        "expense", "expenses", "fee", "fees", "payment", "payments", "value", "gmv", "arr", "mrr", "wage",
+        "compensation", "pay", "billing", "invoice", "charge", "premium", "balance", "deposit", "withdrawal",
+        "turnover", "margin_value", "subtotal", "cogs", "ltv", "cac", "cpc", "cpa", "cpl", "aov", "usd", "eur",
+        "gbp", "revenues",
+    }),
+    "quantity": frozenset({
+        "quantity", "qty", "units", "count", "orders", "items", "sold", "clicks", "impressions", "visits",
+        "sessions", "leads", "headcount", "employees", "customers", "users", "subscribers", "views", "downloads",
+        "shipments", "transactions", "returns", "tickets", "calls", "signups", "conversions", "stock", "inventory",
+        "volume", "num",
+    }),
+    "percentage": frozenset({
+        "pct", "percent", "percentage", "rate", "margin", "ratio", "share", "conversion", "ctr", "cvr", "churn",
+        "attrition", "utilization", "occupancy", "growth", "discount", "completion", "satisfaction", "accuracy",
+        "roi", "roas",
+    }),
+    "geo": frozenset({
+        "country", "region", "state", "city", "province", "zip", "zipcode", "postal", "postcode", "location",
+        "territory", "market", "continent", "district", "county", "area", "site", "branch", "store_location", "geo",
+        "address",
+    }),
+    "identifier": frozenset({
+        "id", "uuid", "guid", "key", "code", "sku", "reference", "ref", "number", "no", "identifier", "hash",
+        "token", "account", "order_id", "invoice_no",
+    }),
+    "demographic": frozenset({
+        "age", "gender", "sex", "tenure", "seniority", "experience", "education", "marital", "ethnicity",
+        "nationality", "birth", "dob", "generation",
+    }),
+    "time": frozenset({
+        "date", "time", "timestamp", "day", "month", "year", "week", "quarter",
+    }),
+    "text": frozenset({
+        "description", "comment", "comments", "notes", "note", "feedback", "review", "message", "summary", "text",
+        "body", "title", "subject", "url", "email", "address", "reason",
+    }),
 }
 
 DOMAIN_WORDS = {
-    "sales": """revenue sales order orders profit discount quantity unit_price
-        salesperson deal pipeline quota territory""".split(),
-    "ecommerce": """product sku cart checkout shipping order category basket
-        customer return coupon payment_method delivery""".split(),
-    "finance": """transaction account balance debit credit ledger expense budget
-        invoice payment interest asset liability portfolio merchant
-        currency""".split(),
-    "hr": """employee department salary hire attrition tenure manager job_title
-        performance headcount termination position leave recruitment resigned
-        role""".split(),
-    "marketing": """campaign channel impressions clicks ctr cpc leads conversion
-        spend roi roas audience ad creative utm email_open engagement""".split(),
-    "operations": """shipment warehouse inventory supplier logistics downtime
-        throughput defect production machine batch delivery_time sla capacity
-        utilization""".split(),
-    "customer": """customer churn satisfaction nps support ticket subscription
-        retention segment loyalty lifetime_value""".split(),
-    "healthcare": """patient diagnosis treatment admission discharge doctor
-        hospital medication clinic readmission""".split(),
-    "education": """student course grade enrollment teacher school attendance
-        exam score semester""".split(),
+    "sales": [
+        "revenue", "sales", "order", "orders", "profit", "discount", "quantity", "unit_price", "salesperson", "deal",
+        "pipeline", "quota", "territory",
+    ],
+    "ecommerce": [
+        "product", "sku", "cart", "checkout", "shipping", "order", "category", "basket", "customer", "return",
+        "coupon", "payment_method", "delivery",
+    ],
+    "finance": [
+        "transaction", "account", "balance", "debit", "credit", "ledger", "expense", "budget", "invoice", "payment",
+        "interest", "asset", "liability", "portfolio", "merchant", "currency",
+    ],
+    "hr": [
+        "employee", "department", "salary", "hire", "attrition", "tenure", "manager", "job_title", "performance",
+        "headcount", "termination", "position", "leave", "recruitment", "resigned", "role",
+    ],
+    "marketing": [
+        "campaign", "channel", "impressions", "clicks", "ctr", "cpc", "leads", "conversion", "spend", "roi", "roas",
+        "audience", "ad", "creative", "utm", "email_open", "engagement",
+    ],
+    "operations": [
+        "shipment", "warehouse", "inventory", "supplier", "logistics", "downtime", "throughput", "defect",
+        "production", "machine", "batch", "delivery_time", "sla", "capacity", "utilization",
+    ],
+    "customer": [
+        "customer", "churn", "satisfaction", "nps", "support", "ticket", "subscription", "retention", "segment",
+        "loyalty", "lifetime_value",
+    ],
+    "healthcare": [
+        "patient", "diagnosis", "treatment", "admission", "discharge", "doctor", "hospital", "medication", "clinic",
+        "readmission",
+    ],
+    "education": [
+        "student", "course", "grade", "enrollment", "teacher", "school", "attendance", "exam", "score", "semester",
+    ],
 }
 
 # --- fixed values: name scores --------------------------------------------
