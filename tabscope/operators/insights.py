@@ -42,10 +42,12 @@ def tenth(c: Column) -> Column:
 
 
 def _finding(source: DataFrame, order: int, insight_id: Column, category: str, severity: Column, confidence: float,
-             title: Column, body: Column) -> DataFrame:
+             title: Column, body: Column, evidence: list[Column]) -> DataFrame:
+    """``evidence``: the labels, as in the evidence index, of the figures that a finding rests on."""
     return source.select(
         F.lit(order).alias("position"), insight_id.alias("insight_id"), F.lit(category).alias("category"),
-        severity.alias("severity"), F.lit(confidence).alias("confidence"), title.alias("title"), body.alias("body"))
+        severity.alias("severity"), F.lit(confidence).alias("confidence"), title.alias("title"), body.alias("body"),
+        F.array_compact(F.array(*evidence)).alias("evidence"))
 
 
 def _named(profile: TableProfile) -> list[str]:
@@ -53,7 +55,7 @@ def _named(profile: TableProfile) -> list[str]:
 
 
 def insights(profile: TableProfile, analysis: Analysis, kpis: DataFrame, report: CleaningReport) -> DataFrame:
-    """``position, insight_id, category, severity, confidence, title, body``."""
+    """``position, insight_id, category, severity, confidence, title, body, evidence``."""
     names = _named(profile)
     found = [
         _trend(analysis, names), _divergence(analysis, names), _segments(analysis, names),
@@ -79,7 +81,8 @@ def _trend(analysis: Analysis, names: list[str]) -> DataFrame:
         F.col("first_period"), F.lit(" to "), F.col("last_period"), F.lit("; best "), F.lit(analysis.grain or "period"),
         F.lit(" "), F.col("best_period"), F.lit(", weakest "), F.col("worst_period"), F.lit("."), steadiness, partial)
     title = F.concat(label, F.lit(" "), verb, F.lit(" "), signed_percent(F.col("change_pct")))
-    return _finding(t, 1, F.lit("headline_trend"), "trend", severity, 0.95, title, body)
+    return _finding(t, 1, F.lit("headline_trend"), "trend", severity, 0.95, title, body, [
+        F.concat(label, F.lit(" change over period")), *[F.concat(F.lit(f"{end} {analysis.grain or 'period'} for "), label) for end in ("Best", "Worst")]])
 
 
 def _divergence(analysis: Analysis, names: list[str]) -> DataFrame:
@@ -91,7 +94,7 @@ def _divergence(analysis: Analysis, names: list[str]) -> DataFrame:
     body = F.concat(fast, F.lit(" changed "), signed_percent(F.col("hi")), F.lit(" while "), slow, F.lit(" changed "),
                     signed_percent(F.col("lo")), F.lit(": "), tenth(F.col("hi") - F.col("lo")), F.lit(" points apart."))
     return _finding(apart, 2, F.lit("measure_divergence"), "trend", F.lit("neutral"), 0.75,
-                    F.concat(fast, F.lit(" outpaces "), slow), body)
+                    F.concat(fast, F.lit(" outpaces "), slow), body, [F.concat(c, F.lit(" change over period")) for c in (fast, slow)])
 
 
 def _segments(analysis: Analysis, names: list[str]) -> DataFrame:
@@ -109,7 +112,9 @@ def _segments(analysis: Analysis, names: list[str]) -> DataFrame:
                     dimension, F.lit("."), laggard, heavily, signed)
     return _finding(two, 3, F.concat(F.lit("segment_"), F.col("dimension")), "segment",
                     F.when(heavy, "warning").otherwise("neutral"), 0.9,
-                    F.concat(F.col("leader"), F.lit(" leads by "), dimension), body)
+                    F.concat(F.col("leader"), F.lit(" leads by "), dimension), body, [
+                        F.concat(F.lit("Top "), dimension), F.when(heavy, F.concat(F.lit("Top 3 "), dimension, F.lit(" share"))),
+                        F.when(F.col("laggard").isNotNull(), F.concat(F.lit("Lowest "), dimension))])
 
 
 def _anomaly(analysis: Analysis, names: list[str]) -> DataFrame:
@@ -119,7 +124,7 @@ def _anomaly(analysis: Analysis, names: list[str]) -> DataFrame:
                     whole(F.col("expected")), F.lit(" ("), signed_percent(F.col("deviation_pct")), F.lit(", z "),
                     F.format_string("%+.1f", "z_score"), F.lit("). Check the source before calling it a trend."))
     return _finding(a, 4, F.lit("anomaly"), "anomaly", F.when(F.col("deviation_pct") < 0, "warning").otherwise("neutral"), 0.8,
-                    F.concat(label, F.lit(" stands out in "), F.col("period")), body)
+                    F.concat(label, F.lit(" stands out in "), F.col("period")), body, [F.concat(label, F.lit(" in "), F.col("period"))])
 
 
 def _correlation(analysis: Analysis, names: list[str]) -> DataFrame:
@@ -128,7 +133,8 @@ def _correlation(analysis: Analysis, names: list[str]) -> DataFrame:
     body = F.concat(x, F.lit(" and "), y, F.lit(" have a "), F.col("strength"), F.lit(" "), F.col("direction"), F.lit(" correlation, r = "),
                     F.format_string("%.2f", "coefficient"), F.lit(" over "), whole(F.col("n")), F.lit(" rows. It does not show which drives which."))
     way = F.when(F.col("direction") == "positive", " rise and fall together").otherwise(" move against each other")
-    return _finding(c, 5, F.lit("correlation"), "correlation", F.lit("neutral"), 0.85, F.concat(x, F.lit(" and "), y, way), body)
+    return _finding(c, 5, F.lit("correlation"), "correlation", F.lit("neutral"), 0.85, F.concat(x, F.lit(" and "), y, way), body, [
+        F.concat(F.lit("Correlation: "), x, F.lit(" vs "), y)])
 
 
 def _skew(profile: TableProfile, analysis: Analysis, names: list[str]) -> DataFrame:
@@ -144,7 +150,7 @@ def _skew(profile: TableProfile, analysis: Analysis, names: list[str]) -> DataFr
     body = F.concat(label, F.lit(" is "), F.col("shape"), F.lit(" with a skew of "), F.format_string("%.2f", "skew"),
                     F.lit("; the median describes it better."), gap)
     return _finding(d, 6, F.concat(F.lit("distribution_"), F.col("column")), "distribution", F.lit("neutral"), 0.8,
-                    F.concat(label, F.lit(" is strongly "), F.col("shape")), body)
+                    F.concat(label, F.lit(" is strongly "), F.col("shape")), body, [F.concat(label, F.lit(" skew"))])
 
 
 def _quality(spark, report: CleaningReport) -> DataFrame:
@@ -159,7 +165,9 @@ def _quality(spark, report: CleaningReport) -> DataFrame:
     body = F.concat(F.lit("Keep in mind: "), F.col("text"), F.lit(". Missing numbers are skipped, never filled in."))
     return _finding(spark.createDataFrame(rows, schema), 7, F.lit("data_quality"), "quality",
                     F.when(F.col("quality") < 85, "warning").otherwise("neutral"), 1.0,
-                    F.lit("Limits of the data"), body)
+                    F.lit("Limits of the data"), body, [
+                        F.lit("Data quality score"), F.lit("Duplicate rows removed") if report.duplicates_removed else F.lit(None).cast("string"),
+                        *[F.lit(f"{n} missing values") for n, _ in gaps[:3]]])
 
 
 def _recommendation(analysis: Analysis, kpis: DataFrame, names: list[str]) -> DataFrame:
@@ -169,21 +177,23 @@ def _recommendation(analysis: Analysis, kpis: DataFrame, names: list[str]) -> Da
         F.lit(1).alias("rule"), F.col("position").cast("double").alias("rank"), F.lit("warning").alias("severity"),
         F.lit(0.7).alias("confidence"), F.concat(F.lit("Rely less on the top values of "), dimension).alias("title"),
         F.concat(whole(F.col("concentration_pct")), F.lit("% comes from three of "), F.col("n_categories").cast("string"),
-                 F.lit(" values, led by "), F.col("leader"), F.lit("; see whether the others can grow.")).alias("body"))
+                 F.lit(" values, led by "), F.col("leader"), F.lit("; see whether the others can grow.")).alias("body"),
+        F.array(F.concat(F.lit("Top 3 "), dimension, F.lit(" share"))).alias("evidence"))
     worse = kpis.where(~F.col("is_favorable") & (F.abs("change_pct") >= MOVED)).select(
         F.lit(2).alias("rule"), F.col("position").cast("double").alias("rank"), F.lit("warning").alias("severity"),
         F.lit(0.75).alias("confidence"), F.concat(F.col("name"), F.lit(" is heading the wrong way")).alias("title"),
         F.concat(F.col("name"), F.lit(" is "), F.col("formatted_value"), F.lit(", "), signed_percent(F.col("change_pct")),
-                 F.lit(" "), F.col("period_label"), F.lit("; find the segment behind it.")).alias("body"))
+                 F.lit(" "), F.col("period_label"), F.lit("; find the segment behind it.")).alias("body"), F.array("name").alias("evidence"))
     column = title_case(F.col("column"), names)
     far = analysis.outliers.select(
         F.lit(3).alias("rule"), (-F.col("pct")).alias("rank"), F.lit("neutral").alias("severity"),
         F.lit(0.7).alias("confidence"), F.concat(F.lit("Look into extreme values of "), column).alias("title"),
         F.concat(whole(F.col("count")), F.lit(" rows ("), tenth(F.col("pct")), F.lit("%) lie below "), whole(F.col("lower_bound")),
-                 F.lit(" or above "), whole(F.col("upper_bound")), F.lit(" and pull averages along.")).alias("body"))
+                 F.lit(" or above "), whole(F.col("upper_bound")), F.lit(" and pull averages along.")).alias("body"),
+        F.array(F.concat(column, F.lit(" outliers"))).alias("evidence"))
     best = dense.unionByName(worse).unionByName(far).orderBy("rule", "rank").limit(1)
     return best.select(F.lit(8).alias("position"), F.lit("recommendation").alias("insight_id"),
-                       F.lit("recommendation").alias("category"), "severity", "confidence", "title", "body")
+                       F.lit("recommendation").alias("category"), "severity", "confidence", "title", "body", "evidence")
 
 
 # --- evidence ----------------------------------------------------------------

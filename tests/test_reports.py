@@ -95,6 +95,10 @@ def test_insights_and_claims(spark, prepared, story):
     got = {r["claim_id"]: (r["accepted"], r["evidence"]) for r in I.resolve_claims(claims, evidence).collect()}
     assert got[1] == (True, ["Total Revenue"]) and got[2] == (False, []) and got[3][0] is False
     assert got[4] == (True, ["Return Rate"]) and got[5] == (False, [])
+    # Every finding rests on figures that the index has.
+    figures = {r["metric"] for r in evidence.collect()}
+    found = I.insights(prepared.profile, analysis, kpis, prepared.report).collect()
+    assert found and all(r["evidence"] and set(r["evidence"]) <= figures for r in found), [(r["insight_id"], r["evidence"]) for r in found]
     assert I.dataset_summary(prepared.profile, kpis, analysis).first()[0].startswith("14 rows, 8 columns, 2023-03-02 to 2023-09-09")
 
 
