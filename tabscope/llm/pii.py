@@ -320,10 +320,10 @@ def judged_spans(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets and ``n_chars`` recounted.
 
-    The rows are packed while spans are found, so no column of theirs is in the way, and staged
-    with their judged spans, which both the classifier and the cutting read."""
+    The rows are packed while spans are found, so no column of theirs is in the way. Spans are
+    judged once for the classifier and again for cutting, as staging them would stage all texts."""
     packed = docs.select(F.struct("*").alias("_row"), "text")
-    judged = common.staged(judged_spans(packed).select("_row", "_judged"), "pii-judged")
+    judged = judged_spans(packed).select("_row", "_judged")
     model = classifier(judged)
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     spans = accepted(model)
