@@ -320,10 +320,12 @@ def judged_spans(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets and ``n_chars`` recounted.
 
-    The rows are packed while spans are found, so no column of theirs is in the way. Spans are
-    judged once for the classifier and again for cutting, as staging them would stage all texts."""
-    packed = docs.select(F.struct("*").alias("_row"), "text")
-    judged = judged_spans(packed).select("_row", "_judged")
+    The rows are packed while spans are found, so no column of theirs is in the way. Rows with
+    spans are staged with them, which both the classifier and the cutting read; all others, most
+    by far, are passed on as they are."""
+    spanned = judged_spans(docs.select(F.struct("*").alias("_row"), "text"))
+    any_span = F.size("_base") + F.size("_more") > 0
+    judged = common.staged(spanned.where(any_span).select("_row", "_judged"), "pii-judged")
     model = classifier(judged)
     text = F.coalesce(F.col("_row.text"), F.lit(""))
     spans = accepted(model)
@@ -339,7 +341,8 @@ def masked(docs: DataFrame) -> DataFrame:
     out["text"] = F.col("_masked")
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.size("_spans") == 0, F.col("_row.n_chars")).otherwise(F.length("_masked").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[c.alias(n) for n, c in out.items()])
+    changed = cut.select(*[c.alias(n) for n, c in out.items()])
+    return spanned.where(~any_span).select("_row.*").unionByName(changed)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
