@@ -11,6 +11,8 @@ row per column and fact combination reaches the driver, where the type rules run
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -44,8 +46,16 @@ def cells(df: DataFrame, columns: dict[str, Column], *extra: Column) -> DataFram
 
 
 def frequencies(df: DataFrame) -> DataFrame:
+    """The counted cells of a table, staged."""
+    counted = counted_cells(df)
+    path = new_path(df.sparkSession, "frequencies")
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(counted.schema).parquet(path)
+
+
+def counted_cells(df: DataFrame) -> DataFrame:
     """``position, key, number, whole, stamp, n, changed, mask, length, words``: the counted
-    cells of a table, staged.
+    cells of a table.
 
     Of the four kinds of value a row has one: trimmed text (``key``), finite doubles, whole
     numbers and truth values, points in time. Position -1 counts the rows.
@@ -67,11 +77,9 @@ def frequencies(df: DataFrame) -> DataFrame:
             tags.append(tag(i, stamp=quoted(name).cast("timestamp_ntz")))
         else:
             tags.append(tag(i, text=quoted(name).cast("string")))
-    present = F.coalesce(F.col("text"), F.col("number").cast("string"), F.col("whole").cast("string"), F.col("stamp").cast("string")).isNotNull()
-    counted = counted_texts(df.select(F.inline(F.array(*tags))).where(present), "number", "whole", "stamp")
-    path = new_path(df.sparkSession, "frequencies")
-    counted.write.parquet(path)
-    return df.sparkSession.read.schema(counted.schema).parquet(path)
+    # Tested one by one: as one text, every number would be written out to be told apart from null.
+    present = reduce(or_, [F.col(k).isNotNull() for k in none])
+    return counted_texts(df.select(F.inline(F.array(*tags))).where(present), "number", "whole", "stamp")
 
 
 def counted_texts(cells_: DataFrame, *others: str) -> DataFrame:
@@ -81,7 +89,7 @@ def counted_texts(cells_: DataFrame, *others: str) -> DataFrame:
     shuffle, so document-sized cells never travel. ``changed`` counts rows that
     white-space normalisation would alter at the ends.
     """
-    trimmed = cells_.select("position", "text", *others, coerce.trimmed(F.col("text")).alias("v"))
+    trimmed = cells_.select("position", "text", *others, _quickly_trimmed(F.col("text")).alias("v"))
     v = F.col("v")
     is_long = F.length(v) > LONG_TEXT
     return trimmed.select(
@@ -89,14 +97,26 @@ def counted_texts(cells_: DataFrame, *others: str) -> DataFrame:
         F.when(is_long, F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v).alias("key"),
         (F.col("text") != v).cast("bigint").alias("changed"),
         # No date layout is that long, so only the other facts apply.
-        F.when(is_long, coerce.fact_bits(v)).alias("mask"),
+        F.when(is_long, _apart(v, coerce.fact_bits)).alias("mask"),
         F.when(is_long, F.length(v)).alias("length"),
-        F.when(is_long, word_count(v)).alias("words"),
+        F.when(is_long, _apart(v, word_count)).alias("words"),
     ).groupBy("position", "key", *others).agg(
         F.count(F.lit(1)).alias("n"), F.sum("changed").alias("changed"),
         F.max("mask").alias("mask"), F.max("length").alias("length"), F.max("words").alias("words"))
 
 
+def _quickly_trimmed(c: Column) -> Column:
+    """Trimmed; a text between visible ASCII characters is so already."""
+    visible = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+    return F.when(visible, c).otherwise(coerce.trimmed(c))
+
+
+def _apart(c: Column, test) -> Column:
+    """The test as an expression that is not compiled into the loop over all cells: the many
+    patterns of rare long texts would make that loop's code too large to be run compiled."""
+    return F.transform(F.array(c), test)[0]
+
+
 def with_facts(counted: DataFrame) -> DataFrame:
     """Facts of every distinct text; inner blanks count as a change of all its rows."""
     key = F.col("key")
