@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
+from .columns import apart
 from ..vocabulary import (
     CLEANER_PLACEHOLDERS, COMPACT_DATE, CURRENCY_SYMBOLS, DATE_HINT, DATE_LAYOUTS,
     EMAIL_PATTERN, FALSE_TOKENS, READER_NULL_TOKENS, TRUE_TOKENS, UNIT_WORDS,
@@ -16,6 +17,7 @@ from ..vocabulary import (
 # Every character the white-space class covers, for btrim.
 _BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
            "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_ODD_BLANKS = f"  |[{_BLANKS.replace(' ', '')}]"
 _BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 _SYMBOLS = f"[{CURRENCY_SYMBOLS}]"
 _COMMA_GROUP = r"(?<=\d),(?=\d{3}(?:\D|$))"
@@ -38,9 +40,22 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
+def quickly_trimmed(c: Column) -> Column:
+    """As ``trimmed``, of a column: a text between visible ASCII characters is so already."""
+    visible = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+    return F.when(visible, c).otherwise(trimmed(c))
+
+
+def has_odd_blanks(c: Column) -> Column:
+    """Whether a text holds white space other than single blanks. Of ASCII texts substring
+    tests tell, which are far cheaper than a pattern."""
+    tests = [c.contains(b) for b in ("  ", *[b for b in _BLANKS if b.isascii() and b != " "])]
+    return F.when(F.length(c) == F.octet_length(c), reduce(or_, tests)).otherwise(c.rlike(_ODD_BLANKS))
+
+
 def squeezed(c: Column) -> Column:
     """Trimmed, with inner runs of white space collapsed to one blank."""
-    return F.regexp_replace(trimmed(c), _BLANK_RUN, " ")
+    return F.when(~has_odd_blanks(c), quickly_trimmed(c)).otherwise(F.regexp_replace(trimmed(c), _BLANK_RUN, " "))
 
 
 def is_placeholder(c: Column) -> Column:
@@ -79,13 +94,18 @@ def has_percent(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """Strip notation in a fixed order: symbol, %, groups, parentheses, unit, sign."""
     s = F.translate(trimmed(c), CURRENCY_SYMBOLS, "")
-    s = F.regexp_replace(s, "%$", "")
-    s = F.regexp_replace(s, _COMMA_GROUP, "")
+    s = _replaced(s, "%", "%$", "")
+    s = _replaced(s, ",", _COMMA_GROUP, "")
     s = F.regexp_replace(s, _SPACE_GROUP, "")
-    s = F.regexp_replace(s, _PARENTHESISED, "-$1")
+    s = _replaced(s, "(", _PARENTHESISED, "-$1")
     s = F.regexp_replace(s, _UNIT, "")
     s = F.translate(s, "−", "-")
-    return trimmed(F.regexp_replace(s, r"^\+", ""))
+    return trimmed(_replaced(s, "+", r"^\+", ""))
+
+
+def _replaced(c: Column, mark: str, pattern: str, by: str) -> Column:
+    """A pattern replaced, tried only where the mark is that it cannot do without."""
+    return apart(c, lambda s: F.when(s.contains(mark), F.regexp_replace(s, pattern, by)).otherwise(s))
 
 
 def has_comma_groups(c: Column) -> Column:
@@ -159,13 +179,15 @@ def layout_bits(name: str) -> Column:
     Written as SQL text: one expression instead of hundreds of Column calls.
     """
     tests = [
-        f"""IF({name} RLIKE r'{shape}' AND try_to_timestamp({name}, "{pattern}") IS NOT NULL, {1 << i}L, 0L)"""
+        f"""IF(_v RLIKE r'{shape}' AND try_to_timestamp(_v, "{pattern}") IS NOT NULL, {1 << i}L, 0L)"""
         for i, (_, pattern, shape) in enumerate(DATE_LAYOUTS)
     ]
-    tests.append(f"IF({name} RLIKE r'{_ISO_SHAPE}' AND try_cast({name} AS timestamp_ntz) IS NOT NULL, "
+    tests.append(f"IF(_v RLIKE r'{_ISO_SHAPE}' AND try_cast(_v AS timestamp_ntz) IS NOT NULL, "
                  f"{1 << (len(LAYOUT_NAMES) - 1)}L, 0L)")
     # Every layout is between 6 and 35 characters long and has a digit.
-    return F.expr(f"IF(length({name}) BETWEEN 6 AND 35 AND {name} RLIKE '[0-9]', {' | '.join(tests)}, 0L)")
+    # In a lambda, as in columns.apart.
+    test = f"IF(length(_v) BETWEEN 6 AND 35 AND _v RLIKE '[0-9]', {' | '.join(tests)}, 0L)"
+    return F.expr(f"transform(array({name}), _v -> {test})[0]")
 
 
 # --- evidence --------------------------------------------------------------
@@ -191,7 +213,7 @@ OTHER_FACTS = {
     "false": lambda c: (F.length(c) <= 8) & F.lower(c).isin(*FALSE_TOKENS),
     "date_hint": lambda c: c.rlike(DATE_HINT),
     "email": lambda c: c.contains("@") & c.rlike(EMAIL_PATTERN),
-    "inner_blanks": lambda c: c.rlike(f"  |[{_BLANKS.replace(' ', '')}]"),
+    "inner_blanks": has_odd_blanks,
     "placeholder": is_placeholder,  # none holds a blank, so squeezing cannot make one
 }
 FACT_BIT = {name: len(LAYOUT_NAMES) + i for i, name in enumerate([*DIGIT_FACTS, *OTHER_FACTS])}

@@ -70,3 +70,12 @@ def finite_frame(df: DataFrame, names: Sequence[str]) -> DataFrame:
     to the test itself, or to what the column is computed from, would be written out again.
     """
     return df.select(*[finite(df, n).cast("double").alias(n) for n in names])
+
+
+def apart(c: Column, work) -> Column:
+    """``work`` of a column, not compiled into the loop over the rows.
+
+    Chains of patterns make that loop's code too large for the JVM, which then runs all of it
+    uncompiled. In a lambda each part is evaluated by itself, and only where it is reached.
+    """
+    return F.transform(F.array(c), work)[0]

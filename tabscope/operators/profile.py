@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import coerce
-from ..functions.columns import finite, is_boolean, is_integral, is_numeric, is_temporal, quoted
+from ..functions.columns import apart, finite, is_boolean, is_integral, is_numeric, is_temporal, quoted
 from ..functions.quantiles import column_percentiles, percentiles
 from ..functions.stats import sample_skewness
 from ..session import new_path
@@ -89,7 +89,7 @@ def counted_texts(cells_: DataFrame, *others: str) -> DataFrame:
     shuffle, so document-sized cells never travel. ``changed`` counts rows that
     white-space normalisation would alter at the ends.
     """
-    trimmed = cells_.select("position", "text", *others, _quickly_trimmed(F.col("text")).alias("v"))
+    trimmed = cells_.select("position", "text", *others, coerce.quickly_trimmed(F.col("text")).alias("v"))
     v = F.col("v")
     is_long = F.length(v) > LONG_TEXT
     return trimmed.select(
@@ -97,32 +97,20 @@ def counted_texts(cells_: DataFrame, *others: str) -> DataFrame:
         F.when(is_long, F.concat(F.lit("sha256:"), F.sha2(v, 256))).otherwise(v).alias("key"),
         (F.col("text") != v).cast("bigint").alias("changed"),
         # No date layout is that long, so only the other facts apply.
-        F.when(is_long, _apart(v, coerce.fact_bits)).alias("mask"),
+        F.when(is_long, apart(v, coerce.fact_bits)).alias("mask"),
         F.when(is_long, F.length(v)).alias("length"),
-        F.when(is_long, _apart(v, word_count)).alias("words"),
+        F.when(is_long, apart(v, word_count)).alias("words"),
     ).groupBy("position", "key", *others).agg(
         F.count(F.lit(1)).alias("n"), F.sum("changed").alias("changed"),
         F.max("mask").alias("mask"), F.max("length").alias("length"), F.max("words").alias("words"))
 
 
-def _quickly_trimmed(c: Column) -> Column:
-    """Trimmed; a text between visible ASCII characters is so already."""
-    visible = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
-    return F.when(visible, c).otherwise(coerce.trimmed(c))
-
-
-def _apart(c: Column, test) -> Column:
-    """The test as an expression that is not compiled into the loop over all cells: the many
-    patterns of rare long texts would make that loop's code too large to be run compiled."""
-    return F.transform(F.array(c), test)[0]
-
-
 def with_facts(counted: DataFrame) -> DataFrame:
     """Facts of every distinct text; inner blanks count as a change of all its rows."""
     key = F.col("key")
     known = counted.where(key.isNotNull()).select(
         "position", "key", "n", "changed",
-        F.coalesce("mask", coerce.layout_bits("key").bitwiseOR(coerce.fact_bits(key))).alias("mask"),
+        F.coalesce("mask", coerce.layout_bits("key").bitwiseOR(apart(key, coerce.fact_bits))).alias("mask"),
         F.coalesce("length", F.length(key)).alias("length"),
         F.coalesce("words", word_count(key)).alias("words"))
     inner = F.col("mask").bitwiseAND(1 << coerce.FACT_BIT["inner_blanks"]) != 0
@@ -240,9 +228,9 @@ def evidence_frame(spark, evidence: dict[str, Evidence], facts: Sequence[str]) -
 def parsed_column(source: Column, inferred: str, parse: dict) -> Column:
     """A trimmed text column as its inferred type."""
     if inferred == "numeric":
-        return coerce.to_number(source)
+        return apart(source, coerce.to_number)
     if inferred == "datetime":
-        return coerce.to_datetime(source, parse["layouts"])
+        return apart(source, lambda c: coerce.to_datetime(c, parse["layouts"]))
     return coerce.to_boolean(source)
 
 
@@ -449,7 +437,7 @@ def _number_stats(counted: DataFrame, names: dict[int, str], detail: bool) -> di
     if not names:
         return {}
     spelled = F.col("key").isNotNull()
-    value = F.when(spelled, coerce.to_number(F.col("key"))).otherwise(F.coalesce(F.col("number"), F.col("whole").cast("double")))
+    value = F.when(spelled, apart(F.col("key"), coerce.to_number)).otherwise(F.coalesce(F.col("number"), F.col("whole").cast("double")))
     numbers = counted.where(F.col("position").isin(*names)).select("position", "whole", value.alias("v"), "n").where("v is not null")
     # Whole numbers stay apart beyond 2 ** 53, where doubles meet.
     numbers = numbers.groupBy("position", "whole", "v").agg(F.sum("n").alias("n"))
@@ -501,7 +489,7 @@ def _date_stats(counted: DataFrame, names: dict[int, str], parse: dict) -> dict[
     if not names:
         return {}
     spelled = F.coalesce(F.col("key"), F.col("whole").cast("string"))
-    read = {i: coerce.to_datetime(spelled, parse[n]["layouts"]) for i, n in names.items() if n in parse}
+    read = {i: parsed_column(spelled, "datetime", parse[n]) for i, n in names.items() if n in parse}
     stamp = F.coalesce(F.col("stamp"), _by_position(read)) if read else F.col("stamp")
     days = counted.where(F.col("position").isin(*names)).select("position", stamp.cast("timestamp_ntz").alias("t")).where("t is not null").groupBy(
         "position", F.unix_date(F.col("t").cast("date")).alias("day")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))

@@ -73,3 +73,27 @@ def test_digest_key_keeps_long_texts_apart(spark):
     e = P.text_evidence(df, {"v": F.col("v")})["v"]
     assert (e.count, e.unique, e.changed) == (5, 3, 1)
     assert e.mean_words == pytest.approx((201 * 3 + 2) / 5)
+
+
+def test_quick_forms_equal_the_patterns(spark):
+    blanks = [" ", "  ", "\t", "\n", "\x1c", "\x1f", "\x85", "\xa0", " ", "　"]
+    values = ["", "a", "a b", "é b", *[f"{x}a{y}b{z}" for x in ["", *blanks] for y in blanks for z in ["", " ", " "]],
+              "5 kg", "+5", "(1,234.5)", "$(1,200)", "-1,5%", "5%\n$", "1 234 kg", "−3", "12 345", "+1,000 km.", "x%", "\u0085", " 　 "]
+    df = texts(spark, *values)
+    v = F.col("v")
+    plain = F.regexp_replace(coerce.trimmed(v), coerce._BLANK_RUN, " ")
+    steps = F.translate(coerce.trimmed(v), coerce.CURRENCY_SYMBOLS, "")
+    for pattern, by in (("%$", ""), (coerce._COMMA_GROUP, ""), (coerce._SPACE_GROUP, ""), (coerce._PARENTHESISED, "-$1"), (coerce._UNIT, "")):
+        steps = F.regexp_replace(steps, pattern, by)
+    steps = coerce.trimmed(F.regexp_replace(F.translate(steps, "−", "-"), r"^\+", ""))
+    odd = df.where(~coerce.squeezed(v).eqNullSafe(plain) | ~coerce.quickly_trimmed(v).eqNullSafe(coerce.trimmed(v))
+                   | (coerce.has_odd_blanks(v) != v.rlike(coerce._ODD_BLANKS)) | ~coerce.number_text(v).eqNullSafe(steps))
+    assert rows_of(odd) == []
+
+
+def test_parsing_stays_out_of_the_loop_over_rows(spark):
+    from tabscope.operators import clean, profile
+
+    df = texts(spark, "1", name="v")
+    for c in (profile.parsed_column(F.col("v"), "numeric", {}), clean.normalized(df, "v"), coerce.layout_bits("v")):
+        assert "transform(array(" in df.select(c)._jdf.queryExecution().optimizedPlan().toString()
