@@ -9,9 +9,9 @@ is in one of a few groups, by the class that most often precedes it, and has its
 group by smoothed counts. Counts cover all texts to learn from: pairs of neighbouring ids are
 counted by tasks and summed by Spark, and give the classes, the shares and the table of what
 follows what. The attention weights are trained in numpy by several trainers at once, each on
-windows dealt to it, and averaged after each round. Windows for training are a fixed share
-of all (one in ``DEAL`` per round), so more text means more windows and more trainers, each
-with about ``WINDOW_TOKENS`` tokens; sums of weights are formed in groups of 64.
+windows dealt to it, and averaged after each round. Every window of the texts to learn from is
+trained on in one of the rounds, so more text means more windows and more trainers, each
+with about ``WINDOW_TOKENS`` tokens a round; sums of weights are formed in groups of 64.
 
 Beside the model's score stands the base: word counts plus one, over all texts to learn
 from. Words are compared by 64-bit hashes. Counts of the ``FREQUENT`` most frequent words are sent to
@@ -48,7 +48,7 @@ HEAD, GROUPS = 511, 64
 #: They lie in as many blocks of as many classes.
 BLOCKS = 24
 SPAN, HEADS, WIDTH = 16, 1, 16
-ROUNDS, DEAL, WINDOW_TOKENS, BATCH = 2, 16, 1 << 19, 64
+ROUNDS, WINDOW_TOKENS, BATCH = 2, 1 << 20, 256
 RATE, DECAY, BACK_OFF = 0.02, 1e-3, 20.0
 FREQUENT = 1 << 17
 FLUSH, CHARACTERS = 500_000, 500_000
@@ -285,8 +285,8 @@ def classes_of(pairs: DataFrame, head: int = HEAD, groups: int = GROUPS, blocks:
     return LanguageModel(classes, share, int(place[end]), smoothed(cells, BACK_OFF, filled), Weights.fresh(blocks, members, SPAN, HEADS, WIDTH))
 
 
-def dealt(rows: DataFrame, made: LanguageModel, trainers: int, rounds: int, deal: int) -> DataFrame:
-    """Packed windows (round, trainer, place, given, wanted): one in ``deal`` for each round."""
+def dealt(rows: DataFrame, made: LanguageModel, trainers: int, rounds: int) -> DataFrame:
+    """Packed windows (round, trainer, place, given, wanted): all, each in one of the rounds."""
     shared = rows.sparkSession.sparkContext.broadcast((made.classes, made.end, made.weights.distance.shape[1] // 2))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +294,7 @@ def dealt(rows: DataFrame, made: LanguageModel, trainers: int, rounds: int, deal
         for part in common.row_batches(frames, "ids", 1 << 20):
             given, wanted, text = windows([classes[np.frombuffer(t, np.uint16)] for t in part["ids"]], end, span)
             key = mix(mix(part["row"].to_numpy(np.int64).view(np.uint64))[text] + np.arange(len(text), dtype=np.uint64))
-            turn = (key % np.uint64(deal)).astype(np.int64)
+            turn = (key % np.uint64(rounds)).astype(np.int64)
             # Windows of one text stand apart in training.
             order = np.argsort(key)
             place = int(part["row"].iloc[0])
@@ -325,10 +325,10 @@ def averaged(trained: DataFrame, trainers: int) -> np.ndarray | None:
     return sum(np.frombuffer(r.sums, np.float64) for r in rows) / sum(r.tokens for r in rows) if rows else None
 
 
-def trained(rows: DataFrame, made: LanguageModel, tokens: int, rounds: int = ROUNDS, deal: int = DEAL) -> LanguageModel:
-    """The model with weights trained on the windows dealt for each round."""
-    trainers = max(1, round(tokens / deal / WINDOW_TOKENS))
-    packed = common.staged(dealt(rows, made, trainers, rounds, deal), "lm-windows")
+def trained(rows: DataFrame, made: LanguageModel, tokens: int, rounds: int = ROUNDS) -> LanguageModel:
+    """The model with weights trained on all windows, a part of them in each round."""
+    trainers = max(1, round(tokens / rounds / WINDOW_TOKENS))
+    packed = common.staged(dealt(rows, made, trainers, rounds), "lm-windows")
     for r in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast((made.weights, made.table))
 
@@ -337,11 +337,11 @@ def trained(rows: DataFrame, made: LanguageModel, tokens: int, rounds: int = ROU
             weights = weights.filled(weights.flat().copy())
             span = weights.distance.shape[1] // 2
             frame = frame.sort_values("place")
-            given = np.concatenate([np.frombuffer(g, np.int16) for g in frame["given"]]).reshape(-1, 2 * span).astype(np.int64)
-            wanted = np.concatenate([np.frombuffer(w, np.int16) for w in frame["wanted"]]).reshape(-1, span).astype(np.int64)
+            given = np.concatenate([np.frombuffer(g, np.int16) for g in frame["given"]]).reshape(-1, 2 * span)
+            wanted = np.concatenate([np.frombuffer(w, np.int16) for w in frame["wanted"]]).reshape(-1, span)
             learner = Adam(Model(weights, table), RATE, DECAY)
             for at in range(0, len(given), BATCH):
-                learner.step(given[at : at + BATCH], wanted[at : at + BATCH])
+                learner.step(given[at : at + BATCH].astype(np.int64), wanted[at : at + BATCH].astype(np.int64))
             n = int((wanted >= 0).sum())
             return pd.DataFrame({"trainer": [int(frame["trainer"].iloc[0])], "tokens": [n], "sums": [(weights.flat().astype(np.float64) * n).tobytes()]})
 

@@ -161,3 +161,18 @@ def test_words_encoded_together_or_alone():
     odd = ["a\u00a0b", "\u00a0", "\x85", "\u3000x", "x\u2028", "\x1c", "y" * 9000]
     for words in (plain, odd, plain + odd, odd + plain, ["\u00a0x"] + plain, plain + ["x\u00a0"]):
         assert subwords.of_all([w.encode() for w in words]) == [subwords.of(w) for w in words]
+
+
+def test_every_window_is_trained_on_once(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, i % 3 == 1, rng.integers(0, 300, int(n)).astype(np.uint16)) for i, n in enumerate(rng.integers(0, 200, 40))]
+    rows = spark.createDataFrame([(i, held, bytearray(ids.tobytes())) for i, held, ids in texts], "row bigint, held_out boolean, ids binary")
+    made = lm.classes_of(lm.pair_counts(rows), head=20, groups=4, blocks=5)
+    span = made.weights.distance.shape[1] // 2
+    got = Counter()
+    for part in lm.dealt(rows, made, 2, lm.ROUNDS).collect():
+        given = np.frombuffer(part.given, np.int16).reshape(-1, 2 * span)
+        wanted = np.frombuffer(part.wanted, np.int16).reshape(-1, span)
+        got.update((g.tobytes(), w.tobytes()) for g, w in zip(given, wanted))
+    given, wanted, _ = windows([made.classes[ids] for _, held, ids in texts if not held], made.end, span)
+    assert got == Counter((g.tobytes(), w.tobytes()) for g, w in zip(given.astype(np.int16), wanted.astype(np.int16)))
