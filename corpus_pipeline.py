@@ -4,9 +4,10 @@ Five stages, each written and read again before the next: the quality classifier
 of documents linked by their word 5-grams one stays; personal data are masked; sources are
 interleaved to their target weights; texts become token ids, which are decoded again.
 
-The mixture is an order of all rows. Readers pack files by size and so lose it, but the
-schedule follows from the rows alone: the last stage has each row's slot and place in it and
-whether the mixture is still complete there, and the result is sorted by them.
+The mixture is an order of all rows, in which they are written. Readers pack files by size and
+so lose it; the last stage takes it from where each row stands in the files. It has each row's
+slot and place in the schedule and whether the mixture is still complete there, and the result
+is sorted by them.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = mixing.mixed(docs.select("doc_id", "source", "text")).sort("slot", "place")
-    coded = bpe.encode(placed, bpe.read_vocabulary(), decoded=True)
-    return coded.select("doc_id", "source", "slot", "place", "in_mix", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    # Each source's rows are in the order in which the stage before wrote them.
+    read = mixing.as_written(docs.select("doc_id", "source", "text"))
+    placed = common.staged(mixing.mixed(read.select("source", "file", "line"), order=("file", "line")).drop("source"), "pipeline-places")
+    coded = bpe.encode(read, bpe.read_vocabulary(), decoded=True).select("doc_id", "source", "file", "line", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.join(placed, ["file", "line"]).select("doc_id", "source", "slot", "place", "in_mix", "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -36,15 +36,19 @@ BROADCAST_ROWS = 1 << 17
 CHUNK = 512
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, order: tuple[str, str] | None = None) -> DataFrame:
     """Adds ``_n``, the place in the source. No source is sorted in one task: places are
     counted within 4,096 hash ranges of a source, and each range starts where the totals
-    of the earlier ones end."""
+    of the earlier ones end. ``order`` names two columns, the range and the place in it, that
+    give the order instead."""
     own = docs.select(F.struct("*").alias("_row"))
     text = lambda c: F.coalesce(F.col(f"_row.{c}").cast("string"), F.lit(""))
-    rows = own.select(
-        "_row", text("source").alias("_source"), F.col("_row.source").isNull().alias("_null"),
-        F.md5(F.concat(text("doc_id"), F.lit("/"), text("text"))).alias("_key")).withColumn("_range", F.substring("_key", 1, 3))
+    if order:
+        range_, key = [F.col(f"_row.{c}") for c in order]
+    else:
+        key = F.md5(F.concat(text("doc_id"), F.lit("/"), text("text")))
+        range_ = F.substring(key, 1, 3)
+    rows = own.select("_row", text("source").alias("_source"), F.col("_row.source").isNull().alias("_null"), key.alias("_key"), range_.alias("_range"))
     group = ["_source", "_null", "_range"]
     ranges = rows.groupBy(*group).agg(F.count("*").alias("_size"))
     starts = ranges.select(*group, (F.sum("_size").over(
@@ -112,8 +116,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, flatten: float = FLATTEN) -> DataFrame:
-    """The documents with ``slot``, ``place`` and ``in_mix``. ``weights``: source, weight."""
+def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, flatten: float = FLATTEN,
+          order: tuple[str, str] | None = None) -> DataFrame:
+    """The documents with ``slot``, ``place`` and ``in_mix``. ``weights``: source, weight.
+    ``order``: two columns by which a source's rows are in order, as in ``numbered``."""
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null")).agg(
         F.ceil(F.count("*") / F.lit(block)).alias("_blocks"))
     if weights is None:
@@ -129,7 +135,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
     # The first slot for which a source has no block left: its block number _blocks.
     ends = known.select("_who", (F.col("_blocks") % F.col("_units")).cast("int").alias("_index"), F.floor(F.col("_blocks") / F.col("_units")).alias("_round"))
     horizon = ends.join(plan, ["_who", "_index"]).agg(F.min(F.col("_round") * period + F.col("_slot")).alias("_horizon")).first()[0]
-    rows = numbered(docs).join(_small(known.select("_source", "_null", "_units", "_who")), ["_source", "_null"], "inner" if weights is None else "left")
+    rows = numbered(docs, order).join(_small(known.select("_source", "_null", "_units", "_who")), ["_source", "_null"], "inner" if weights is None else "left")
     rows = rows.withColumn("_b", F.floor(F.col("_n") / F.lit(block))).withColumn("_index", (F.col("_b") % F.col("_units")).cast("int"))
     rows = rows.join(_small(plan), ["_who", "_index"], "inner" if weights is None else "left")
     slot = F.floor(F.col("_b") / F.col("_units")) * period + F.col("_slot")
@@ -141,10 +147,17 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
     """All documents with their own columns, in files and rows that follow the mixture. Reading
-    the files does not keep that order by itself; ``mixed`` of the rows read gives it again."""
+    the files does not keep that order by itself; ``as_written`` tells it."""
     return mixed(docs).sort("slot", "place").select(docs.columns)
 
 
+def as_written(files: DataFrame) -> DataFrame:
+    """Rows read from files of ``in_mixed_order``, with the columns ``file`` and ``line``: where
+    they stand there. Names of files sort as they were written."""
+    name = F.col("_metadata.file_name")
+    return files.select("*", F.concat(F.lpad(F.regexp_extract(name, r"part-(\d+)", 1), 12, "0"), name).alias("file"), F.col("_metadata.row_index").alias("line"))
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(common.documents(spark, sf_dir).select("doc_id", "source", "text")).select(
         "doc_id", "source", "slot", "place", "in_mix")

@@ -105,3 +105,15 @@ def test_result_follows_the_mixture(spark, monkeypatch):
     for i, r in enumerate(inside, 1):
         done[r.source] += 1
         assert all(abs(done[s] - i * w / total) <= 2 * mixing.BLOCK for s, w in weights.items())
+
+
+def test_the_last_stage_takes_the_order_from_what_the_mixing_stage_wrote(spark, kept, tmp_path):
+    """Rows written in another order get other places, so the mixture is not worked out anew."""
+    rows = {r.doc_id: r for r in kept[4].collect()}
+    kept[4].sort("doc_id").coalesce(1).write.parquet(str(tmp_path / "by_id"))
+    got = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "by_id")), FOLDER).sort("slot", "place").collect()
+    assert len(got) == len(rows)
+    for source in {r.source for r in rows.values()}:
+        ids = [r.doc_id for r in got if r.source == source]
+        assert ids == sorted(ids)
+    assert [r.doc_id for r in got] != [r.doc_id for r in corpus_pipeline.encode(spark, kept[4], FOLDER).sort("slot", "place").collect()]
