@@ -91,7 +91,8 @@ class Model:
         self.block_after = after.sum(axis=2)
         inside = after / np.maximum(self.block_after, 1e-300)[:, :, None]
         self.block_after = self.block_after.astype(np.float32)
-        self.member_after = np.ascontiguousarray(inside.transpose(1, 0, 2).astype(np.float32))
+        # A row for each class in each block.
+        self.member_after = np.ascontiguousarray(inside.transpose(1, 0, 2).astype(np.float32)).reshape(-1, self.members)
         apart = self.span + np.arange(self.span)[:, None] - np.arange(reach)[None, :]
         self.seen, self.apart = apart >= 0, np.maximum(apart, 0)
 
@@ -120,30 +121,29 @@ class Model:
         flat = np.ascontiguousarray(got.transpose(0, 2, 1, 3)).reshape(-1, self.heads * self.width)
         return flat, (known, q, k, v, share, total, scale)
 
-    def _softmax(self, flat: np.ndarray, out: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Probabilities from what was gathered. The table's part is a factor of the
-        exponentials, so it is not added to each logit."""
-        z = flat @ out
+    def _weighed(self, z: np.ndarray, after: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exponentials of logits, in their place. The table's part is a factor of them, so it is
+        not added to each logit."""
         np.exp(np.minimum(z, _MOST, out=z), out=z)
-        z *= after
-        z /= z.sum(axis=1, keepdims=True)
+        z *= after.take(rows, axis=0)
         return z
 
-    def _chosen(self, flat: np.ndarray, out: np.ndarray, after: np.ndarray, current: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The wanted column of that softmax, without the others' division."""
-        z = flat @ out
-        np.exp(np.minimum(z, _MOST, out=z), out=z)
-        z *= after.take(current, axis=0)
-        return z[np.arange(len(z)), wanted] / z.sum(axis=1)
+    def _of_blocks(self, flat: np.ndarray, current: np.ndarray) -> np.ndarray:
+        return self._weighed(flat @ self.w.to_block, self.block_after, current)
+
+    def _of_members(self, flat: np.ndarray, current: np.ndarray, block: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """The same in the wanted blocks, of rows in the order of blocks."""
+        z = np.empty((len(flat), self.members), flat.dtype)
+        for b, own in parts:
+            np.matmul(flat[own], self.w.to_member[b], out=z[own])
+        return self._weighed(z, self.member_after, block * len(self.block_after) + current)
 
-    def _by_block(self, target: np.ndarray):
-        """Each block that is wanted, with the places where it is."""
-        block = target // self.members
+    def _by_block(self, block: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The places in the order of blocks, and each block's part of them."""
         # Of 16 bits, which sort by counting.
         order = np.argsort(block.astype(np.uint16), kind="stable")
-        edges = np.concatenate(([0], np.cumsum(np.bincount(block, minlength=self.blocks))))
-        for b in np.flatnonzero(np.diff(edges)):
-            yield b, order[edges[b] : edges[b + 1]]
+        edges = [0, *np.cumsum(np.bincount(block, minlength=self.blocks)).tolist()]
+        return order, [(b, slice(x, y)) for b, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
 
     def log_probabilities(self, given: np.ndarray, wanted: np.ndarray, windows_at_once: int = 1024) -> np.ndarray:
         """Natural log probability of each wanted class, 0 beyond texts; same shape as ``wanted``."""
@@ -151,13 +151,17 @@ class Model:
         for at in range(0, len(given), windows_at_once):
             some = given[at : at + windows_at_once]
             flat = np.concatenate([self.attended(some[lo : lo + 64])[0] for lo in range(0, len(some), 64)])
-            current, target = some[:, self.span :].ravel(), wanted[at : at + windows_at_once].ravel()
+            current, target = np.maximum(some[:, self.span :], 0).ravel(), wanted[at : at + windows_at_once].ravel()
             real = np.flatnonzero(target >= 0)
             flat, current, target = flat[real], current[real], target[real]
-            chosen = self._chosen(flat, self.w.to_block, self.block_after, current, target // self.members)
-            for b, own in self._by_block(target):
-                chosen[own] *= self._chosen(flat[own], self.w.to_member[b], self.member_after[b], current[own], target[own] % self.members)
-            out[at * self.span + real] = np.log(chosen.astype(np.float64))
+            order, parts = self._by_block(target // self.members)
+            flat, current, target = flat.take(order, axis=0), current.take(order), target.take(order)
+            block, line = target // self.members, np.arange(len(target))
+            z = self._of_blocks(flat, current)
+            chosen = z[line, block] / z.sum(axis=1)
+            z = self._of_members(flat, current, block, parts)
+            chosen *= z[line, target - block * self.members] / z.sum(axis=1)
+            out[at * self.span + real.take(order)] = np.log(chosen.astype(np.float64))
         return out.reshape(wanted.shape)
 
     def gradient(self, given: np.ndarray, wanted: np.ndarray) -> tuple[Weights, float]:
@@ -166,23 +170,28 @@ class Model:
         share /= total
         target = wanted.ravel()
         real = np.flatnonzero(target >= 0)
-        target, seen, current = target[real], flat[real], known[:, self.span :].ravel()[real]
-        each = np.float32(1 / len(real))
-        z = self._softmax(seen, self.w.to_block, self.block_after[current])
-        line = np.arange(len(real))
-        loss = -np.log(z[line, target // self.members]).sum(dtype=np.float64)
-        z[line, target // self.members] -= 1
-        z *= each
+        order, parts = self._by_block(target[real] // self.members)
+        # All in the order of the wanted blocks.
+        real = real.take(order)
+        target, seen, current = target.take(real), flat.take(real, axis=0), known[:, self.span :].ravel().take(real)
+        block, line = target // self.members, np.arange(len(real))
+        each, loss = np.float32(1 / len(real)), 0.0
+
+        def slope(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+            nonlocal loss
+            z /= z.sum(axis=1, keepdims=True)
+            loss -= np.log(z[line, right]).sum(dtype=np.float64)
+            z[line, right] -= 1
+            z *= each
+            return z
+
+        z = slope(self._of_blocks(seen, current), block)
         d_block, d_seen = seen.T @ z, z @ self.w.to_block.T
+        z = slope(self._of_members(seen, current, block, parts), target - block * self.members)
         d_member = np.zeros_like(self.w.to_member)
-        for b, own in self._by_block(target):
-            z = self._softmax(seen[own], self.w.to_member[b], self.member_after[b][current[own]])
-            line = np.arange(len(own))
-            loss -= np.log(z[line, target[own] % self.members]).sum(dtype=np.float64)
-            z[line, target[own] % self.members] -= 1
-            z *= each
-            d_member[b] = seen[own].T @ z
-            d_seen[own] += z @ self.w.to_member[b].T
+        for b, own in parts:
+            np.matmul(seen[own].T, z[own], out=d_member[b])
+            d_seen[own] += z[own] @ self.w.to_member[b].T
         d_flat = np.zeros_like(flat)
         d_flat[real] = d_seen
         d_got = self._split(d_flat.reshape(len(given), self.span, -1))
@@ -195,17 +204,21 @@ class Model:
             d_distance[h] = np.bincount(self.apart.ravel(), (summed[h] * self.seen).ravel(), minlength=2 * self.span)
         d_q = np.matmul(d_score, k) * scale
         d_k = np.matmul(d_score.transpose(0, 1, 3, 2), q) * scale
-        by_class = lambda x, rows: _summed(x, rows.transpose(0, 2, 1, 3).reshape(x.size, -1), len(self.w.query))
+        rows = lambda d: d.transpose(0, 2, 1, 3).reshape(-1, self.heads * self.width)
         # Positions beyond a text have no share, so their rows are zero.
-        return Weights(by_class(known[:, self.span :], d_q), by_class(known, d_k), by_class(known, d_v), d_distance, d_block, d_member), float(loss * each)
+        of_key, of_value = np.split(_summed(known, np.concatenate([rows(d_k), rows(d_v)], axis=1), len(self.w.key)), 2, axis=1)
+        of_query = _summed(known[:, self.span :], rows(d_q), len(self.w.query))
+        return Weights(of_query, of_key, of_value, d_distance, d_block, d_member), float(loss * each)
 
 
 def _summed(classes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(classes.ravel(), kind="stable")
-    sorted_classes = classes.ravel()[order]
+    """Sums of rows by class. Fewer than 65,536 classes are sorted by counting."""
+    classes = classes.ravel().astype(np.uint16 if n <= 1 << 16 else np.int64)
+    order = np.argsort(classes, kind="stable")
+    sorted_classes = classes[order]
     head = np.flatnonzero(np.concatenate(([True], sorted_classes[1:] != sorted_classes[:-1])))
     out = np.zeros((n, rows.shape[1]), np.float32)
-    out[sorted_classes[head]] = np.add.reduceat(rows[order], head, axis=0)
+    out[sorted_classes[head]] = np.add.reduceat(rows.take(order, axis=0), head, axis=0)
     return out
 
 

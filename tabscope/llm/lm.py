@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,28 +286,35 @@ def classes_of(pairs: DataFrame, head: int = HEAD, groups: int = GROUPS, blocks:
     return LanguageModel(classes, share, int(place[end]), smoothed(cells, BACK_OFF, filled), Weights.fresh(blocks, members, SPAN, HEADS, WIDTH))
 
 
+def turns(frames: Iterator[pd.DataFrame], classes: np.ndarray, end: int, span: int, rounds: int) -> Iterator[tuple]:
+    """(place, round, given, wanted) of the windows of these texts, each in one of the rounds."""
+    for part in common.row_batches(frames, "ids", 1 << 20):
+        given, wanted, text = windows([classes[np.frombuffer(t, np.uint16)] for t in part["ids"]], end, span)
+        key = mix(mix(part["row"].to_numpy(np.int64).view(np.uint64))[text] + np.arange(len(text), dtype=np.uint64))
+        turn = (key % np.uint64(rounds)).astype(np.int64)
+        # Windows of one text stand apart in training.
+        order = np.argsort(key)
+        for r in range(rounds):
+            at = order[turn[order] == r]
+            if len(at):
+                yield int(part["row"].iloc[0]), r, given[at], wanted[at]
+
+
+def to_learn(rows: DataFrame, trainers: int) -> DataFrame:
+    """The texts to learn from as they lie in the files, for so many trainers at most, each a task."""
+    return rows.where("not held_out").select("row", "ids").coalesce(trainers)
+
+
 def dealt(rows: DataFrame, made: LanguageModel, trainers: int, rounds: int) -> DataFrame:
-    """Packed windows (round, trainer, place, given, wanted): all, each in one of the rounds."""
-    shared = rows.sparkSession.sparkContext.broadcast((made.classes, made.end, made.weights.distance.shape[1] // 2))
+    """(round, trainer, place, given, wanted): the windows that each trainer makes of its texts, to be looked at."""
+    shared = rows.sparkSession.sparkContext.broadcast((made.classes, made.end, made.weights.distance.shape[1] // 2, rounds))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, end, span = shared.value
-        for part in common.row_batches(frames, "ids", 1 << 20):
-            given, wanted, text = windows([classes[np.frombuffer(t, np.uint16)] for t in part["ids"]], end, span)
-            key = mix(mix(part["row"].to_numpy(np.int64).view(np.uint64))[text] + np.arange(len(text), dtype=np.uint64))
-            turn = (key % np.uint64(rounds)).astype(np.int64)
-            # Windows of one text stand apart in training.
-            order = np.argsort(key)
-            place = int(part["row"].iloc[0])
-            trainer = int(mix(np.array([place], np.int64).view(np.uint64))[0] % np.uint64(trainers))
-            out = []
-            for r in range(rounds):
-                at = order[turn[order] == r]
-                if len(at):
-                    out.append((r, trainer, place, given[at].astype(np.int16).tobytes(), wanted[at].astype(np.int16).tobytes()))
-            yield pd.DataFrame(out, columns=["round", "trainer", "place", "given", "wanted"])
-
-    return rows.where("not held_out").select("row", "ids").mapInPandas(run, "round int, trainer bigint, place bigint, given binary, wanted binary")
+        own = TaskContext.get().partitionId()
+        for place, r, given, wanted in turns(frames, *shared.value):
+            yield pd.DataFrame({"round": [r], "trainer": [own], "place": [place], "given": [given.astype(np.int16).tobytes()], "wanted": [wanted.astype(np.int16).tobytes()]})
+
+    return to_learn(rows, trainers).mapInPandas(run, "round int, trainer bigint, place bigint, given binary, wanted binary")
 
 
 def averaged(trained: DataFrame, trainers: int) -> np.ndarray | None:
@@ -321,32 +329,42 @@ def averaged(trained: DataFrame, trainers: int) -> np.ndarray | None:
     while trainers > FAN_IN:
         trained = trained.withColumn("trainer", F.expr(f"trainer div {FAN_IN}")).groupBy("trainer").applyInPandas(add, "trainer bigint, tokens bigint, sums binary")
         trainers = -(-trainers // FAN_IN)
-    rows = trained.orderBy("trainer").collect()
+    # Ordered here: a sort by Spark would have all trainers run once more for its bounds.
+    rows = sorted(trained.collect(), key=lambda r: r.trainer)
     return sum(np.frombuffer(r.sums, np.float64) for r in rows) / sum(r.tokens for r in rows) if rows else None
 
 
 def trained(rows: DataFrame, made: LanguageModel, tokens: int, rounds: int = ROUNDS) -> LanguageModel:
-    """The model with weights trained on all windows, a part of them in each round."""
+    """The model with weights trained on all windows, a part of them in each round.
+
+    A trainer makes the windows from the ids where they lie, so none is stored or shuffled.
+    """
     trainers = max(1, round(tokens / rounds / WINDOW_TOKENS))
-    packed = common.staged(dealt(rows, made, trainers, rounds), "lm-windows")
+    texts = to_learn(rows, trainers)
     for r in range(rounds):
-        shared = rows.sparkSession.sparkContext.broadcast((made.weights, made.table))
+        shared = rows.sparkSession.sparkContext.broadcast((made.weights, made.table, made.classes, made.end))
 
-        def train(frame: pd.DataFrame) -> pd.DataFrame:
-            weights, table = shared.value
+        def train(frames: Iterator[pd.DataFrame], r: int = r) -> Iterator[pd.DataFrame]:
+            weights, table, classes, end = shared.value
             weights = weights.filled(weights.flat().copy())
-            span = weights.distance.shape[1] // 2
-            frame = frame.sort_values("place")
-            given = np.concatenate([np.frombuffer(g, np.int16) for g in frame["given"]]).reshape(-1, 2 * span)
-            wanted = np.concatenate([np.frombuffer(w, np.int16) for w in frame["wanted"]]).reshape(-1, span)
             learner = Adam(Model(weights, table), RATE, DECAY)
-            for at in range(0, len(given), BATCH):
-                learner.step(given[at : at + BATCH].astype(np.int64), wanted[at : at + BATCH].astype(np.int64))
-            n = int((wanted >= 0).sum())
-            return pd.DataFrame({"trainer": [int(frame["trainer"].iloc[0])], "tokens": [n], "sums": [(weights.flat().astype(np.float64) * n).tobytes()]})
-
-        done = packed.where(F.col("round") == r).groupBy("trainer").applyInPandas(train, "trainer bigint, tokens bigint, sums binary")
-        flat = averaged(done, trainers)
+            n, rest = 0, None
+            for _, turn, given, wanted in turns(frames, classes, end, weights.distance.shape[1] // 2, rounds):
+                if turn != r:
+                    continue
+                n += int((wanted >= 0).sum())
+                if rest is not None:
+                    given, wanted = np.concatenate([rest[0], given]), np.concatenate([rest[1], wanted])
+                whole = len(given) // BATCH * BATCH
+                for at in range(0, whole, BATCH):
+                    learner.step(given[at : at + BATCH], wanted[at : at + BATCH])
+                rest = given[whole:], wanted[whole:]
+            if n:
+                if len(rest[0]):
+                    learner.step(*rest)
+                yield pd.DataFrame({"trainer": [TaskContext.get().partitionId()], "tokens": [n], "sums": [(weights.flat().astype(np.float64) * n).tobytes()]})
+
+        flat = averaged(texts.mapInPandas(train, "trainer bigint, tokens bigint, sums binary"), trainers)
         if flat is not None:
             made.weights = made.weights.filled(flat)
     return made

@@ -176,3 +176,35 @@ def test_every_window_is_trained_on_once(spark):
         got.update((g.tobytes(), w.tobytes()) for g, w in zip(given, wanted))
     given, wanted, _ = windows([made.classes[ids] for _, held, ids in texts if not held], made.end, span)
     assert got == Counter((g.tobytes(), w.tobytes()) for g, w in zip(given.astype(np.int16), wanted.astype(np.int16)))
+
+
+def test_training_stores_no_windows_and_runs_once_a_round(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [(i, i % 5 == 1, bytearray(rng.integers(0, 300, int(n)).astype(np.uint16).tobytes())) for i, n in enumerate(rng.integers(0, 300, 60))]
+    rows = spark.createDataFrame(texts, "row bigint, held_out boolean, ids binary").repartition(3).localCheckpoint()
+    made = lm.classes_of(lm.pair_counts(rows), head=20, groups=4, blocks=5)
+    before = made.weights.flat()
+    monkeypatch.setattr(lm.common, "staged", None)
+    monkeypatch.setattr(lm, "WINDOW_TOKENS", 2000)
+    spark.sparkContext.setJobGroup("training", "")
+    after = lm.trained(rows, made, 7000).weights.flat()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("training")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == lm.ROUNDS
+    assert np.isfinite(after).all() and not np.array_equal(before, after)
+
+
+def test_members_against_single_softmaxes():
+    """Each wanted class from a softmax over blocks and one in its block, done one by one."""
+    w, table = random_model(blocks=4, members=3)[0], np.log(np.random.default_rng(1).dirichlet(np.ones(12), 12))
+    model = Model(w, table)
+    given, wanted, _ = windows([np.array([3, 1, 4, 1, 0, 2, 6, 11, 10]), np.array([2, 8])], 5, 4)
+    flat, got = model.attended(given)[0], model.log_probabilities(given, wanted)
+    for place, (x, y) in enumerate(zip(given[:, 4:].ravel(), wanted.ravel())):
+        if y >= 0:
+            after = np.exp(table[x]).reshape(4, 3)
+            block = after.sum(axis=1) * np.exp(flat[place] @ w.to_block)
+            inside = after[y // 3] * np.exp(flat[place] @ w.to_member[y // 3])
+            assert got.ravel()[place] == pytest.approx(np.log(block[y // 3] / block.sum() * inside[y % 3] / inside.sum()), rel=1e-4)
+        else:
+            assert got.ravel()[place] == 0
