@@ -95,13 +95,12 @@ class Model:
         self.member_after = np.ascontiguousarray(inside.transpose(1, 0, 2).astype(np.float32)).reshape(-1, self.members)
         apart = self.span + np.arange(self.span)[:, None] - np.arange(reach)[None, :]
         self.seen, self.apart = apart >= 0, np.maximum(apart, 0)
+        self.rows: np.ndarray | None = None
 
     def _split(self, rows: np.ndarray) -> np.ndarray:
         """(window, position, heads * width) to (window, head, position, width)."""
         b, n, d = rows.shape
-        if self.heads == 1:
-            return rows[:, None]
-        return np.ascontiguousarray(rows.reshape(b, n, self.heads, d // self.heads).transpose(0, 2, 1, 3))
+        return rows.reshape(b, n, self.heads, d // self.heads).transpose(0, 2, 1, 3)
 
     def attended(self, given: np.ndarray):
         """What each scored position gathers, and what the gradient needs."""
@@ -114,17 +113,17 @@ class Model:
         before = np.flatnonzero(given[:, 0] < 0)
         if len(before):
             share[before] += np.where(given[before] < 0, _FAR, np.float32(0))[:, None, None, :]
-        np.exp(np.minimum(share, _MOST, out=share), out=share)
-        total = share.sum(axis=-1, keepdims=True)
+        _exp(share)
+        total = _line_sums(share)
         got = np.matmul(share, v)
         got /= total
-        flat = np.ascontiguousarray(got.transpose(0, 2, 1, 3)).reshape(-1, self.heads * self.width)
+        flat = got.transpose(0, 2, 1, 3).reshape(-1, self.heads * self.width)
         return flat, (known, q, k, v, share, total, scale)
 
     def _weighed(self, z: np.ndarray, after: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exponentials of logits, in their place. The table's part is a factor of them, so it is
         not added to each logit."""
-        np.exp(np.minimum(z, _MOST, out=z), out=z)
+        _exp(z)
         z *= after.take(rows, axis=0)
         return z
 
@@ -158,16 +157,15 @@ class Model:
             flat, current, target = flat.take(order, axis=0), current.take(order), target.take(order)
             block, line = target // self.members, np.arange(len(target))
             z = self._of_blocks(flat, current)
-            chosen = z[line, block] / z.sum(axis=1)
+            chosen = z[line, block] / _line_sums(z)[:, 0]
             z = self._of_members(flat, current, block, parts)
-            chosen *= z[line, target - block * self.members] / z.sum(axis=1)
+            chosen *= z[line, target - block * self.members] / _line_sums(z)[:, 0]
             out[at * self.span + real.take(order)] = np.log(chosen.astype(np.float64))
         return out.reshape(wanted.shape)
 
     def gradient(self, given: np.ndarray, wanted: np.ndarray) -> tuple[Weights, float]:
         """Of the mean loss over the wanted classes, and that loss."""
         flat, (known, q, k, v, share, total, scale) = self.attended(given)
-        share /= total
         target = wanted.ravel()
         real = np.flatnonzero(target >= 0)
         order, parts = self._by_block(target[real] // self.members)
@@ -179,46 +177,75 @@ class Model:
 
         def slope(z: np.ndarray, right: np.ndarray) -> np.ndarray:
             nonlocal loss
-            z /= z.sum(axis=1, keepdims=True)
-            loss -= np.log(z[line, right]).sum(dtype=np.float64)
-            z[line, right] -= 1
-            z *= each
+            z *= each / _line_sums(z)
+            chosen = z[line, right]
+            loss -= np.log(chosen / each).sum(dtype=np.float64)
+            z[line, right] = chosen - each
             return z
 
         z = slope(self._of_blocks(seen, current), block)
         d_block, d_seen = seen.T @ z, z @ self.w.to_block.T
         z = slope(self._of_members(seen, current, block, parts), target - block * self.members)
-        d_member = np.zeros_like(self.w.to_member)
+        d_member, part = np.zeros_like(self.w.to_member), np.empty_like(d_seen)
         for b, own in parts:
             np.matmul(seen[own].T, z[own], out=d_member[b])
-            d_seen[own] += z[own] @ self.w.to_member[b].T
+            np.matmul(z[own], self.w.to_member[b].T, out=part[own])
+        d_seen += part
         d_flat = np.zeros_like(flat)
         d_flat[real] = d_seen
-        d_got = self._split(d_flat.reshape(len(given), self.span, -1))
-        d_v = np.matmul(share.transpose(0, 1, 3, 2), d_got)
-        d_share = np.matmul(d_got, v.transpose(0, 1, 3, 2))
-        d_score = share * (d_share - (d_share * share).sum(axis=-1, keepdims=True))
+        # Shares are left as they are before their division by ``total``: what they meet is divided.
+        d_got = self._split(d_flat.reshape(len(given), self.span, -1)) / total
+        got = self._split(flat.reshape(len(given), self.span, -1))
+        d_score = np.matmul(d_got, v.transpose(0, 1, 3, 2))
+        d_score -= np.einsum("bhnd,bhnd->bhn", d_got, got)[..., None]
+        d_score *= share
         d_distance = np.zeros_like(self.w.distance)
-        summed = d_score.sum(axis=0)
+        summed = (np.ones(len(given), d_score.dtype) @ d_score.reshape(len(given), -1)).reshape(d_score.shape[1:])
         for h in range(self.heads):
             d_distance[h] = np.bincount(self.apart.ravel(), (summed[h] * self.seen).ravel(), minlength=2 * self.span)
-        d_q = np.matmul(d_score, k) * scale
-        d_k = np.matmul(d_score.transpose(0, 1, 3, 2), q) * scale
-        rows = lambda d: d.transpose(0, 2, 1, 3).reshape(-1, self.heads * self.width)
-        # Positions beyond a text have no share, so their rows are zero.
-        of_key, of_value = np.split(_summed(known, np.concatenate([rows(d_k), rows(d_v)], axis=1), len(self.w.key)), 2, axis=1)
-        of_query = _summed(known[:, self.span :], rows(d_q), len(self.w.query))
-        return Weights(of_query, of_key, of_value, d_distance, d_block, d_member), float(loss * each)
-
-
-def _summed(classes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by class. Fewer than 65,536 classes are sorted by counting."""
+        # For each position what its class's query, key and value get, and a row of zeros. Positions
+        # beyond a text have no share, so their rows are zero. Kept for the next batch: what is not
+        # written, queries of earlier halves and the last row, stays zero.
+        depth = self.heads * self.width
+        if self.rows is None or self.rows.shape[0] != known.size + 1 or self.rows.dtype != d_score.dtype:
+            self.rows = np.zeros((known.size + 1, 3 * depth), d_score.dtype)
+        rows = self.rows
+        of = rows[:-1].reshape(*known.shape, 3 * depth)
+        np.matmul(d_score, k, out=self._split(of[:, self.span :, :depth]))
+        np.matmul(d_score.transpose(0, 1, 3, 2), q, out=self._split(of[:, :, depth : 2 * depth]))
+        np.matmul(share.transpose(0, 1, 3, 2), d_got, out=self._split(of[:, :, 2 * depth :]))
+        of_query, of_key, of_value = np.split(_summed(known, rows, len(self.w.key)), 3, axis=1)
+        return Weights(of_query * scale, of_key * scale, of_value, d_distance, d_block, d_member), float(loss * each)
+
+
+def _exp(z: np.ndarray) -> None:
+    """Exponentials of bounded logits, in their place."""
+    if z.size and not z.max() <= _MOST:
+        np.minimum(z, _MOST, out=z)
+    np.exp(z, out=z)
+
+
+def _line_sums(z: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept as one of length 1; a product is faster than short sums."""
+    return (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(*z.shape[:-1], 1)
+
+
+def _summed(classes: np.ndarray, rows: np.ndarray, n: int, width: int = 8) -> np.ndarray:
+    """Sums of rows by class. The last row, of zeros, belongs to none.
+
+    A class's rows are laid out in lines of ``width``, the last one filled up with zeros. Lines
+    are added up all at once, and then those of each class."""
+    # Fewer than 65,536 classes are sorted by counting.
     classes = classes.ravel().astype(np.uint16 if n <= 1 << 16 else np.int64)
-    order = np.argsort(classes, kind="stable")
-    sorted_classes = classes[order]
-    head = np.flatnonzero(np.concatenate(([True], sorted_classes[1:] != sorted_classes[:-1])))
+    order, counts = np.argsort(classes, kind="stable"), np.bincount(classes, minlength=n)
+    lines = -(-counts // width)
+    first, begin = np.cumsum(lines) - lines, np.cumsum(counts) - counts
+    at = np.full(int(lines.sum()) * width, len(rows) - 1)
+    at[np.arange(len(order)) + np.repeat(first * width - begin, counts)] = order
+    sums = rows.take(at.reshape(-1, width).T, axis=0).sum(axis=0)
+    there = np.flatnonzero(counts)
     out = np.zeros((n, rows.shape[1]), np.float32)
-    out[sorted_classes[head]] = np.add.reduceat(rows.take(order, axis=0), head, axis=0)
+    out[there] = np.add.reduceat(sums, first[there], axis=0)
     return out
 
 
@@ -227,17 +254,25 @@ class Adam:
 
     def __init__(self, model: Model, rate: float, decay: float):
         self.model, self.rate, self.decay, self.steps = model, rate, decay, 0
-        self.mean = [np.zeros_like(p) for p in model.w.parts()]
-        self.square = [np.zeros_like(p) for p in model.w.parts()]
+        self.mean, self.square = np.zeros_like(model.w.flat()), np.zeros_like(model.w.flat())
 
     def step(self, given: np.ndarray, wanted: np.ndarray) -> float:
         slopes, loss = self.model.gradient(given, wanted)
         self.steps += 1
-        for p, g, m, s in zip(self.model.w.parts(), slopes.parts(), self.mean, self.square):
-            m += np.float32(0.1) * (g - m)
-            s += np.float32(0.01) * (g * g - s)
-            rise = (m / np.float32(1 - 0.9**self.steps)) / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
-            p -= np.float32(self.rate) * (rise + np.float32(self.decay) * p)
+        # All weights as one row of numbers, so that a step is few operations.
+        g, m, s = slopes.flat(), self.mean, self.square
+        m += np.float32(0.1) * (g - m)
+        g *= g
+        g -= s
+        g *= np.float32(0.01)
+        s += g
+        rise = np.sqrt(s / np.float32(1 - 0.99**self.steps))
+        rise += np.float32(1e-6)
+        np.divide(m / np.float32(1 - 0.9**self.steps), rise, out=rise)
+        at = 0
+        for p in self.model.w.parts():
+            p -= np.float32(self.rate) * (rise[at : at + p.size].reshape(p.shape) + np.float32(self.decay) * p)
+            at += p.size
         return loss
 
 

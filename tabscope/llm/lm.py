@@ -34,6 +34,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -117,6 +118,11 @@ def subwords_of(ranks: bytes) -> Subwords:
     return _subwords[key]
 
 
+def forget_subwords() -> None:
+    """Frees the vocabulary in a worker that goes on with other work."""
+    _subwords.clear()
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that is not learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -256,7 +262,8 @@ def classes_of(pairs: DataFrame, head: int = HEAD, groups: int = GROUPS, blocks:
     end, count = len(own), len(own) + 1 + groups
     classes = np.full(IDS, count - 1)
     classes[own], classes[END] = np.arange(len(own)), end
-    mapped = lambda name: F.broadcast(spark.createDataFrame(pd.DataFrame({name: np.arange(IDS), f"{name}_class": classes})))
+    # As an Arrow table, which needs no Python workers of another kind that would stay beside those of the tasks.
+    mapped = lambda name: F.broadcast(spark.createDataFrame(pa.table({name: np.arange(IDS), f"{name}_class": classes})))
     # What most often precedes an id: that of frequent ids sorts them into blocks, that of the others names a group.
     before = pairs.join(mapped("before"), "before").groupBy("id", "before_class").agg(F.sum("n").alias("n"))
     leads = {r.id: r.c for r in before.groupBy("id").agg(F.max_by("before_class", F.struct("n", "before_class")).alias("c")).collect()}
@@ -345,6 +352,7 @@ def trained(rows: DataFrame, made: LanguageModel, tokens: int, rounds: int = ROU
         shared = rows.sparkSession.sparkContext.broadcast((made.weights, made.table, made.classes, made.end))
 
         def train(frames: Iterator[pd.DataFrame], r: int = r) -> Iterator[pd.DataFrame]:
+            forget_subwords()
             weights, table, classes, end = shared.value
             weights = weights.filled(weights.flat().copy())
             learner = Adam(Model(weights, table), RATE, DECAY)
@@ -375,6 +383,7 @@ def scored(rows: DataFrame, made: LanguageModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(made)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_subwords()
         made = shared.value
         model = made.model()
         for part in common.row_batches(frames, "ids", 1 << 19):

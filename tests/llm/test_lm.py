@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tabscope.llm import lm
-from tabscope.llm.attention import Adam, Model, Weights, smoothed, windows
+from tabscope.llm.attention import Adam, Model, Weights, _summed, smoothed, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -208,3 +208,60 @@ def test_members_against_single_softmaxes():
             assert got.ravel()[place] == pytest.approx(np.log(block[y // 3] / block.sum() * inside[y % 3] / inside.sum()), rel=1e-4)
         else:
             assert got.ravel()[place] == 0
+
+
+def test_classes_start_no_workers_of_another_kind(spark, monkeypatch):
+    """Classes go to Spark as Arrow tables: rows made by Python tasks leave a second set of workers in each executor."""
+    rows = spark.createDataFrame([(1, 0, 7), (0, 1, 5), (lm.END, 1, 2), (1, lm.END, 2)], "before int, id int, n bigint").localCheckpoint()
+
+    def refused(*_, **__):
+        raise AssertionError("rows made by Python tasks")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    made = lm.classes_of(rows, head=4, groups=2, blocks=3)
+    assert len({made.classes[0], made.classes[1], made.end}) == 3
+    assert np.isfinite(made.table[np.ix_(made.classes[[0, 1]], made.classes[[0, 1]])]).all()
+
+
+def test_vocabulary_is_freed_before_training_and_scoring(spark, monkeypatch):
+    """Each task's function is run here, in a process that has encoded words before."""
+    rng = np.random.default_rng(6)
+    texts = [(i, False, bytearray(rng.integers(0, 50, 40).astype(np.uint16).tobytes())) for i in range(6)]
+    rows = spark.createDataFrame(texts, "row bigint, held_out boolean, ids binary").localCheckpoint()
+    frame = rows.toPandas()
+    made = lm.classes_of(lm.pair_counts(rows), head=20, groups=4, blocks=5)
+    held = []
+
+    def here(df, run, *_, **__):
+        lm.subwords_of(lm.read_ranks())
+        list(run(iter([frame])))
+        held.append(len(lm._subwords))
+        raise InterruptedError
+
+    monkeypatch.setattr(lm.TaskContext, "get", classmethod(lambda _: type("Task", (), {"partitionId": lambda _: 0})()))
+    monkeypatch.setattr(type(rows), "mapInPandas", here)
+    for work in (lambda: lm.trained(rows, made, 240), lambda: lm.scored(rows.withColumn("words", rows.row).withColumn("times", rows.row), made)):
+        with pytest.raises(InterruptedError):
+            work()
+    assert held == [0, 0]
+
+
+def test_sums_by_class():
+    rng = np.random.default_rng(9)
+    for n, most in ((1, 1), (8, 1), (300, 5), (300, 40)):
+        classes = rng.integers(0, most, (n, 1))
+        rows = np.vstack([rng.standard_normal((n, 6)), np.zeros((1, 6))])
+        expected = np.zeros((41, 6))
+        np.add.at(expected, classes.ravel(), rows[:-1])
+        assert _summed(classes, rows, 41) == pytest.approx(expected, abs=1e-4)
+
+
+def test_batches_of_other_sizes_in_turn():
+    """A batch's gradient does not depend on the batch before."""
+    w, table = random_model()
+    given, wanted, _ = windows([np.array([3, 1, 4, 1, 0, 2, 6]), np.array([2, 8])], 5, 4)
+    model = Model(w, table)
+    model.gradient(given[:2], wanted[:2])
+    model.gradient(given[::-1], wanted[::-1])
+    again, alone = model.gradient(given, wanted)[0], Model(w, table).gradient(given, wanted)[0]
+    assert np.array_equal(again.flat(), alone.flat())
