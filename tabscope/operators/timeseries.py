@@ -161,8 +161,8 @@ def trend_summary(periods: DataFrame, grain: str) -> DataFrame:
 REACH = 3  # neighbours on either side, of a window of seven at most
 
 
-def anomalies(periods: DataFrame, grain: str, per_measure: int = 4, limit: int | None = None) -> DataFrame:
-    """Periods far from a centred rolling median of their neighbours.
+def anomalies(periods: DataFrame, grain: str, per_measure: int | None = 4, limit: int | None = None) -> DataFrame:
+    """Periods far from a centred rolling median of their neighbours; the oddest ``per_measure`` of each (None: all).
 
     The window is a third of the series, between 3 and 7 periods. A frame has a
     fixed size per plan, so the widest frame is collected once and each row
@@ -191,9 +191,11 @@ def anomalies(periods: DataFrame, grain: str, per_measure: int = 4, limit: int |
     met = judged.join(F.broadcast(spread), keys) if keys else judged.withColumn("_spread", spread.scalar())
     odd = met.withColumn("_z", F.try_divide(F.col("_residual"), F.col("_spread"))).where(F.abs("_z") >= ANOMALY_Z)
     deviation = F.coalesce(F.try_divide((F.col("value") - F.col("expected")) * 100, F.abs("expected")), F.lit(0.0))
-    # Few rows are odd, and each task keeps its oddest only.
-    strongest = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(F.abs(F.round("_z", 2))), "idx")
-    found = odd.withColumn("_rank", F.row_number().over(strongest)).where(F.col("_rank") <= per_measure).select(
+    if per_measure is not None:
+        # Few rows are odd, and each task keeps its oddest only.
+        strongest = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(F.abs(F.round("_z", 2))), "idx")
+        odd = odd.withColumn("_rank", F.row_number().over(strongest)).where(F.col("_rank") <= per_measure)
+    found = odd.select(
         *keys, F.col("label").alias("period"), "value", F.round("expected", 4).alias("expected"),
         F.round(deviation, 2).alias("deviation_pct"), F.round("_z", 2).alias("z_score"), "idx")
     found = found.orderBy(F.desc(F.abs("z_score")), *[k for k in keys if k == "position"], "idx")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,9 +21,10 @@ class Limits:
     shapes: int | None = 6
     correlations: int | None = 12
     outliers: int | None = 6
+    anomalies_per_measure: int | None = 4
 
 
-EVERYTHING = Limits(*[None] * 6)
+EVERYTHING = Limits(*[None] * len(fields(Limits)))
 
 
 def stored(table: DataFrame, name: str) -> DataFrame:
@@ -73,7 +74,7 @@ def analyze(df: DataFrame, profile: TableProfile, limits: Limits = Limits()) ->
             [], "position int, measure string, period timestamp_ntz, value double, row_count long")
     points = timeseries.trend_points(periods, grain)
     trends = frozen(timeseries.trend_summary(periods, grain).orderBy("position"))
-    odd = stored(timeseries.anomalies(periods, grain, limit=limits.anomalies), "anomalies")
+    odd = stored(timeseries.anomalies(periods, grain, limits.anomalies_per_measure, limits.anomalies), "anomalies")
 
     dimensions = roles.segmentable(profile)[:limits.segments]
     measure = profile.primary_measure

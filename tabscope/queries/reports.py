@@ -360,14 +360,25 @@ def plan_aggregate(spark, sf):
 # --- analysis and insights ---------------------------------------------------
 
 
-def full_analysis(spark, sf):
+def analysis_of(spark, sf, limits, headlines, shown):
     ready = prepare(messy_orders(spark, sf))
     df, profile = ready.df, ready.profile
-    analysis = B.analyze(df, profile)
-    kpis = B.frozen(K.kpi_table(df, K.discover_kpis(profile), compare=(profile.primary_date, profile.grain()), limit=K.MAX_KPIS))
+    analysis = B.analyze(df, profile, limits)
+    specs = K.discover_kpis(profile, headlines)
+    kpis = B.frozen(K.kpi_table(df, specs, compare=(profile.primary_date, profile.grain()), limit=shown))
     return profile, analysis, kpis, ready.report
 
 
+def full_analysis(spark, sf):
+    """Every figure, for claims to be checked against."""
+    return analysis_of(spark, sf, B.EVERYTHING, None, None)
+
+
+def summary_analysis(spark, sf):
+    """The figures that a summary shows."""
+    return analysis_of(spark, sf, B.Limits(), K.HEADLINES, K.MAX_KPIS)
+
+
 @query("analysis_bundle", """
     WITH src AS (SELECT date_trunc('quarter', o_orderdate)::TIMESTAMP AS period, avg(o_totalprice) AS a, sum(o_orderkey)::DOUBLE AS b,
                         sum(o_custkey)::DOUBLE AS c, count(*) AS row_count FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
@@ -412,7 +423,7 @@ def analysis_bundle(spark, sf):
 
 @query("insights")
 def insights(spark, sf):
-    return I.insights(*full_analysis(spark, sf))
+    return I.insights(*summary_analysis(spark, sf))
 
 
 @query("evidence_index")
@@ -431,14 +442,14 @@ def evidence_lookup(spark, sf):
         F.concat(F.lit("The figures of the table as a whole support order "), key.cast("string")).alias("body"),
         F.when(key % 3 == 0, F.array(F.lit("`total  REVENUE`"))).when(key % 3 == 1, F.array(F.lit("return r")))
         .otherwise(F.array(F.lit("margin of error"))).alias("refs"))
-    evidence = B.stored(I.evidence_index(*full_analysis(spark, sf)), "evidence")
+    evidence = B.stored(I.evidence_index(*summary_analysis(spark, sf)), "evidence")
     out = I.resolve_claims(claims, evidence)
     return out.select("claim_id", "accepted", F.get("evidence", F.lit(0)).alias("metric"))
 
 
 @query("dataset_summary")
 def dataset_summary(spark, sf):
-    profile, analysis, kpis, _ = full_analysis(spark, sf)
+    profile, analysis, kpis, _ = summary_analysis(spark, sf)
     return I.dataset_summary(profile, kpis, analysis)
 
 

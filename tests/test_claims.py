@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabscope.operators import insights as I, kpi as K
 from tabscope.operators.clean import CleaningReport
 from tabscope.operators.profile import profile_table
 from tabscope.plans import bundle as B
+from tabscope.queries import QUERIES
 
 
 def brute(key, figures):
@@ -64,3 +66,34 @@ def test_figures_beyond_the_summary_are_evidence(spark):
     assert sum(m.startswith("Top Region") for m in part) == 5 < sum(m.startswith("Top Region") for m in full)
     assert sum(m.endswith("change over period") for m in part) == 3 < sum(m.endswith("change over period") for m in full)
     assert sum(m.endswith("missing values") for m in full) == 9
+
+
+@pytest.fixture(scope="module")
+def spiky(spark, tmp_path_factory):
+    """Forty months of orders; six of them, apart from each other, have far larger orders."""
+    folder = str(tmp_path_factory.mktemp("spiky"))
+    k = F.col("id")
+    spark.range(40).select(
+        k.alias("c_custkey"), (100 + k * 7 % 31).cast("double").alias("c_acctbal"),
+        F.element_at(F.array(*map(F.lit, ["RAIL", "ROAD", "WATER"])), (k % 3 + 1).cast("int")).alias("c_mktsegment"),
+    ).write.parquet(f"{folder}/customer.parquet")
+    month, price = F.floor(k / 40), 1000 + k * 13 % 17 + F.floor(k / 40) % 3
+    spark.range(1600).select(
+        k.alias("o_orderkey"), (k * 11 % 40).alias("o_custkey"), F.when(k % 3 == 0, "F").otherwise("O").alias("o_orderstatus"),
+        F.when(month % 6 == 4, price * 20).otherwise(price).cast("double").alias("o_totalprice"),
+        F.add_months(F.lit("2020-01-01").cast("date"), month.cast("int")).cast("timestamp_ntz").alias("o_orderdate"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+def whole_index(metrics):
+    spikes = {m for m in metrics if m.startswith("Revenue in ")}
+    assert spikes == {f"Revenue in {y}-{m}" for y in (2020, 2021, 2022) for m in ("05", "11")}, spikes
+    for column in ("Revenue", "Balance", "Weight", "Discount Pct"):
+        assert {f"{column} change over period", f"Best month for {column}", f"Worst month for {column}"} <= metrics
+    assert {"Total Orders", "Total Revenue", "Total Balance", "Total Weight", "Average Discount Pct", "Average Order Value", "Return Rate"} <= metrics
+
+
+def test_index_query_has_every_figure(spark, spiky):
+    """The fourth measure, the seventh KPI and the sixth odd month of a measure are evidence."""
+    whole_index({r["metric"] for r in QUERIES["evidence_index"](spark, spiky).collect()})
