@@ -97,3 +97,15 @@ def whole_index(metrics):
 def test_index_query_has_every_figure(spark, spiky):
     """The fourth measure, the seventh KPI and the sixth odd month of a measure are evidence."""
     whole_index({r["metric"] for r in QUERIES["evidence_index"](spark, spiky).collect()})
+
+
+def test_lookup_query_searches_every_figure(spark, spiky, monkeypatch):
+    seen, resolve = [], I.resolve_claims
+    monkeypatch.setattr(I, "resolve_claims", lambda claims, evidence: seen.append(evidence) or resolve(claims, evidence))
+    got = {(r["claim_id"] % 3, r["accepted"], r["metric"]) for r in QUERIES["evidence_lookup"](spark, spiky).collect()}
+    assert got == {(0, True, "Total Revenue"), (1, True, "Return Rate"), (2, False, None)}
+    whole_index({r["metric"] for r in seen[0].collect()})
+    claims = spark.createDataFrame([(1, "t", "The rebates of this shop are about the same in all years.", ["Average Discount Pct"]),
+                                    (2, "t", "Orders of November 2022 were far larger than those around.", ["`revenue  in 2022-11`"])],
+                                   "claim_id int, title string, body string, refs array<string>")
+    assert all(r["accepted"] for r in resolve(claims, seen[0]).collect())
